@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,27 @@ BROADCAST_ROWS = 500_000
 SALTS = 16
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application; they need no path to it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="atrament-code-"), "atrament.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(d, name), os.path.join("atrament", os.path.relpath(os.path.join(d, name), here)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +62,7 @@ class Scratch:
     """Tables written to the shared folder: they cut the lineage and outlive a lost executor."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame) -> DataFrame:
