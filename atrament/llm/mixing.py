@@ -21,19 +21,13 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atrament.llm.languages import language
 from atrament.llm.tokens import TOKENIZER, with_sizes
 from atrament.session import Scratch, running_total, table
 
 ROUNDS, UNIT = 60, 1_000_000
 #: Cells are classes of source, language and topic; more than this is an error, not a reason to drop some.
 MOST_CELLS = 1_000_000
-#: Three-letter codes of languages that the tables may write in either way.
-THREE = {"pol": "pl", "eng": "en", "deu": "de", "ger": "de", "ces": "cs", "cze": "cs", "lat": "la", "ukr": "uk", "rus": "ru", "fra": "fr", "fre": "fr", "jpn": "ja", "zho": "zh", "chi": "zh", "tha": "th", "hin": "hi", "ara": "ar", "und": None}
-
-
-def language(col):
-    code = F.lower(F.trim(F.split(col, "[-_]")[0]))
-    return F.coalesce(F.when(code.isin(*THREE), F.element_at(F.create_map(*[F.lit(x) for kv in THREE.items() for x in kv]), code)).otherwise(code), F.lit("und"))
 
 
 def rake(cells: dict[tuple, int], share: dict[str, float], cap: dict[str, int], size: float | None = None) -> tuple[dict[tuple, float], float]:

@@ -2,11 +2,11 @@
 
 Method: similarity-hash bit fingerprints. Each distinct folded reference gets a code of BLOCKS segments of 32 bits and 64
 single bits. A segment hashes ROWS minima of a weighted min-hash over character trigrams, which weighs a trigram by its
-inverse document frequency over all texts: two segments are equal with the ROWS-th power of the weighted similarity.
+inverse frequency over all texts: two segments are equal with the ROWS-th power of the weighted similarity.
 Segments of train texts are joined with those of val and test texts, pairs within the Hamming radius of the 64 bits are
 kept, and the edit distance of the folded texts decides. Equal texts are one class and meet without fingerprints.
 
-Document frequencies are counted over all texts in a table of BINS hashed trigrams, whose size does not grow.
+Frequencies are counted over all texts in a table of BINS hashed trigrams, whose size does not grow.
 
 Defined cases: null, short (fewer than MIN_CHARS letters and digits) and unassigned references have no pair; repeated
 deliveries count once, in their current state; empty tables give no rows; other columns are not read.
@@ -26,27 +26,32 @@ MIN_CHARS = 20
 #: Largest edit distance in 100 characters of the longer text.
 PERCENT = 12
 GRAM, BINS, BLOCKS, ROWS, BITS = 3, 1 << 16, 30, 4, 64
-#: Bits that may differ. Texts within PERCENT share 0.38 of their weight or more, so about 0.31 of the bits differ at most; unrelated ones differ in a half.
-RADIUS = 30
+#: Bits that may differ. Texts within PERCENT share 0.38 of their weight or more, so 0.31 of the bits differ or fewer; of unrelated ones a half.
+RADIUS = 26
 SEED = 20240229
 
 
-def grams(text: str) -> np.ndarray:
-    """The distinct bins of the trigrams of a text."""
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def grams(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of all trigrams of the texts in one array, and where each text begins in it. No text is shorter than GRAM."""
+    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(len(a) - GRAM + 1, np.uint64)
     for i in range(GRAM):
         h = h * np.uint64(1_000_003) + a[i : len(a) - GRAM + 1 + i]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return np.unique(h >> np.uint64(48)).astype(np.int64)
+    ends = np.cumsum(lens)
+    inside = np.ones(len(h), bool)
+    for i in range(1, GRAM):
+        inside[(ends - i)[:-1]] = False  # these reach into the next text
+    return (h >> np.uint64(48))[inside].astype(np.int64), np.concatenate([[0], np.cumsum(lens - GRAM + 1)[:-1]])
 
 
 def _count_bins(batches):
     df = np.zeros(BINS, np.int64)
     for b in batches:
-        for t in b["text"]:
-            df[grams(t)] += 1
+        if len(b):
+            df += np.bincount(grams(b["text"])[0], minlength=BINS)
     at = np.nonzero(df)[0]
     yield pd.DataFrame({"bin": at.astype(np.int32), "n": df[at]})
 
@@ -65,13 +70,12 @@ class Coder:
             weight = np.log((self.n + 1) / (self.df + 1)) + 1e-3
             rng = np.random.Generator(np.random.PCG64(SEED))
             self.draws = rng.standard_exponential((BINS, BLOCKS * ROWS), dtype=np.float32) / weight[:, None].astype(np.float32)
-        got = [grams(t) for t in texts]
-        at = np.cumsum([0, *map(len, got[:-1])])
-        least = np.minimum.reduceat(self.draws[np.concatenate(got)], at, axis=0).view(np.uint32).astype(np.uint64)
+        bins, at = grams(texts)
+        least = np.minimum.reduceat(self.draws[bins], at, axis=0).view(np.uint32).astype(np.uint64)
         mixed = least.copy()
         mixed ^= mixed >> np.uint64(15)
         mixed *= np.uint64(0xFF51AFD7ED558CCD)
-        blocks = np.zeros((len(texts), BLOCKS), np.uint64)
+        blocks = np.tile(np.arange(1, BLOCKS + 1, dtype=np.uint64), (len(texts), 1))
         for r in range(ROWS):
             blocks = (blocks ^ least[:, r::ROWS]) * np.uint64(0xC4CEB9FE1A85EC53)
             blocks ^= blocks >> np.uint64(31)
@@ -79,7 +83,7 @@ class Coder:
         return (blocks >> np.uint64(32)).astype(np.int64), (bits << np.arange(BITS, dtype=np.uint64)).sum(1).astype(np.int64)
 
 
-def fingerprints(texts: DataFrame, batch: int = 512) -> DataFrame:
+def fingerprints(texts: DataFrame, batch: int = 128) -> DataFrame:
     """texts (cls, side, text) to (cls, side, text, code array of BLOCKS, bits). Side is null for a text of both sides."""
     spark = texts.sparkSession
     df, n = np.zeros(BINS, np.int64), texts.count()
@@ -107,10 +111,12 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """classes (cls, train, held, text), one row per distinct text, to pairs (cls_t, cls_h, distance) of different texts:
     one with train records, the other with val or test records."""
     coded = scratch.keep(fingerprints(classes))
-    blocks = coded.select("cls", "train", "held", "bits", F.posexplode("code").alias("k", "block"))
-    left = blocks.where("train").select("k", "block", F.col("cls").alias("cls_t"), F.col("bits").alias("bits_t"))
-    right = blocks.where("held").select("k", "block", F.col("cls").alias("cls_h"), F.col("bits").alias("bits_h"))
-    cand = left.join(right, ["k", "block"]).where(f"cls_t <> cls_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("cls_t", "cls_h").distinct()
+    scratch.release()
+    blocks = coded.select("cls", "train", "held", "bits", F.explode("code").alias("block"))  # the number of the segment is hashed in
+    left = blocks.where("train").select("block", F.col("cls").alias("cls_t"), F.col("bits").alias("bits_t"))
+    right = blocks.where("held").select("block", F.col("cls").alias("cls_h"), F.col("bits").alias("bits_h"))
+    cand = scratch.keep(left.join(right, "block").where(f"cls_t <> cls_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("cls_t", "cls_h").distinct())
+    scratch.release()
     text = coded.select("cls", "text")
     pairs = cand.join(text.select(F.col("cls").alias("cls_t"), F.col("text").alias("text_t")), "cls_t").join(text.select(F.col("cls").alias("cls_h"), F.col("text").alias("text_h")), "cls_h")
     most = F.expr(f"cast(floor(greatest(char_length(text_t), char_length(text_h)) * {PERCENT} / 100) as int)")
@@ -121,10 +127,13 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 def overlaps(records: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (id_t, id_h, split, source_page, distance): a train record and a val or test record, with the latter's split and source."""
-    rows = scratch.keep(references(records).withColumn("cls", F.xxhash64("text")))
-    texts = rows.groupBy("text").agg(F.first("cls").alias("cls"), F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("held"))
-    near = near_classes(texts.select("cls", "train", "held", "text"), scratch)
-    same = texts.where("train and held").select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_h"), F.lit(0).alias("distance"))
+    rows = scratch.keep(references(records))
+    texts = rows.groupBy("text").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("held"))
+    texts = texts.select(F.xxhash64("text").alias("cls"), "train", "held", "text")
+    near = near_classes(texts, scratch)
+    rows = rows.select("id", "source_page", "split", F.xxhash64("text").alias("cls"))
+    same = rows.groupBy("cls").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("held")).where("train and held")
+    same = same.select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_h"), F.lit(0).alias("distance"))
     links = near.union(same)
     train = rows.where("split = 'train'").select(F.col("id").alias("id_t"), F.col("cls").alias("cls_t"))
     held = rows.where("split <> 'train'").select(F.col("id").alias("id_h"), F.col("cls").alias("cls_h"), "split", "source_page")
