@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -73,6 +74,11 @@ class Scratch:
         out._atrament_path = path
         return out
 
+    def release(self) -> None:
+        """Lets the driver see that shuffles replaced by kept tables are no longer used, so that their files go."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Removes a kept table that no later plan reads."""
         path = getattr(df, "_atrament_path", None)
