@@ -84,7 +84,8 @@ class Coder:
 
 
 def fingerprints(texts: DataFrame, batch: int = 128) -> DataFrame:
-    """texts (cls, side, text) to (cls, side, text, code array of BLOCKS, bits). Side is null for a text of both sides."""
+    """texts (cls, train, held, text), a kept table, to (num, cls, train, held, text, code array of BLOCKS, bits). num is a dense number:
+    it takes fewer bytes than cls in the many rows of segments."""
     spark = texts.sparkSession
     df, n = np.zeros(BINS, np.int64), texts.count()
     for r in texts.select("text").mapInPandas(_count_bins, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
@@ -96,9 +97,10 @@ def fingerprints(texts: DataFrame, batch: int = 128) -> DataFrame:
             for i in range(0, len(b), batch):
                 part = b.iloc[i : i + batch]
                 blocks, bits = coder.value(part["text"])
-                yield part.assign(code=list(blocks.astype(np.int32)), bits=bits)
+                yield part[["cls", "train", "held", "text"]].assign(code=list(blocks.astype(np.int32)), bits=bits)
 
-    return texts.mapInPandas(code, texts.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", code array<int>, bits bigint")
+    coded = texts.mapInPandas(code, "cls bigint, train boolean, held boolean, text string, code array<int>, bits bigint")
+    return coded.withColumn("num", F.monotonically_increasing_id())
 
 
 def references(records: DataFrame) -> DataFrame:
@@ -111,14 +113,15 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """classes (cls, train, held, text), one row per distinct text, to pairs (cls_t, cls_h, distance) of different texts:
     one with train records, the other with val or test records."""
     coded = scratch.keep(fingerprints(classes))
+    scratch.drop(classes)
     scratch.release()
-    blocks = coded.select("cls", "train", "held", "bits", F.explode("code").alias("block"))  # the number of the segment is hashed in
-    left = blocks.where("train").select("block", F.col("cls").alias("cls_t"), F.col("bits").alias("bits_t"))
-    right = blocks.where("held").select("block", F.col("cls").alias("cls_h"), F.col("bits").alias("bits_h"))
-    cand = scratch.keep(left.join(right, "block").where(f"cls_t <> cls_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("cls_t", "cls_h").distinct())
+    blocks = coded.select("num", "train", "held", "bits", F.explode("code").alias("block"))  # the number of the segment is hashed in
+    left = blocks.where("train").select("block", F.col("num").alias("num_t"), F.col("bits").alias("bits_t"))
+    right = blocks.where("held").select("block", F.col("num").alias("num_h"), F.col("bits").alias("bits_h"))
+    cand = scratch.keep(left.join(right, "block").where(f"num_t <> num_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("num_t", "num_h").distinct())
     scratch.release()
-    text = coded.select("cls", "text")
-    pairs = cand.join(text.select(F.col("cls").alias("cls_t"), F.col("text").alias("text_t")), "cls_t").join(text.select(F.col("cls").alias("cls_h"), F.col("text").alias("text_h")), "cls_h")
+    side = lambda x: coded.select(F.col("num").alias(f"num_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("text").alias(f"text_{x}"))
+    pairs = cand.join(side("t"), "num_t").join(side("h"), "num_h")
     most = F.expr(f"cast(floor(greatest(char_length(text_t), char_length(text_h)) * {PERCENT} / 100) as int)")
     near = pairs.where(F.abs(F.char_length("text_t") - F.char_length("text_h")) <= most)
     near = near.withColumn("most", most).withColumn("distance", F.expr("levenshtein(text_t, text_h, most)"))
@@ -127,11 +130,11 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
 
 def overlaps(records: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (id_t, id_h, split, source_page, distance): a train record and a val or test record, with the latter's split and source."""
-    rows = scratch.keep(references(records))
-    texts = rows.groupBy("text").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("held"))
-    texts = texts.select(F.xxhash64("text").alias("cls"), "train", "held", "text")
+    full = scratch.keep(references(records).withColumn("cls", F.xxhash64("text")))
+    texts = scratch.keep(full.groupBy("text").agg(F.first("cls").alias("cls"), F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("held")))
+    rows = scratch.keep(full.select("id", "source_page", "split", "cls"))
+    scratch.drop(full)
     near = near_classes(texts, scratch)
-    rows = rows.select("id", "source_page", "split", F.xxhash64("text").alias("cls"))
     same = rows.groupBy("cls").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("held")).where("train and held")
     same = same.select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_h"), F.lit(0).alias("distance"))
     links = near.union(same)
