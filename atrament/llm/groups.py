@@ -15,45 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atrament.functions.fold import current_records, fold, split_name
+from atrament.operators.graph import components
 from atrament.session import Scratch, lookup, running_total, table
 
 #: A group of at least this share of all weight is placed singly, largest first; there are at most 1 / LARGE of them.
 LARGE = 0.005
 
 
-def contract(edges: DataFrame, scratch: Scratch, seed: int = 17) -> DataFrame:
-    """Components of an undirected graph: edges (u, v) to labels (v, root) of every vertex that has an edge."""
-    both = edges.select("u", "v").where("u <> v")
-    edges = scratch.keep(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    merged, r, n = [], 0, edges.count()
-    while n:
-        heads = lambda c, r=r: F.expr(f"xxhash64({c}, {seed}L, {r}L) & 1L") == 1
-        mates = scratch.keep(edges.where(~heads("u") & heads("v")).groupBy("u").agg(F.min("v").alias("p")))
-        m = mates.count()
-        r += 1
-        if not m:
-            continue
-        merged.append(mates)
-        moved = lookup(edges, mates, "u", rows=m).select(F.coalesce("p", "u").alias("u"), "v")
-        moved = lookup(moved, mates.withColumnRenamed("u", "v"), "v", rows=m).select("u", F.coalesce("p", "v").alias("v"))
-        new = scratch.keep(moved.where("u <> v").distinct())
-        scratch.drop(edges)
-        edges, n = new, new.count()
-    labels = None
-    for k, mates in enumerate(reversed(merged)):
-        if labels is None:
-            labels = mates.select(F.col("u").alias("v"), F.col("p").alias("root"))
-            continue
-        up = labels.select(F.col("v").alias("p"), "root")
-        labels = labels.unionByName(lookup(mates, up, "p").select(F.col("u").alias("v"), F.coalesce("root", "p").alias("root")))
-        if k % 4 == 3:
-            labels = scratch.keep(labels)
-    if labels is None:
-        return scratch.spark.createDataFrame([], edges.select("v", F.col("v").alias("root")).schema)
-    labels = scratch.keep(labels)
-    return labels.union(labels.select("root", "root").distinct())
-
-
 def page_groups(records: DataFrame, scratch: Scratch) -> DataFrame:
     """records (id, page_id, work_family, collection, split, ingested_at) to one row per page:
     page_id, group_page (the group's least page), records, and splits, a mask of the group's splits (1 train, 2 val, 4 test)."""
@@ -69,7 +37,7 @@ def page_groups(records: DataFrame, scratch: Scratch) -> DataFrame:
     names = small.select("page_id", F.explode(F.array_compact(F.array("a", "b"))).alias("name")).distinct()
     first = names.groupBy("page_id").agg(F.min("name").alias("first"))
     edges = names.join(first, "page_id").select(F.col("first").alias("u"), F.col("name").alias("v")).distinct()
-    labels = contract(edges, scratch).select(F.col("v").alias("first"), "root")
+    labels = components(edges, scratch).select(F.col("v").alias("first"), "root")
     pages = small.groupBy("page_id").agg(F.sum("n").alias("records"), F.bit_or("m").alias("m")).join(first, "page_id", "left")
     pages = lookup(pages, labels, "first").withColumn("root", F.coalesce("root", "first", F.concat(F.lit("p:"), "page_id"))).select("page_id", "records", "m", "root")
     pages = scratch.keep(pages)
