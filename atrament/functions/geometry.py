@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from atrament.functions.arrow import arrow
+
 
 def area(b: Column) -> Column:
     return F.greatest(b[2] - b[0], F.lit(0)) * F.greatest(b[3] - b[1], F.lit(0))
@@ -71,7 +73,7 @@ def sign_bits(vector: Column) -> Column:
     return F.aggregate(F.transform(vector, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
 
 
-@F.pandas_udf("bigint")
+@arrow("bigint")
 def difference_hash(pixels: pd.Series) -> pd.Series:
     """The 64-bit gradient hash of an 8 by 9 grid of luminance."""
     out = []
@@ -82,7 +84,7 @@ def difference_hash(pixels: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="int64")
 
 
-@F.pandas_udf("struct<ink:double,gap:int,intrusions:int>")
+@arrow("struct<ink:double,gap:int,intrusions:int>")
 def ink_profile(pixels: pd.Series) -> pd.DataFrame:
     """Of a grey crop: the share of ink, the widest run of columns without ink, and runs of ink that touch the upper or lower edge."""
     rows = []
@@ -96,7 +98,7 @@ def ink_profile(pixels: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ink", "gap", "intrusions"])
 
 
-@F.pandas_udf("array<int>")
+@arrow("array<int>")
 def ink_band(pixels: pd.Series) -> pd.Series:
     """First and last row of the band of rows with ink; empty without ink."""
     out = []

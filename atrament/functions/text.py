@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from atrament.functions.arrow import arrow
+
 #: Typographic quotes and what they become.
 QUOTES = ("„“”‟«»‚‘’‛‹›", "\"\"\"\"\"\"''''''")
 #: Letters by which Polish text is told from others.
@@ -15,17 +17,17 @@ POLISH = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
 VOWELS = "aeiouyąęó"
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(str.casefold, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def strip_marks(texts: pd.Series) -> pd.Series:
     """The canonical base letters; ł, which has none, stays."""
     return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c)[0] != "M"), na_action="ignore")

@@ -8,8 +8,8 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from atrament.functions.arrow import arrow
 
 
 def edit_table(a, b, cost=lambda x, y: x != y) -> list[list[float]]:
@@ -39,7 +39,7 @@ def edit_distance(a, b) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@arrow("int")
 def word_edits(reference: pd.Series, predicted: pd.Series) -> pd.Series:
     """Fewest word insertions, deletions and replacements."""
     return pd.Series([edit_distance((a or "").split(), (b or "").split()) for a, b in zip(reference, predicted, strict=True)], dtype="int32")
@@ -81,13 +81,13 @@ def error_class(a: str, b: str) -> str:
     return "blank" if both.isspace() else "other"
 
 
-@F.pandas_udf("array<struct<op:string,a:string,b:string,kind:string>>")
+@arrow("array<struct<op:string,a:string,b:string,kind:string>>")
 def errors_of(reference: pd.Series, predicted: pd.Series) -> pd.Series:
     """The differing places of an alignment with their kinds."""
     return pd.Series([[{"op": o, "a": x, "b": y, "kind": error_class(x, y)} for o, x, y in edit_ops(r or "", p or "") if o != "match"] for r, p in zip(reference, predicted, strict=True)])
 
 
-@F.pandas_udf("array<struct<a:string,b:string,before:string,after:string>>")
+@arrow("array<struct<a:string,b:string,before:string,after:string>>")
 def mismatch_spans(reference: pd.Series, predicted: pd.Series) -> pd.Series:
     """Differing spans with 35 characters of context."""
     out = []
@@ -98,7 +98,7 @@ def mismatch_spans(reference: pd.Series, predicted: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("array<struct<at:int,kind:string,context:string>>")
+@arrow("array<struct<at:int,kind:string,context:string>>")
 def text_issues(texts: pd.Series) -> pd.Series:
     """Replacement, private and control characters and text that is not composed, with offsets in UTF-16 units."""
     out = []
@@ -144,12 +144,12 @@ def outline_similarity(a: str, b: str) -> float:
     return 1 - edit_table(x, y, cost)[-1][-1] / max(len(x), len(y))
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def structure_similarity(reference: pd.Series, predicted: pd.Series) -> pd.Series:
     return pd.Series([outline_similarity(a, b) for a, b in zip(reference, predicted, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<struct<kind:string,text:string>>")
+@arrow("array<struct<kind:string,text:string>>")
 def outline_rows(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"kind": k, "text": t} for k, t in outline(x)] for x in texts])
 
@@ -251,13 +251,13 @@ def table_similarity(reference: str | None, predicted: str | None, structure_onl
     return 1 - tree_distance(a, b, cost) / max(len(_flat(a)[0]), len(_flat(b)[0]))
 
 
-@F.pandas_udf(T.StructType([T.StructField("teds", T.DoubleType()), T.StructField("struct", T.DoubleType())]))
+@arrow("struct<teds:double,struct:double>")
 def table_scores(reference: pd.Series, predicted: pd.Series) -> pd.DataFrame:
     pairs = list(zip(reference, predicted, strict=True))
     return pd.DataFrame({"teds": [table_similarity(a, b) for a, b in pairs], "struct": [table_similarity(a, b, True) for a, b in pairs]})
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def table_rows(html: pd.Series) -> pd.Series:
     """The texts of each row, cells joined by a tab."""
 

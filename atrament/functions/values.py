@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from atrament.functions.arrow import let
 from atrament.functions.text import collapse
 
 #: Genitive names of the months in Polish.
@@ -18,7 +19,10 @@ def _valid(y: Column, m: Column, d: Column) -> Column:
 
 
 def date_value(col: Column) -> Column:
-    t = F.regexp_replace(collapse(F.lower(col)), r"\s*r\.?$", "")
+    return let(F.regexp_replace(collapse(F.lower(col)), r"\s*r\.?$", ""), lambda t: _day(t, col))
+
+
+def _day(t: Column, col: Column) -> Column:
     pick = lambda p, k: F.regexp_extract(t, p, k)
     iso, day_first, named = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$", rf"^(\d{{1,2}}) ({'|'.join(MONTHS)}) (\d{{4}})$"
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), pick(named, 2)).cast("string")
@@ -29,21 +33,16 @@ def date_value(col: Column) -> Column:
 def money_value(col: Column) -> Column:
     """The amount as plain decimal text without trailing zeros. The right-most mark followed by one or two digits, or by
     other than three, is decimal; a mark before three digits groups them. Minus zero is zero."""
-    t = F.regexp_replace(F.lower(col), r"(?U)[\s\x{a0}\x{202f}']", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(zł|pln|eur|usd|€|\$)\.?", ""), r",-$", "")
-    ok = t.rlike(r"^[+-]?\d[\d.,]*$")
-    negative = t.startswith("-")
-    u = F.regexp_replace(t, r"^[+-]", "")
-    last = F.regexp_extract(u, r"([.,])\d*$", 1)
-    tail = F.regexp_extract(u, r"[.,](\d*)$", 1)
-    marks = F.regexp_count(u, F.lit(r"[.,]"))
-    same = marks == F.regexp_count(u, F.concat(F.lit("["), last, F.lit("]")))
-    groups = (F.char_length(tail) == 3) & F.when(marks > 1, same).otherwise(F.regexp_extract(u, r"^(\d+)", 1).rlike(r"^\d{1,3}$"))
-    whole = F.regexp_replace(F.when((last == "") | groups, u).otherwise(F.regexp_extract(u, r"^(.*)[.,]\d*$", 1)), r"[.,]", "")
-    cents = F.when((last == "") | groups, F.lit("")).otherwise(tail)
-    whole, cents = F.regexp_replace(whole, r"^0+(?=\d)", ""), F.regexp_replace(cents, r"0+$", "")
-    amount = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(cents == "", "").otherwise(F.concat(F.lit("."), cents)))
-    return F.when(ok, F.concat(F.when(negative & (amount != "0"), "-").otherwise(""), amount)).otherwise(collapse(col))
+    clean = F.regexp_replace(F.lower(col), r"(?U)[\s\x{a0}\x{202f}']|zł|pln|eur|usd|€|\$", "")
+    clean = F.regexp_replace(clean, r"^([+-]?[\d.,]*?)(?:,-)?\.?$", "$1")
+
+    def amount(t: Column) -> Column:
+        u = F.regexp_replace(t, r"^[+-]", "")
+        grouped = u.rlike(r"^\d{1,3}(?:\.\d{3})+$|^\d{1,3}(?:,\d{3})+$")
+        split = F.when(grouped | ~u.rlike("[.,]"), F.array(u, F.lit(""))).otherwise(F.array(F.regexp_extract(u, r"^(.*)[.,]\d*$", 1), F.regexp_extract(u, r"[.,](\d*)$", 1)))
+        return let(split, lambda p: let(F.array(F.regexp_replace(F.regexp_replace(p[0], "[.,]", ""), r"^0+(?=\d)", ""), F.regexp_replace(p[1], "0+$", "")), lambda q: F.concat(F.when(t.startswith("-") & (F.concat(F.translate(q[0], "0", ""), q[1]) != ""), "-").otherwise(""), F.when(q[0] == "", "0").otherwise(q[0]), F.when(q[1] == "", "").otherwise(F.concat(F.lit("."), q[1])))))
+
+    return let(clean, lambda t: F.when(t.rlike(r"^[+-]?\d[\d.,]*$"), amount(t)).otherwise(collapse(col)))
 
 
 def digits_value(col: Column, length: int) -> Column:

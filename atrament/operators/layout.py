@@ -164,11 +164,11 @@ def page_skew(words: DataFrame, keys: list[str], page: str, x: str, y: str, most
 
 
 def anchor_reason(text: Column, confidence: Column, found: Column) -> Column:
-    """The first reason to reject a line as an anchor; null for an anchor. ``found``: how often the text stands in its page."""
+    """The first reason to reject a line as an anchor; null for an anchor. Confidences run to 100; ``found``: how often the text stands in its page."""
     from atrament.functions.text import first_reason
 
     return first_reason(
-        (F.coalesce(confidence, F.lit(0.0)) < 0.9, "low_confidence"), ((F.char_length(text) < 20) | (F.size(F.split(F.trim(text), r"\s+")) < 3), "too_short"), (~text.rlike(r"\p{Ll}"), "not_line_like"), (text.rlike(r"[�\p{Co}]"), "invalid_glyph"), (F.coalesce(found, F.lit(0)) != 1, "not_unique"),
+        (F.coalesce(confidence, F.lit(0.0)) < 90, "low_confidence"), ((F.char_length(text) < 20) | (F.size(F.split(F.trim(text), r"\s+")) < 3), "too_short"), (~text.rlike(r"\p{Ll}"), "not_line_like"), (text.rlike(r"[�\p{Co}]"), "invalid_glyph"), (F.coalesce(found, F.lit(0)) != 1, "not_unique"),
     )
 
 

@@ -1,4 +1,6 @@
-"""Catalog of the named queries and their SQL."""
+"""Catalog of the core queries and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from atrament.plans import choices, integrity, layouts, scores  # noqa: F401
+from atrament.plans.registry import QUERIES, SQL  # noqa: F401

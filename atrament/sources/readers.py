@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from atrament.functions.arrow import arrow
 from atrament.functions.geometry import polygon_box
 
 
@@ -44,7 +45,7 @@ def _local(tag: str) -> str:
 _REGION = "id string, place int, points string, text string, lines int"
 
 
-@F.pandas_udf(f"array<struct<{_REGION.replace(' string', ':string').replace(' int', ':int')}>>")
+@arrow(f"array<struct<{_REGION.replace(' string', ':string').replace(' int', ':int')}>>")
 def page_regions(xml: pd.Series) -> pd.Series:
     """Text regions of a page document in reading order; a document that does not parse has none."""
 
@@ -69,7 +70,7 @@ def page_regions(xml: pd.Series) -> pd.Series:
     return xml.map(read)
 
 
-@F.pandas_udf("struct<text:string,lines:int,usable:int>")
+@arrow("struct<text:string,lines:int,usable:int>")
 def alto_text(xml: pd.Series) -> pd.DataFrame:
     """The text of an ALTO document, its lines, and those with content and a baseline."""
     rows = []
@@ -117,7 +118,7 @@ def tree_digest(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-@F.pandas_udf("array<struct<member:string,sha256:string,safe:boolean>>")
+@arrow("array<struct<member:string,sha256:string,safe:boolean>>")
 def archive_members(content: pd.Series) -> pd.Series:
     """Members of ZIP or TAR files with checksums; unsafe names (absolute, upward, links) are marked and not read."""
     import hashlib
