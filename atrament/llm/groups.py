@@ -6,7 +6,7 @@ throws a coin per vertex, joins every tails vertex into its least heads neighbou
 left; the labels are then unwound from the last round to the first. Groups are split by cumulative weight.
 
 Defined cases: a null name, or one without letters and digits, shares nothing; a page without names is a group of its
-own; rows with a null page_id or id are ignored, an empty table gives no rows; repeated rows count once.
+own; rows with a null page_id or id are ignored, an empty table gives no rows; repeated rows count once; without targets the assigned split is null.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def assign(groups: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame
     what is left by their cumulative weight."""
     goal = {r.split: float(r.target_share) for r in targets.groupBy("split").agg(F.max("target_share").alias("target_share")).orderBy("split").collect() if r.split is not None and r.target_share}
     if not goal:
-        raise ValueError("no split has a target share")
+        return groups.select("group_page", "weight", F.lit(None).cast("string").alias("split"))
     total = groups.agg(F.sum("weight")).first()[0] or 0
     left = {s: g / sum(goal.values()) * total for s, g in goal.items()}
     bound = LARGE * total
