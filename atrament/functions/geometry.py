@@ -11,11 +11,11 @@ from atrament.functions.arrow import arrow
 
 
 def area(b: Column) -> Column:
-    return F.greatest(b[2] - b[0], F.lit(0)) * F.greatest(b[3] - b[1], F.lit(0))
+    return F.greatest(F.get(b, F.lit(2)) - F.get(b, F.lit(0)), F.lit(0)) * F.greatest(F.get(b, F.lit(3)) - F.get(b, F.lit(1)), F.lit(0))
 
 
 def overlap_area(a: Column, b: Column) -> Column:
-    return F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0)) * F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0))
+    return F.greatest(F.least(F.get(a, F.lit(2)), F.get(b, F.lit(2))) - F.greatest(F.get(a, F.lit(0)), F.get(b, F.lit(0))), F.lit(0)) * F.greatest(F.least(F.get(a, F.lit(3)), F.get(b, F.lit(3))) - F.greatest(F.get(a, F.lit(1)), F.get(b, F.lit(1))), F.lit(0))
 
 
 def iou(a: Column, b: Column) -> Column:
@@ -31,25 +31,25 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def box_ok(b: Column, width: Column, height: Column) -> Column:
-    inside = (F.size(b) == 4) & (b[0] >= 0) & (b[1] >= 0) & (b[0] < b[2]) & (b[1] < b[3]) & (b[2] <= width) & (b[3] <= height)
+    inside = (F.size(b) == 4) & (F.get(b, F.lit(0)) >= 0) & (F.get(b, F.lit(1)) >= 0) & (F.get(b, F.lit(0)) < F.get(b, F.lit(2))) & (F.get(b, F.lit(1)) < F.get(b, F.lit(3))) & (F.get(b, F.lit(2)) <= width) & (F.get(b, F.lit(3)) <= height)
     return F.coalesce(inside, F.lit(False))
 
 
 def clamp(b: Column, pad: int, width: Column, height: Column) -> Column:
-    return F.array(F.greatest(b[0] - pad, F.lit(0)), F.greatest(b[1] - pad, F.lit(0)), F.least(b[2] + pad, width), F.least(b[3] + pad, height))
+    return F.array(F.greatest(F.get(b, F.lit(0)) - pad, F.lit(0)), F.greatest(F.get(b, F.lit(1)) - pad, F.lit(0)), F.least(F.get(b, F.lit(2)) + pad, width), F.least(F.get(b, F.lit(3)) + pad, height))
 
 
 def polygon_box(points: Column) -> Column:
     """The box of a polygon written as "x,y x,y ..."."""
     p = F.transform(F.filter(F.split(points, r"\s+"), lambda x: x != ""), lambda x: F.split(x, ","))
-    xs, ys = F.transform(p, lambda x: x[0].cast("int")), F.transform(p, lambda x: x[1].cast("int"))
+    xs, ys = F.transform(p, lambda x: F.get(x, F.lit(0)).cast("int")), F.transform(p, lambda x: F.get(x, F.lit(1)).cast("int"))
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
 def rotate_box(b: Column, degrees: Column, cx: Column, cy: Column) -> Column:
     """The box around a box turned about a point."""
     c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
-    corners = [(b[i], b[j]) for i in (0, 2) for j in (1, 3)]
+    corners = [(F.get(b, F.lit(i)), F.get(b, F.lit(j))) for i in (0, 2) for j in (1, 3)]
     xs = F.array(*[cx + (x - cx) * c - (y - cy) * s for x, y in corners])
     ys = F.array(*[cy + (x - cx) * s + (y - cy) * c for x, y in corners])
     low, high = lambda v: F.floor(F.array_min(v)).cast("int"), lambda v: F.ceil(F.array_max(v)).cast("int")
@@ -59,7 +59,7 @@ def rotate_box(b: Column, degrees: Column, cx: Column, cy: Column) -> Column:
 def normal_overlap(a: Column, b: Column, degrees: Column) -> Column:
     """How far two boxes overlap across the line direction; negative is a gap."""
     c, s = F.cos(F.radians(degrees)), F.sin(F.radians(degrees))
-    across = lambda v: F.array(*[v[j] * c - v[i] * s for i in (0, 2) for j in (1, 3)])
+    across = lambda v: F.array(*[F.get(v, F.lit(j)) * c - F.get(v, F.lit(i)) * s for i in (0, 2) for j in (1, 3)])
     p, q = across(a), across(b)
     return F.least(F.array_max(p), F.array_max(q)) - F.greatest(F.array_min(p), F.array_min(q))
 

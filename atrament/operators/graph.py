@@ -15,21 +15,20 @@ def components(edges: DataFrame, scratch: Scratch, seed: int = 17) -> DataFrame:
     is left; labels are then unwound from the last round to the first. Null ends and loops are ignored.
     """
     both = edges.select("u", "v").where("u <> v")
-    edges = scratch.keep(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    merged, r, n = [], 0, edges.count()
+    edges, n = scratch.count(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    merged, r = [], 0
     while n:
         heads = lambda c, r=r: F.expr(f"xxhash64({c}, {seed}L, {r}L) & 1L") == 1
-        mates = scratch.keep(edges.where(~heads("u") & heads("v")).groupBy("u").agg(F.min("v").alias("p")))
-        m = mates.count()
+        mates, m = scratch.count(edges.where(~heads("u") & heads("v")).groupBy("u").agg(F.min("v").alias("p")))
         r += 1
         if not m:
             continue
         merged.append(mates)
         moved = lookup(edges, mates, "u", rows=m).select(F.coalesce("p", "u").alias("u"), "v")
         moved = lookup(moved, mates.withColumnRenamed("u", "v"), "v", rows=m).select("u", F.coalesce("p", "v").alias("v"))
-        new = scratch.keep(moved.where("u <> v").distinct())
-        scratch.drop(edges)
-        edges, n = new, new.count()
+        old = edges
+        edges, n = scratch.count(moved.where("u <> v").distinct())
+        scratch.drop(old)
     labels = None
     for k, mates in enumerate(reversed(merged)):
         if labels is None:

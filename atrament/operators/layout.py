@@ -145,8 +145,9 @@ def word_lines(words: DataFrame) -> DataFrame:
 def line_gaps(lines: DataFrame, page: str, order: str, box: str) -> DataFrame:
     """The gap to the next line of the page (negative: overlap) and the crop edges midway to the neighbours."""
     w = Window.partitionBy(page).orderBy(order)
-    b, n, p = F.col(box), F.lead(box).over(w), F.lag(box).over(w)
-    return lines.withColumn("gap", n[1] - b[3]).withColumn("crop_top", F.when(p.isNull(), b[1]).otherwise(F.floor((p[3] + b[1]) / 2).cast("int"))).withColumn("crop_bottom", F.when(n.isNull(), b[3]).otherwise(F.ceil((b[3] + n[1]) / 2).cast("int")))
+    at = lambda c, i: F.get(c, F.lit(i))
+    b, n, p = ([at(c, i) for i in range(4)] for c in (F.col(box), F.lead(box).over(w), F.lag(box).over(w)))
+    return lines.withColumn("gap", n[1] - b[3]).withColumn("crop_top", F.when(p[3].isNull(), b[1]).otherwise(F.floor((p[3] + b[1]) / 2).cast("int"))).withColumn("crop_bottom", F.when(n[1].isNull(), b[3]).otherwise(F.ceil((b[3] + n[1]) / 2).cast("int")))
 
 
 def page_gate(lines: DataFrame, page: str, conflict: Column, matched: Column, total: Column, least: float = 0.4) -> DataFrame:

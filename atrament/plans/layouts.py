@@ -45,14 +45,14 @@ def page_gates(spark, d):
 
 @query("page_boxes", f"""WITH {CURRENT} SELECT page_id, min(bbox[1]) AS left_, min(bbox[2]) AS top_, max(bbox[3]) AS right_, max(bbox[4]) AS bottom_, median(bbox[4] - bbox[2]) AS height, round(min(min_word_confidence), 6) AS confidence FROM cur GROUP BY page_id""")
 def page_boxes(spark, d):
-    b = F.col("bbox")
+    b = [F.get("bbox", F.lit(i)) for i in range(4)]
     return boxes(spark, d, "min_word_confidence").groupBy("page_id").agg(F.min(b[0]).alias("left_"), F.min(b[1]).alias("top_"), F.max(b[2]).alias("right_"), F.max(b[3]).alias("bottom_"), F.median(b[3] - b[1]).alias("height"), F.round(F.min("min_word_confidence"), 6).alias("confidence"))
 
 
 @query("page_skews", f"""WITH {CURRENT}, l AS (SELECT page_id, floor(line_index / 8) AS part, regr_slope(CAST(bbox[1] AS DOUBLE), CAST(line_index AS DOUBLE)) AS slope FROM cur GROUP BY ALL)
 SELECT page_id, round(median(degrees(atan(slope))), 6) AS skew, abs(median(degrees(atan(slope)))) > 5 AS rejected FROM l WHERE slope IS NOT NULL AND NOT isnan(slope) GROUP BY page_id""")
 def page_skews(spark, d):
-    rows = boxes(spark, d).select("page_id", F.floor(F.col("line_index") / 8).alias("part"), F.col("line_index").cast("double").alias("x"), F.col("bbox")[0].cast("double").alias("y"))
+    rows = boxes(spark, d).select("page_id", F.floor(F.col("line_index") / 8).alias("part"), F.col("line_index").cast("double").alias("x"), F.get("bbox", F.lit(0)).cast("double").alias("y"))
     return layout.page_skew(rows, ["part"], "page_id", "x", "y").withColumn("skew", F.round("skew", 6))
 
 
@@ -69,7 +69,7 @@ def anchor_reasons(spark, d):
 def ordered_slots(spark, d):
     rows = table(spark, d, "printed_replay_geometry").select("page_id", "line_index").distinct()
     s = rows.groupBy("page_id").agg(F.array_sort(F.collect_list("line_index")).alias("s"))
-    return s.select("page_id", F.col("s")[0].alias("first_slot"), F.size("s").cast("bigint").alias("slots"), (F.element_at("s", -1) - F.col("s")[0] + 1 - F.size("s")).cast("bigint").alias("holes"))
+    return s.select("page_id", F.get("s", F.lit(0)).alias("first_slot"), F.size("s").cast("bigint").alias("slots"), (F.try_element_at("s", F.lit(-1)) - F.get("s", F.lit(0)) + 1 - F.size("s")).cast("bigint").alias("holes"))
 
 
 @query("interpolated_numbers", """WITH p AS (SELECT DISTINCT page_no, work_family, page_number FROM ocr_pages), x AS (SELECT *, last_value(CASE WHEN page_number IS NOT NULL THEN page_no END IGNORE NULLS) OVER w AS bn, last_value(page_number IGNORE NULLS) OVER w AS bv, first_value(CASE WHEN page_number IS NOT NULL THEN page_no END IGNORE NULLS) OVER v AS an, first_value(page_number IGNORE NULLS) OVER v AS av FROM p

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may hold to be broadcast; counted before every broadcast.
@@ -74,6 +74,12 @@ class Scratch:
         out._atrament_path = path
         return out
 
+    def count(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """A kept table and its rows, counted while it is written."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
     def release(self) -> None:
         """Lets the driver see that shuffles replaced by kept tables are no longer used, so that their files go."""
         gc.collect()
