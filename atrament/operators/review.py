@@ -11,8 +11,8 @@ from atrament.functions.text import collapse, first_reason
 def chain_breaks(events: DataFrame, page: str, order: list[str], original: str = "original") -> DataFrame:
     """Events whose text before is not the text after of the event before (the original for the first), or whose time goes back."""
     w = Window.partitionBy(page).orderBy(*order)
-    out = events.withColumn("expected", F.coalesce(F.lag("after").over(w), F.col(original)))
-    return out.where(~F.col("before").eqNullSafe(F.col("expected")) | F.coalesce(F.col("timestamp") < F.lag("timestamp").over(w), F.lit(False)))
+    out = events.withColumn("expected", F.coalesce(F.lag("after").over(w), F.col(original))).withColumn("backward", F.coalesce(F.col("timestamp") < F.lag("timestamp").over(w), F.lit(False)))
+    return out.where(~F.col("before").eqNullSafe(F.col("expected")) | F.col("backward"))
 
 
 def latest(events: DataFrame, keys: list[str], time: str, columns: list[str]) -> DataFrame:
