@@ -17,6 +17,8 @@ is ignored; long texts are cut whole; empty tables give no rows.
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -160,6 +162,21 @@ def _quotes(text: str) -> tuple[dict[int, int], dict[int, int]]:
     return pair, back
 
 
+_INNER, _STRIP = ".'’-‐", ".,;:!?…()[]{}„”“»«\"'’。！？，"
+
+
+def _word_before(text: str, i: int, start: int) -> str:
+    """The word or number that ends at i; empty if there is none."""
+    j = i
+    while j > start and (text[j - 1].isalnum() or text[j - 1] in _INNER or text[j - 1] > "\u02ff" and unicodedata.category(text[j - 1])[0] == "M"):
+        j -= 1
+    word = text[j:i].lstrip(_INNER)
+    if word and (text[j - 1 : j] in (",", ":", "/") or not word.isalpha()):
+        m = _BEFORE.search(text, max(start, i - 60), i)
+        return m[0] if m else ""
+    return word
+
+
 class Cutter:
     def __init__(self, model: dict[str, dict]):
         empty = {"abbr": {}, "known": {}, "ordinal": set()}
@@ -177,9 +194,12 @@ class Cutter:
         """Where each paragraph ends, and the tables of the language that knows most of its words; codes may be wrong and texts mixed."""
         out, at = [], 0
         for end in [*(m.end() for m in _BLANK_LINE.finditer(text)), len(text)]:
-            hits = Counter(k for w in _TOKEN.findall(text, at, end) for k in self.spoken.get(w.lower(), ()))
-            best = max(hits.values(), default=0)
-            top = [self.languages[k] for k, n in hits.items() if n == best]
+            hits = [0] * len(self.languages)
+            for w in text[at:end].lower().split():
+                for k in self.spoken.get(w.strip(_STRIP), ()):
+                    hits[k] += 1
+            best = max(hits, default=0)
+            top = [x for x, n in zip(self.languages, hits, strict=True) if n == best] if best else []
             name = language if language in top or not top else min(top)
             out.append((end, self.model.get(name, self.all) if name not in (None, "und") else self.all))
             at = end
@@ -197,7 +217,7 @@ class Cutter:
             return len(text[start:at].strip()) > len(word) + 1  # else it is the marker of a list entry
         if _ROMAN.match(nxt) or len(nxt) == 1 and nxt.isupper():
             known = False  # a numeral or an initial
-        short = len(_TOKEN.findall(text[start:at])) <= 3
+        short = len(text[start:at].split(None, 3)) <= 3
         if len(word) == 1 and word.isupper():
             return known and not short and len(nxt) > 1 and lang["abbr"].get(low, -1) >= 0.5
         ends = lang["abbr"].get(low)
@@ -256,8 +276,7 @@ class Cutter:
             return k if nc.isupper() or f in pair or closed else -1
         if marks[-1] != "." or closed and marks != ".":
             return k if gap or nc.isupper() or f in pair or not nc.isalnum() or not nc.isascii() else -1
-        m = _BEFORE.search(text, max(start, i - 60), i)
-        word = m[0] if m else ""
+        word = _word_before(text, i, start)
         if not gap and not closed:
             if nc.isdigit() or not (nc.isupper() or f in pair or nc.isalpha()):
                 return -1
@@ -283,6 +302,7 @@ class Cutter:
         if _HAS_UNMARKED.search(text):
             events += [(m.start(), 2, m.end()) for m in _UNMARKED_GAP.finditer(text)]
         events.sort()
+        starts = [0, *(m.end() for m in _LINE_END.finditer(text))]
         lengths = sorted(len(x.rstrip()) for x in _LINE_END.split(text))
         width = lengths[-2] if len(lengths) > 3 else lengths[-1]
         held = []  # quotations with a reporting clause: no end inside
@@ -312,7 +332,7 @@ class Cutter:
                 if end > 0 and inside and end <= held[h][1]:
                     end = -1
             elif kind == 1:
-                end = a if self._line(text, a, b, width, start) else -1
+                end = a if self._line(text, a, b, width, start, starts) else -1
             else:
                 end = a if not inside and self._gap(text, a, b, start) else -1
             if end > start:
@@ -334,13 +354,11 @@ class Cutter:
             i -= 1
         return bool(_HAS_UNMARKED.search(text, i, a)) and text[b] not in "ๆฯ)]}»”"
 
-    def _line(self, text: str, a: int, b: int, width: int, start: int) -> bool:
+    def _line(self, text: str, a: int, b: int, width: int, start: int, starts: list[int]) -> bool:
         """Whether the line break text[a:b] ends a unit; breaks after sentence marks were decided there."""
         if b >= len(text) or len(_LINE_END.findall(text, a, b)) > 1:
             return True
-        i = a
-        while i > 0 and not _LINE_END.match(text[i - 1]):
-            i -= 1
+        i = starts[bisect_right(starts, a) - 1]
         line = text[i:a]
         if _entry(text, b) and not (text[b] in "–—-" and line.rstrip()[-1:] in "”“»«\"" and line.rstrip()[-1:]):
             return True
