@@ -51,11 +51,12 @@ def labels(evidence: DataFrame, annotators: list[str]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"raw": b["raw"], "said": [[clean(x) for x in row] for row in b["raw"]]})
+            yield pd.DataFrame({"key": b["key"], "said": [[clean(x) for x in row] for row in b["raw"]]})
 
     once = evidence.where("spot_id is not null").groupBy("spot_id").agg(F.max(F.struct("collected_at", F.array(*annotators).alias("raw")))["raw"].alias("raw"))
-    pure = once.select("raw").distinct().mapInPandas(run, "raw array<string>, said array<string>")
-    return once.join(pure, once.raw.eqNullSafe(pure.raw)).select("spot_id", "said").where("exists(said, x -> x is not null)")
+    once = once.withColumn("key", F.to_json("raw"))  # one pattern may hold a third of all spots
+    pure = once.groupBy("key").agg(F.first("raw").alias("raw")).mapInPandas(run, "key string, said array<string>")
+    return lookup(once.select("spot_id", "key"), pure, "key", "inner").select("spot_id", "said").where("exists(said, x -> x is not null)")
 
 
 def digamma(x: Column) -> Column:
@@ -117,10 +118,10 @@ def consensus(evidence: DataFrame, annotators: list[str], scratch: Scratch):
     post, counts, share = infer(patterns, annotators, scratch)
     best = post.groupBy("pid").agg(F.max(F.struct("q", "truth")).alias("top"), F.max("q").alias("m"), F.collect_list(F.struct("q", "truth")).alias("all"))  # at most one entry per annotator
     best = best.select("pid", F.array_min(F.transform(F.filter("all", lambda x: x.q >= F.col("m") - 1e-9), lambda x: x.truth)).alias("label"), F.col("m").alias("confidence"))
-    out = patterns.join(best, "pid").select("said", "label", "confidence")
+    out = patterns.join(best, "pid").select("pid", "said", "label", "confidence")
     answers = F.size(F.filter("said", lambda x: x.isNotNull()))
     out = out.withColumn("answers", answers).withColumn("agreement", F.size(F.filter("said", lambda x: x == F.col("label"))) / F.col("answers"))
-    found = spots.join(out, "said").select("spot_id", "label", "confidence", "agreement", "answers")
+    found = lookup(spots.select("spot_id", "pid"), scratch.keep(out.drop("said")), "pid", "inner").select("spot_id", "label", "confidence", "agreement", "answers")
     own = counts.groupBy("k").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("truth") == F.col("answer"), F.col("n")).otherwise(0)).alias("right"))
     names = scratch.spark.createDataFrame([(k, a, max(share[k], key=lambda m: (share[k][m], -m))) for k, a in enumerate(annotators)], "k int, annotator string, community int")
     people = names.join(own, "k", "left").select("annotator", F.round("n").cast("long").alias("answers"), ((F.col("right") + STRENGTH * RIGHT / (RIGHT + WRONG)) / (F.col("n") + STRENGTH)).alias("reliability"), "community")
