@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atrament.functions.values import NIP_WEIGHTS, check_digit, money_text
+from atrament.session import Scratch, numbered
 
 
 def root_id() -> Column:
@@ -53,18 +54,25 @@ def split_reasons(pages: DataFrame, near: DataFrame | None = None) -> DataFrame:
     return out.groupBy("a", "b").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
+def _first(rows: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
+    """The first rows of each group with their place; cut within hash parts first, so that a hot group is not ordered whole."""
+    out = rows.withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(64)))
+    out = out.withColumn("place", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))).where(F.col("place") <= most)
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= most).drop("_part")
+
+
 def capped_quota(rows: DataFrame, group: str, page: str, priority: str, rank: Column, per_page: int, per_group: int) -> DataFrame:
     """At most ``per_group`` rows of a group and ``per_page`` of a page, by falling priority, then rank. Page caps are
     applied first: a page belongs to one group, so the greedy order and the two windows choose the same rows."""
     out = rows.withColumn("_h", rank)
     out = out.withColumn("_p", F.row_number().over(Window.partitionBy(group, page).orderBy(F.desc(priority), "_h"))).where(F.col("_p") <= per_page)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(priority), "_h"))).where(F.col("place") <= per_group).drop("_h", "_p")
+    return _first(out, group, [F.desc(priority), F.col("_h")], per_group).drop("_h", "_p")
 
 
 def pages_in_turn(rows: DataFrame, group: str, page: str, rank: Column, per_group: int) -> DataFrame:
     """Of each group ``per_group`` rows, one of each page in turn."""
     out = rows.withColumn("_h", rank).withColumn("_r", F.row_number().over(Window.partitionBy(group, page).orderBy("_h")))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("_r", "_h"))).where(F.col("place") <= per_group).drop("_h", "_r")
+    return _first(out, group, [F.col("_r"), F.col("_h")], per_group).drop("_h", "_r")
 
 
 def route_labels(detections: DataFrame, names: dict[str, str]) -> tuple[DataFrame, DataFrame]:
@@ -124,9 +132,9 @@ def later_wins(parts: list[DataFrame], key: str, text: str) -> DataFrame:
     return out.groupBy(key).agg(F.max_by("text", F.when(F.col("text").isNotNull(), F.col("_i"))).alias(text))
 
 
-def positional(a: DataFrame, b: DataFrame, order: list[str]) -> DataFrame:
-    """Rows of both sides paired by their position in an order; sides of different length raise."""
-    number = lambda df, s: df.select(F.struct("*").alias(s), F.row_number().over(Window.orderBy(*order)).alias("position"))
+def positional(a: DataFrame, b: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
+    """Rows of both sides paired by their position in a total order; sides of different length raise."""
+    number = lambda df, s: numbered(df, [F.col(c) for c in order], "position", scratch).select(F.struct(*df.columns).alias(s), "position")
     j = number(a, "a").join(number(b, "b"), "position", "full")
     return j.withColumn("a", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("a")).otherwise(F.raise_error(F.lit("sides differ in length")).cast(j.schema["a"].dataType)))
 

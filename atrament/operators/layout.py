@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrament.functions import geometry as G
+from atrament.session import Scratch, lookup, numbered
 
 
 def conflicts(boxes: DataFrame, page: str, key: str, box: str, iou: float = 0.5, inside: float = 0.9) -> DataFrame:
@@ -179,12 +180,13 @@ def occurrences(text: Column, page_text: Column) -> Column:
     return F.regexp_count(page_text, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), quoted, F.lit(r"(?![\p{L}\p{N}])")))
 
 
-def coco(objects: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def coco(objects: DataFrame, pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """images, annotations and categories with dense ids in the order of their keys."""
-    number = lambda df, *keys: df.withColumn("id", F.row_number().over(Window.orderBy(*keys)))
-    images = number(pages.select("page_id", "file_name", "width", "height"), "page_id")
+    number = lambda df, *keys: numbered(df, [F.col(k) for k in keys], "id", scratch)
+    images = number(pages.select("page_id", "file_name", "width", "height").distinct(), "page_id")
     categories = number(objects.select(F.col("label").alias("name")).distinct(), "name")
-    b = F.col("box")
-    notes = objects.join(images.select("page_id", F.col("id").alias("image_id")), "page_id").join(categories.select(F.col("name").alias("label"), F.col("id").alias("category_id")), "label")
-    notes = notes.select("image_id", "category_id", F.array(b[0], b[1], b[2] - b[0], b[3] - b[1]).alias("bbox"), G.area(b).alias("area"), F.lit(0).alias("iscrowd"))
+    b = [F.get("box", F.lit(i)) for i in range(4)]
+    notes = objects.join(images.select("page_id", F.col("id").alias("image_id")), "page_id")
+    notes = lookup(notes, categories.select(F.col("name").alias("label"), F.col("id").alias("category_id")), "label", "inner")
+    notes = notes.select("image_id", "category_id", F.array(b[0], b[1], b[2] - b[0], b[3] - b[1]).alias("bbox"), G.area(F.col("box")).alias("area"), F.lit(0).alias("iscrowd"))
     return images, number(notes, "image_id", "category_id", "bbox"), categories

@@ -9,7 +9,7 @@ from atrament.functions.fold import current_records
 from atrament.functions.trees import table_scores
 from atrament.operators import asof, layout, review
 from atrament.plans.registry import CURRENT, query
-from atrament.session import table
+from atrament.session import Scratch, table
 from atrament.streaming import workers
 
 
@@ -77,7 +77,7 @@ def ordered_slots(spark, d):
 SELECT page_no, round(coalesce(bv + (page_no - bn) / nullif(an - bn, 0) * (av - bv), bv, av), 6) AS number FROM x""")
 def interpolated_numbers(spark, d):
     p = table(spark, d, "ocr_pages").select("page_no", "work_family", "page_number").distinct()
-    got = asof.neighbours(p, p.where("page_number is not null"), ["work_family"], "page_no", "page_number")
+    got = asof.neighbours(p, p.where("page_number is not null"), ["work_family"], "page_no", "page_number", Scratch(spark, "asof"))
     return asof.interpolate(got, "page_no", "number").select("page_no", F.round("number", 6).alias("number"))
 
 

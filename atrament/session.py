@@ -120,3 +120,8 @@ def running_total(df: DataFrame, order: list[Column], weight: str, out: str, scr
         .withColumn(out, F.col(out) + F.col("_before"))
         .drop("_part", "_before")
     )
+
+
+def numbered(df: DataFrame, order: list[Column], out: str, scratch: Scratch) -> DataFrame:
+    """Adds ``out``: the place of each row in a total order, from 1, without ordering all rows in one task."""
+    return running_total(df.withColumn("_one", F.lit(1)), order, "_one", out, scratch).drop("_one").withColumn(out, F.col(out) + 1)

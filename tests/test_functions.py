@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from atrament.functions import geometry, text, trees, values
 from atrament.functions.fold import fold, split_name
-from atrament.operators import asof, contracts, graph, layout, review, scoring, select, similarity
+from atrament.operators import asof, contracts, corpus, graph, layout, review, scoring, select, similarity
 from atrament.session import running_total
 
 
@@ -183,16 +183,40 @@ def test_review(spark):
     assert {r.page_id: r.state for r in review.adjudicate(d).collect()} == {"a": "verified", "b": "conflict", "c": "pending"}
 
 
-def test_select_and_asof(spark):
+def test_select_and_asof(spark, scratch):
     df = spark.createDataFrame([(f"g{i % 3}", i) for i in range(30)], "g string, k int")
     got = [r.g for r in select.round_robin(df, "g", "s", "k", 6).collect()]
     assert len(set(got[:3])) == 3 and got[:3] == got[3:]
     rows = spark.createDataFrame([("w", 5), ("w", 1), ("w", 20)], "w string, at int")
     anchors = spark.createDataFrame([("w", 2, 20.0), ("w", 8, 80.0)], "w string, at int, v double")
-    out = asof.interpolate(asof.neighbours(rows, anchors, ["w"], "at", "v"), "at", "x")
+    out = asof.interpolate(asof.neighbours(rows, anchors, ["w"], "at", "v", scratch), "at", "x")
     assert {r.at: r.x for r in out.collect()} == {5: 50.0, 1: 20.0, 20: 80.0}
 
 
+def test_coco_and_positions(spark, scratch):
+    objects = spark.createDataFrame([("p2", "b", [0, 0, 4, 4]), ("p1", "a", [1, 1, 3, 5])], "page_id string, label string, box array<int>")
+    images, notes, categories = layout.coco(objects, spark.createDataFrame([("p1", "f1", 9, 9), ("p2", "f2", 9, 9)], "page_id string, file_name string, width int, height int"), scratch)
+    assert [(r.id, r.image_id, r.category_id, r.bbox) for r in notes.orderBy("id").collect()] == [(1, 1, 1, [1, 1, 2, 4]), (2, 2, 2, [0, 0, 4, 4])]
+    a, b = spark.createDataFrame([(3,), (1,)], "k int"), spark.createDataFrame([(7,), (9,)], "k int")
+    assert sorted((r.a.k, r.b.k) for r in corpus.positional(a, b, ["k"], scratch).collect()) == [(1, 7), (3, 9)]
+    with pytest.raises(Exception, match="differ"):
+        corpus.positional(a, b.limit(1), ["k"], scratch).collect()
+
+
+def test_corpus(spark):
+    new = spark.createDataFrame([("n1", "o1", "x")], "id string, parent_id string, text string")
+    old = spark.createDataFrame([("o1", "y"), ("o2", "z")], "id string, text string")
+    assert {r.root_id: r.text for r in corpus.merge_pools({"old": old, "new": new}, ["old", "new"]).collect()} == {"o1": "x", "o2": "z"}
+    pages = spark.createDataFrame([("a", "train", "i", None), ("b", "test", "i", "d"), ("c", "val", "j", "d")], "id string, split string, image_sha256 string, document_id string")
+    assert {(r.a, r.b): r.reasons for r in corpus.split_reasons(pages).collect()} == {("a", "b"): ["image"], ("b", "c"): ["document"]}
+    kept, rest = corpus.route_labels(spark.createDataFrame([("Text-Block",), ("blot",)], "label string"), {"text block": "text"})
+    assert kept.first().canonical == "text" and rest.first().label == "blot"
+    assert corpus.disjoint_subset([("a", 4, frozenset("x")), ("b", 6, frozenset("xy")), ("c", 9, frozenset("y"))], 6, frozenset("xy")) == ("b",)
+    bad = corpus.recompute_audit(spark.createDataFrame([("m", 0.1), ("n", 0.2)], "k string, cer double"), spark.createDataFrame([("m", 0.1), ("n", 0.3)], "k string, cer double"), ["k"], ["cer"])
+    assert [r.k for r in bad.collect()] == ["n"]
+    assert one(spark, corpus.accept_correction(F.lit("a\nb"), F.lit("c")), corpus.mean_probability(F.array(F.lit(1), F.lit(2)), F.array(F.lit(0.5), F.lit(0.9)), [2])) == ("a\nb", 0.5)
+
+
 def test_json_is_sorted(spark):
     from atrament.sources.writers import sorted_json
 
