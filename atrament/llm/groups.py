@@ -105,3 +105,14 @@ def p3_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_assigned": p3_assigned, "p3_shares": p3_shares}
+
+_FOLD = "nullif(regexp_replace(translate(strip_accents(lower({0})), 'ł', 'l'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '')"
+_SPLIT = "CASE WHEN lower(trim(split, ' \n\t\r')) IN ('valid', 'validation') THEN 'val' WHEN lower(trim(split, ' \n\t\r')) IN ('train', 'val', 'test') THEN lower(trim(split, ' \n\t\r')) END"
+
+#: The twin reaches every page from every page, which only small tables bear.
+SQL = {
+    "p3_found": f"""WITH RECURSIVE cur AS (SELECT page_id, {_FOLD.format("work_family")} AS w, {_FOLD.format("collection")} AS c, {_SPLIT} AS s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM printed_replay_geometry) WHERE rn = 1),
+n AS (SELECT DISTINCT page_id, 'w' || w AS k FROM cur WHERE w IS NOT NULL UNION SELECT DISTINCT page_id, 'c' || c FROM cur WHERE c IS NOT NULL), b AS (SELECT page_id AS u, k AS v FROM n UNION SELECT k, page_id FROM n), p AS (SELECT DISTINCT page_id FROM cur),
+r(x, y) AS (SELECT page_id, page_id FROM p UNION SELECT r.x, b.v FROM r JOIN b ON r.y = b.u), g AS (SELECT x AS page_id, min(y) AS group_page FROM r WHERE y IN (SELECT page_id FROM p) GROUP BY x),
+s AS (SELECT g.group_page FROM g JOIN cur USING (page_id) GROUP BY g.group_page HAVING count(DISTINCT s) >= 2) SELECT group_page, page_id FROM g WHERE group_page IN (SELECT group_page FROM s)"""
+}

@@ -155,3 +155,13 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
+
+#: The twin compares all pairs of texts, which only small tables bear.
+_COUNTS = ", ".join(f"length(t) - length(replace(t, '{c}', '')) AS n_{c}" for c in "abcdefghijklmnoprstuwyz")
+_APART = " + ".join(f"abs(a.n_{c} - b.n_{c})" for c in "abcdefghijklmnoprstuwyz")  # an edit changes two counts by one at most
+_PAIRS = f"""WITH cur AS (SELECT id, source_page, regexp_replace(translate(strip_accents(lower(reference)), 'ł', 'l'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t, CASE WHEN lower(trim(split, ' \n\t\r')) IN ('valid', 'validation') THEN 'val' ELSE lower(trim(split, ' \n\t\r')) END AS split FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM printed_replay_geometry) WHERE rn = 1),
+r AS (SELECT * FROM cur WHERE length(t) >= 20 AND split IN ('train', 'val', 'test')), a AS MATERIALIZED (SELECT t, {_COUNTS} FROM (SELECT DISTINCT t FROM r WHERE split = 'train')), b AS MATERIALIZED (SELECT t, {_COUNTS} FROM (SELECT DISTINCT t FROM r WHERE split <> 'train')),
+c AS MATERIALIZED (SELECT a.t AS x, b.t AS y FROM a JOIN b ON length(a.t) BETWEEN length(b.t) * 0.88 - 1 AND length(b.t) / 0.88 + 1 WHERE ({_APART}) * 100 <= 24 * greatest(length(a.t), length(b.t))),
+j AS (SELECT x, y FROM c WHERE levenshtein(x, y) * 100 <= 12 * greatest(length(x), length(y))), p AS (SELECT u.id AS id_t, v.id AS id_h FROM j JOIN r u ON u.t = j.x AND u.split = 'train' JOIN r v ON v.t = j.y AND v.split <> 'train')
+"""
+SQL = {"p4_found": _PAIRS + "SELECT least(id_t, id_h) AS id_a, greatest(id_t, id_h) AS id_b FROM p"}
