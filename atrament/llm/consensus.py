@@ -113,7 +113,7 @@ def infer(patterns: DataFrame, names: list[str], scratch: Scratch) -> tuple[Data
 def consensus(evidence: DataFrame, annotators: list[str], scratch: Scratch):
     """(spots, annotators): spot_id, label, confidence, agreement (share of its answers that equal the label), answers; and
     annotator, answers, reliability (expected share of right answers), community."""
-    spots = scratch.keep(labels(evidence, annotators).withColumn("pid", F.xxhash64("said")))
+    spots = scratch.keep(labels(evidence, annotators).withColumn("pid", F.to_json("said")))  # a hash would skip the nulls that tell patterns apart
     patterns = scratch.keep(spots.groupBy("said").agg(F.first("pid").alias("pid"), F.count(F.lit(1)).alias("w")))
     post, counts, share = infer(patterns, annotators, scratch)
     best = post.groupBy("pid").agg(F.max(F.struct("q", "truth")).alias("top"), F.max("q").alias("m"), F.collect_list(F.struct("q", "truth")).alias("all"))  # at most one entry per annotator

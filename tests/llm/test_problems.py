@@ -116,6 +116,13 @@ def test_consensus_trusts_the_reliable(spark, scratch):
     assert len(got) == 400 and min(rel["a"], rel["b"]) > max(rel["c"], rel["d"])
 
 
+def test_consensus_tells_annotators_with_equal_answers_apart(spark, scratch):
+    rows = [(i, *["a" if k == i % 5 else None for k in range(5)], 1) for i in range(40)] + [(99, None, "b", "b", None, "c", 1)]
+    df = spark.createDataFrame(rows, "spot_id int, a string, b string, c string, d string, e string, collected_at int")
+    found = consensus.consensus(df, ["a", "b", "c", "d", "e"], scratch)[0].collect()
+    assert sorted(r.spot_id for r in found) == [*range(40), 99] and {r.label for r in found} == {"a", "b"}
+
+
 def test_plan_fills_and_keeps_counts():
     rng = random.Random(1)
     for capacity, separator in ((50, 0), (128, 2), (512, 1)):
