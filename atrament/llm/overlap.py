@@ -6,6 +6,11 @@ inverse frequency over all texts: two segments are equal with the ROWS-th power
 Segments of train texts are joined with those of val and test texts, pairs within the Hamming radius of the 64 bits are
 kept, and the edit distance of the folded texts decides. Equal texts are one class and meet without fingerprints.
 
+Texts that share no segment meet by pieces, which lose no pair: k edits leave one of k + 1 disjoint pieces of PIECE
+characters of a train text whole, and the other text holds it at most k places away. Of all choices of such pieces the one
+is taken that val and test texts hold least often. Lengths and letter counts, which k edits change by k and 2 k at most,
+drop most of these candidates before the edit distance.
+
 Frequencies are counted over all texts in a table of BINS hashed trigrams, whose size does not grow.
 
 Defined cases: null, short (fewer than MIN_CHARS letters and digits) and unassigned references have no pair; repeated
@@ -27,8 +32,78 @@ MIN_CHARS = 20
 PERCENT = 12
 GRAM, BINS, BLOCKS, ROWS, BITS = 3, 1 << 16, 30, 4, 64
 #: Bits that may differ. Texts within PERCENT share 0.38 of their weight or more, so 0.31 of the bits differ or fewer; of unrelated ones a half.
-RADIUS = 26
+RADIUS = 30
 SEED = 20240229
+#: Length of a piece: a text of MIN_CHARS or more has room for one more piece than the edits allowed. Bins that count pieces; parts in which pieces are joined one after the other.
+PIECE, PIECE_BINS, ROUNDS = 5, 1 << 18, 3
+#: Texts beyond this length are cut into pieces from their beginning on, whatever the pieces' counts.
+LONG = 2000
+
+
+def most_edits(lens: np.ndarray) -> np.ndarray:
+    """Edits at most between a text of this length and any longer one."""
+    return lens * 100 // (100 - PERCENT) * PERCENT // 100
+
+
+def _windows(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of texts, a row each, filled up with 0; the lengths; a hash of the piece that begins at each place."""
+    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    a = np.zeros((len(texts), max(PIECE, lens.max())), np.uint32)
+    a[np.arange(a.shape[1]) < lens[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.zeros((len(texts), a.shape[1] - PIECE + 1), np.uint64)
+    for i in range(PIECE):
+        h = h * np.uint64(1_000_003) + a[:, i : i + h.shape[1]]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return a, lens, (h >> np.uint64(32)).astype(np.uint32)
+
+
+def _bin(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint32(32 - PIECE_BINS.bit_length() + 1)
+
+
+def rare_pieces(h: np.ndarray, lens: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Where the pieces of each text begin, most_edits + 1 of them (then -1): disjoint, the least in the sum of held by bin."""
+    n, wide, need = len(h), h.shape[1], most_edits(lens) + 1
+    if wide > LONG:  # any disjoint pieces will do
+        r = np.arange(int(need.max()))
+        return np.where(r < need[:, None], r * PIECE, -1)
+    cost = np.where(np.arange(wide) <= (lens - PIECE)[:, None], held[_bin(h)], np.float32(1e30))
+    best, taken = np.zeros((n, wide + PIECE), np.float32), []  # least sum within the first places
+    for _ in range(int(need.max())):
+        new = np.full((n, wide + PIECE), np.float32(1e30))
+        new[:, PIECE:] = np.minimum(best[:, :wide] + cost, np.float32(1e30))
+        best = np.minimum.accumulate(new, axis=1)
+        taken.append(new[:, PIECE:] <= best[:, PIECE - 1 : -1])  # the piece that ends here is as good as any before
+    out, end, row = np.full((n, len(taken)), -1, np.int64), lens.copy(), np.arange(n)
+    for r in range(len(taken) - 1, -1, -1):
+        on = need > r
+        last = np.maximum.accumulate(np.where(taken[r], np.arange(wide), -1), axis=1)
+        at = last[row, np.clip(end - PIECE, 0, wide - 1)]
+        out[on, r] = at[on]
+        end = np.where(on, at, end)
+    return out
+
+
+def letter_bits(a: np.ndarray) -> np.ndarray:
+    """Two numbers of 64 bits per text that differ in twice the edits at most: 32 groups of letters, the count of each in a
+    ring of four bits where the next count differs in one."""
+    ring = np.array([0, 1, 3, 7, 15, 14, 12, 8], np.uint64)
+    n = np.zeros((len(a), 32), np.int64)
+    at, col = np.nonzero(a)
+    np.add.at(n, (at, a[at, col] & 31), 1)
+    four = ring[n % 8].reshape(len(a), 2, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(four, axis=2).astype(np.int64)
+
+
+def _count_pieces(batches):
+    n = np.zeros(PIECE_BINS, np.int64)
+    for b in batches:
+        for i in range(0, len(b), 512):
+            _, lens, h = _windows(b["text"].iloc[i : i + 512])
+            n += np.bincount(_bin(h[np.arange(h.shape[1]) <= (lens - PIECE)[:, None]]), minlength=PIECE_BINS)
+    at = np.nonzero(n)[0]
+    yield pd.DataFrame({"bin": at.astype(np.int32), "n": n[at]})
 
 
 def grams(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +184,46 @@ def references(records: DataFrame) -> DataFrame:
     return rows.select("id", "source_page", split_name(F.col("split")).alias("split"), fold(F.col("reference")).alias("text")).where(f"split is not null and char_length(text) >= {MIN_CHARS}")
 
 
+def piece_candidates(coded: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """coded (num, train, held, text) to kept tables of pairs (num_t, num_h), among them all within PERCENT."""
+    held = np.zeros(PIECE_BINS, np.float32)
+    got = coded.where("held").select("text").mapInPandas(_count_pieces, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # PIECE_BINS rows at most
+    held[got["bin"].to_numpy()] = got["n"].to_numpy()
+    counts = coded.sparkSession.sparkContext.broadcast(held + np.float32(0.01))
+
+    def cut(batches):
+        for b in batches:
+            order = b["text"].str.len().to_numpy().argsort(kind="stable")  # like lengths together, as rows are filled up to the longest
+            longest = int(b["text"].str.len().max()) if len(b) else 0
+            step = 256 if longest <= 500 else 8
+            for i in range(0, len(b), step):
+                part = b.iloc[order[i : i + step]]
+                a, lens, h = _windows(part["text"])
+                letters = letter_bits(a)
+                keys = h.view(np.int32)
+                for side in ("train", "held"):
+                    on = np.nonzero(part[side].to_numpy(bool))[0]
+                    if not len(on):
+                        continue
+                    if side == "train":
+                        spots = [x[x >= 0] for x in rare_pieces(h[on], lens[on], counts.value)]
+                    else:
+                        spots = [np.arange(n - PIECE + 1) for n in lens[on]]
+                    yield pd.DataFrame({"num": part["num"].to_numpy()[on], "train": side == "train", "len": lens[on].astype(np.int32), "s1": letters[on, 0], "s2": letters[on, 1], "piece": [keys[j, x] for j, x in zip(on, spots, strict=True)], "at": [x.astype(np.int32) for x in spots]})
+
+    pieces = scratch.keep(coded.select("num", "train", "held", "text").mapInPandas(cut, "num bigint, train boolean, len int, s1 bigint, s2 bigint, piece array<int>, at array<int>"))
+    out = []
+    for r in range(ROUNDS):
+        each = pieces.select("train", "num", "len", "s1", "s2", F.explode(F.expr(f"filter(arrays_zip(piece, at), x -> pmod(x.piece, {ROUNDS}) = {r})")).alias("x"))
+        side = lambda x: each.where("train" if x == "t" else "not train").select(F.col("x.piece").alias("piece"), *[F.col(c).alias(f"{c}_{x}") for c in ("num", "len", "s1", "s2")], F.col("x.at").alias(f"at_{x}"))  # noqa: B023, E731
+        most = f"(greatest(len_t, len_h) * {PERCENT} div 100)"
+        near = side("t").join(side("h").hint("shuffle_hash"), "piece").where(f"abs(at_t - at_h) <= {most} and abs(len_t - len_h) <= {most} and bit_count(s1_t ^ s1_h) + bit_count(s2_t ^ s2_h) <= 2 * {most} and num_t <> num_h")
+        out.append(scratch.keep(near.select("num_t", "num_h").distinct()))
+        scratch.release()
+    scratch.drop(pieces)
+    return out
+
+
 def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """classes (cls, train, held, text), one row per distinct text, to pairs (cls_t, cls_h, distance) of different texts:
     one with train records, the other with val or test records."""
@@ -120,6 +235,9 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     right = blocks.where("held").select("block", F.col("num").alias("num_h"), F.col("bits").alias("bits_h"))
     cand = scratch.keep(left.join(right, "block").where(f"num_t <> num_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("num_t", "num_h").distinct())
     scratch.release()
+    for more in piece_candidates(coded, scratch):
+        cand = cand.union(more)
+    cand = cand.distinct()
     side = lambda x: coded.select(F.col("num").alias(f"num_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("text").alias(f"text_{x}"))
     pairs = cand.join(side("t"), "num_t").join(side("h"), "num_h")
     most = F.expr(f"cast(floor(greatest(char_length(text_t), char_length(text_h)) * {PERCENT} / 100) as int)")

@@ -96,6 +96,24 @@ def test_overlap_recall(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_overlap_finds_every_pair_at_the_border(spark):
+    """Random letters at the largest distance leave many pairs without a common segment."""
+    rng, rows, near = random.Random(17), [], set()
+    word = lambda n: "".join(rng.choice("abcdefghijklmnoprstuwyz") for _ in range(n))
+    for i in range(400):
+        a = word(rng.choice([20, 23, 34, 60, 97, 130]))
+        b = list(a)
+        for j in rng.sample(range(len(a)), len(a) * 12 // 100):
+            b[j] = rng.choice(["", "q", "x" + b[j]]) if i % 2 else rng.choice("vqx")
+        b = "".join(b)
+        rows += [(f"a{i}", "p", "train", a, 1), (f"b{i}", "p", "test", b, 1)]
+        if len(b) >= 20 and distance(a, b) * 100 <= 12 * max(len(a), len(b)):
+            near.add((f"a{i}", f"b{i}"))
+    df = spark.createDataFrame(rows, "id string, source_page string, split string, reference string, ingested_at int")
+    got = {(r.id_t, r.id_h) for r in overlap.overlaps(df, Scratch(spark, "t")).collect()}
+    assert len(near) > 200 and got == near
+
+
 def test_consensus_labels():
     assert [consensus.clean(x) for x in (None, " ", "<empty>", "„a”", "(b)\n", "*c*", "ﻻ", "é", "​d", "'E'")] == [None, None, None, "a", "b", "c", "ﻻ", "é", "d", "E"]
 
