@@ -142,7 +142,7 @@ class Coder:
 
     def __call__(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
         if self.draws is None:
-            weight = np.log((self.n + 1) / (self.df + 1)) + 1e-3
+            weight = np.maximum(np.log((self.n + 1) / (self.df + 1)), 0) + 1e-3  # a bin may occur more often than there are texts
             rng = np.random.Generator(np.random.PCG64(SEED))
             self.draws = rng.standard_exponential((BINS, BLOCKS * ROWS), dtype=np.float32) / weight[:, None].astype(np.float32)
         bins, at = grams(texts)

@@ -96,6 +96,18 @@ def test_overlap_recall(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_trigrams_more_frequent_than_texts_win_no_minimum():
+    import numpy as np
+
+    df = np.ones(overlap.BINS, np.int64)
+    df[overlap.grams(["aaa"])[0]] = 1000
+    coder = overlap.Coder(df, 100)
+    coder(["aaaabcdefghijklmnoprst"])
+    assert coder.draws.min() >= 0
+    rest, _ = coder(["aaaabcdefghijklmnoprst", "aaaazyxwvutsrqponmlkji"])
+    assert (rest[0] != rest[1]).all()
+
+
 def test_overlap_finds_every_pair_at_the_border(spark):
     """Random letters at the largest distance leave many pairs without a common segment."""
     rng, rows, near = random.Random(17), [], set()
