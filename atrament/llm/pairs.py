@@ -1,9 +1,11 @@
 """Problem 2: broken prompt and response pairs.
 
-Method: the openings of responses are clustered by verified MinHash over word shingles. A cluster whose openings recur
-across unrelated prompts of several kinds, and that either declines in words or is often stopped by a content filter, is a
-refusal template. The remaining defects come from checks of each pair: content, copies of the input or of its parts, the
-end of the output against the material and its form, and the language against that of the material or the one asked for.
+Method: responses are clustered by verified MinHash over the word shingles of their openings and of their whole text; equal
+openings are one. A cluster that recurs across unrelated prompts of several kinds is a refusal template by any of three
+signs: a content filter often stopped it, most of it declines in words, or it answers several prompts whose material it
+should give back with something else. Recurrence alone is no sign: short answers ("the price is # zl") recur as well.
+The remaining defects come from checks of each pair: content, copies of the input or of its parts, the end of the output
+against the material and its form, and the language against that of the material or the one asked for.
 Instructions are told from material by prefixes that recur across inputs; the language identifier learns from documents.
 
 One defect is given, the first that holds of: empty, copy, refusal, wrong_language, truncated. Defined cases: status error,
@@ -13,10 +15,12 @@ a response_id count once (the latest); equal outputs share their opening; empty
 
 from __future__ import annotations
 
-import hashlib
 import json
+import math
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from itertools import islice
 
 import numpy as np
@@ -35,6 +39,8 @@ BANDS, ROWS = 10, 2
 PROMPTS, KINDS = 3, 2
 #: Share of a template's responses that a content filter stopped.
 FILTERED = 0.1
+#: Share of a template's responses that decline in words.
+SAID = 0.5
 
 #: Words in which models decline, by language.
 DECLINES = regex.compile(
@@ -80,8 +86,23 @@ def opening(output: str | None) -> str | None:
     t = output.lstrip()
     if t.startswith(_QUOTE) and len(t) > 1 and not t.rstrip().endswith(_QUOTE):
         return None
-    words = [m[0].lower().replace("’", "'") for m in islice(_WORD.finditer(t), OPENING)]
-    return _DIGIT.sub("#", " ".join(words)) or None
+    return _masked(t, OPENING) or None
+
+
+def _masked(text: str, most: int | None = None) -> str:
+    """The words, or the first ones, in lower case, digits masked."""
+    return _DIGIT.sub("#", " ".join(m[0].lower().replace("’", "'") for m in islice(_WORD.finditer(text), most)))
+
+
+def declines(output: str) -> bool:
+    return bool(DECLINES.search(output.strip()[:160].replace("’", "'")))
+
+
+def is_apart(text: str | None, output: str) -> bool:
+    """Less than half of the output's words stand in the input."""
+    seen = set(_WORD.findall((text or "").lower()))
+    words = _WORD.findall(output.lower())
+    return sum(w in seen for w in words) < 0.5 * len(words)
 
 
 def prefixes(text: str | None) -> list[tuple[str, int]]:
@@ -224,12 +245,7 @@ class Judge:
         op = opening(output)
         if op is None:
             return False
-        said = bool(DECLINES.search(output.strip()[:160].replace("’", "'")))
-        if not said and not template:
-            return False
-        seen = set(_WORD.findall((text or "").lower()))
-        words = _WORD.findall(output.lower())
-        return sum(w in seen for w in words) < 0.5 * len(words)
+        return bool(template or declines(output)) and is_apart(text, output)
 
 
 def _close(a: str, b: str) -> bool:
@@ -243,9 +259,14 @@ def _close(a: str, b: str) -> bool:
     return row[-1] * 4 <= max(len(a), len(b), 1)
 
 
-def shingles(text: str) -> set[int]:
-    words = text.split()
-    return {int.from_bytes(hashlib.blake2b(" ".join(words[i : i + SHINGLE]).encode(), digest_size=8).digest(), "little") for i in range(max(1, len(words) - SHINGLE + 1))}
+def shingles(text: str) -> np.ndarray:
+    """Hashes of the shingles of a masked text, sorted, each once."""
+    w = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in text.split()], np.uint64)
+    h = np.zeros(max(1, len(w) - SHINGLE + 1), np.uint64)
+    for i in range(min(SHINGLE, len(w))):
+        h = (h ^ w[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
 _A = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -253,36 +274,75 @@ _A = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 62, BANDS * ROWS,
 
 def _bands(batches):
     for b in batches:
-        ops, keys = [], []
-        for op in b["opening"]:
-            h = np.fromiter(shingles(op), np.uint64)
-            least = ((h[:, None] * _A[None, :]) ^ ((h[:, None] * _A[None, :]) >> np.uint64(31))).min(0)
+        ids, keys = [], []
+        for i, text in zip(b["id"], b["text"], strict=True):
+            h = shingles(text)[:, None] * _A[None, :]
+            least = (h ^ (h >> np.uint64(31))).min(0)
             for k in range(BANDS):
-                ops.append(op)
+                ids.append(i)
                 keys.append(hash((k, *least[k * ROWS : k * ROWS + ROWS].tolist())))
-        yield pd.DataFrame({"opening": ops, "band": keys})
+        yield pd.DataFrame({"id": ids, "band": keys})
+
+
+def _alike(x: set, y: set) -> bool:
+    small, large = sorted((len(x), len(y)))
+    return small >= SIMILARITY * large and len(x & y) >= SIMILARITY * len(x | y)
+
+
+def _linked(texts: list[str], openings: list[str]) -> list[tuple[str, str]]:
+    """Links of openings that join all texts of a band that are alike. Alike texts share one of their rarest shingles: of n, those
+    but SIMILARITY * n (prefix filter); so only texts that share one are compared, and only until they are in one cluster."""
+    sets = [set(shingles(t).tolist()) for t in texts]
+    often = Counter(x for s in sets for x in s)
+    up, met, out = list(range(len(sets))), {}, []
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, s in enumerate(sets):
+        first = sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1]
+        for j in {j for x in first for j in met.get(x, ())}:
+            if (a := top(i)) != (b := top(j)) and _alike(s, sets[j]):
+                up[a] = b
+                out.append((openings[i], openings[j]))
+        for x in first:
+            met.setdefault(x, []).append(i)
+    return [(u, v) for u, v in out if u != v]
 
 
-def _verify(batches):
+def _links(batches):
+    """Rows (band, text, opening) in order of bands to links of openings."""
+    band, texts, openings = None, [], []
     for b in batches:
-        keep = []
-        for x, y in zip(b["opening"], b["leader"], strict=True):
-            p, q = shingles(x), shingles(y)
-            keep.append(len(p & q) >= SIMILARITY * len(p | q))
-        yield b[keep]
+        out = []
+        for key, text, opening in zip(b["band"], b["text"], b["opening"], strict=True):
+            if key != band:
+                out += _linked(texts, openings)
+                band, texts, openings = key, [], []
+            texts.append(text)
+            openings.append(opening)
+        yield pd.DataFrame(out, columns=["u", "v"], dtype=object)
+    yield pd.DataFrame(_linked(texts, openings), columns=["u", "v"], dtype=object)
 
 
 def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows (opening, prompt, category, finish_reason) to (opening, template): openings of recurring templates."""
-    each = rows.where("opening is not null").groupBy("opening").agg(F.approx_count_distinct("prompt").alias("p"), F.collect_set("category").alias("kinds"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "content_filter").alias("filtered"))
+    """rows (opening, whole, prompt, category, finish_reason, said, apart) to (opening, template): openings of recurring templates."""
+    rows = rows.where("opening is not null")
+    each = rows.groupBy("opening").agg(F.approx_count_distinct("prompt").alias("p"), F.collect_set("category").alias("kinds"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "content_filter").alias("filtered"), F.count_if("said").alias("said"), F.approx_count_distinct(F.when(F.col("apart"), F.col("prompt"))).alias("owed"))
     each = scratch.keep(each)
-    bands = scratch.keep(each.select("opening").mapInPandas(_bands, "opening string, band bigint"))
-    leaders = bands.groupBy("band").agg(F.min("opening").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    # each member meets its bucket's leader only, so a hot bucket costs its size
-    pairs = lookup(bands, leaders, "band", "inner").where("opening <> leader").select("opening", "leader").distinct().mapInPandas(_verify, "opening string, leader string")
-    labels = components(pairs.select(F.col("opening").alias("u"), F.col("leader").alias("v")), scratch).select(F.col("v").alias("opening"), "root")
+    texts = each.select(F.col("opening").alias("text"), "opening").union(rows.select(F.col("whole").alias("text"), "opening")).distinct()
+    texts = scratch.keep(texts.withColumn("id", F.xxhash64("text")))
+    bands = scratch.keep(texts.select("id", "text").mapInPandas(_bands, "id bigint, band bigint"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
+    members = bands.join(shared, "band").join(texts, "id").select("band", "text", "opening")
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    links = members.repartition(parts, "band").sortWithinPartitions("band", "text").mapInPandas(_links, "u string, v string").distinct()
+    labels = components(links, scratch).select(F.col("v").alias("opening"), "root")
     all_ = lookup(each, labels, "opening").withColumn("root", F.coalesce("root", "opening"))
-    sums = all_.groupBy("root").agg(F.sum("p").alias("p"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"), F.sum("n").alias("n"), F.sum("filtered").alias("filtered"))
+    sums = all_.groupBy("root").agg(F.sum("p").alias("p"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("filtered", "said", "owed")])
     sums = sums.where((F.col("p") >= PROMPTS) & (F.size("kinds") >= KINDS) & (F.col("filtered") >= FILTERED * F.col("n")))
     return lookup(all_.select("opening", "root"), sums.select("root"), "root", "inner").select("opening", F.lit(True).alias("template"))
 
@@ -296,14 +356,17 @@ def judged(responses: DataFrame, documents: DataFrame, scratch: Scratch) -> Data
 
     def with_opening(batches):
         for b in batches:
-            yield b.assign(opening=[opening(x) for x in b["output"]])
+            ops = [opening(x) for x in b["output"]]
+            kinds = [x or "" for x in b["category"]]
+            apart = [o is not None and k.startswith(("repair", "preserve_clean")) and isinstance(x, str) and not is_empty(y) and is_apart(x, y) for o, k, x, y in zip(ops, kinds, b["input"], b["output"], strict=True)]
+            yield b.assign(opening=ops, whole=[None if o is None else _masked(y) for o, y in zip(ops, b["output"], strict=True)], said=[o is not None and declines(y) for o, y in zip(ops, b["output"], strict=True)], apart=apart)
 
     ddl = "response_id bigint, " + ", ".join(f"{c} string" for c in cols)
-    rows = scratch.keep(rows.mapInPandas(with_opening, ddl + ", opening string").withColumn("prompt", F.xxhash64("input")))
+    rows = scratch.keep(rows.mapInPandas(with_opening, ddl + ", opening string, whole string, said boolean, apart boolean").withColumn("prompt", F.xxhash64("input")))
     total = rows.count()
     known = {r.key for r in keys.where(F.col("n") >= max(4, 1e-5 * total)).collect()}  # a row has 6 at most, so 6e5 at most
     judge = scratch.spark.sparkContext.broadcast(Judge(known, identify.fit(documents)))
-    marked = lookup(rows, scratch.keep(templates(rows, scratch)), "opening")
+    marked = lookup(rows.drop("whole", "said", "apart"), scratch.keep(templates(rows, scratch)), "opening")
 
     def run(batches):
         for b in batches:

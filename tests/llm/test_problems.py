@@ -96,6 +96,26 @@ def test_overlap_recall(spark):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def _templates(spark, scratch, rows):
+    """rows (output, prompt, category, finish_reason, said, apart) to the openings of templates."""
+    rows = [(pairs.opening(o), pairs._masked(o), *rest) for o, *rest in rows]
+    df = spark.createDataFrame(rows, "opening string, whole string, prompt bigint, category string, finish_reason string, said boolean, apart boolean")
+    return {r.opening for r in pairs.templates(df, scratch).collect()}
+
+
+def test_templates_join_by_their_whole_text(spark, scratch):
+    """Each opening stands once, the rest of sixty words is the same; a chain whose ends are not alike is one cluster."""
+    tail = " ".join(f"word{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(50))
+    names = ["jan", "anna", "piotr", "ewa"]
+    rows = [(f"we leave the page of {x} as it is {tail}", i, ["question", "extract"][i % 2], "content_filter", False, False) for i, x in enumerate(names)]
+    assert len(_templates(spark, scratch, rows)) == 4
+    words = [f"w{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(80)]
+    chain = [" ".join(words[6 * i : 6 * i + 60]) for i in range(4)]
+    p, q, r = (set(pairs.shingles(x).tolist()) for x in chain[:3])
+    assert pairs._alike(p, q) and not pairs._alike(p, r)
+    assert len(_templates(spark, scratch, [(x, i, ["question", "extract"][i % 2], "content_filter", False, False) for i, x in enumerate(chain)])) == 4
+
+
 def test_trigrams_more_frequent_than_texts_win_no_minimum():
     import numpy as np
 
