@@ -343,7 +343,7 @@ def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     labels = components(links, scratch).select(F.col("v").alias("opening"), "root")
     all_ = lookup(each, labels, "opening").withColumn("root", F.coalesce("root", "opening"))
     sums = all_.groupBy("root").agg(F.sum("p").alias("p"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("filtered", "said", "owed")])
-    sums = sums.where((F.col("p") >= PROMPTS) & (F.size("kinds") >= KINDS) & (F.col("filtered") >= FILTERED * F.col("n")))
+    sums = sums.where((F.col("p") >= PROMPTS) & (F.size("kinds") >= KINDS) & ((F.col("filtered") >= FILTERED * F.col("n")) | (F.col("said") >= SAID * F.col("n")) | (F.col("owed") >= PROMPTS)))
     return lookup(all_.select("opening", "root"), sums.select("root"), "root", "inner").select("opening", F.lit(True).alias("template"))
 
 

@@ -116,6 +116,12 @@ def test_templates_join_by_their_whole_text(spark, scratch):
     assert len(_templates(spark, scratch, [(x, i, ["question", "extract"][i % 2], "content_filter", False, False) for i, x in enumerate(chain)])) == 4
 
 
+def test_templates_without_a_filter(spark, scratch):
+    three = lambda text, said, apart: [(text, i, k, "stop", said, apart and k != "question") for i, k in enumerate(["question", "repair_x", "preserve_clean", "repair_x"])]
+    got = _templates(spark, scratch, three("i must decline", True, False) + three("mi rifuzas tion", False, True) + three("cena wynosi # zl", False, False))
+    assert got == {"i must decline", "mi rifuzas tion"}
+
+
 def test_trigrams_more_frequent_than_texts_win_no_minimum():
     import numpy as np
 
