@@ -1,6 +1,6 @@
 """A language identifier, trained on the labelled documents themselves: naive Bayes over letter n-grams within words.
 
-It is fitted on a bounded sample, at most PER_LANGUAGE whole documents of each language code in hashed order. As codes may
+It is fitted on a bounded sample, at most PER_LANGUAGE whole documents of each language code of two or three letters in hashed order. As codes may
 be wrong and texts mixed, the sample is labelled again by the first model, paragraph by paragraph, and the model refitted.
 """
 
@@ -101,12 +101,10 @@ def _count(texts: list[tuple[str, list[str]]]) -> dict[str, Counter]:
 
 def fit(documents: DataFrame, per_language: int = PER_LANGUAGE) -> Identifier:
     rows = documents.where("text is not null and lang is not null").select(language(F.col("lang")).alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
-    first = rows.where("lang <> 'und'").withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("r") <= per_language)
+    first = rows.where("lang <> 'und' and lang rlike '^[a-z]{2,3}$'").withColumn("r", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h"))).where(F.col("r") <= per_language)
     top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language).select("lang", "text").collect()  # at most per_language rows of each code
     parts = [(r.lang, _WORD.findall(p.lower()), words_of(p)) for r in top for p in regex.split(r"\n\s*\n", r.text) if p.strip()]
-    many = Counter(r.lang for r in top)
-    keep = {x for x, n in many.items() if n >= max(2, 0.02 * max(many.values()))}
-    fitted = lambda: Identifier(_count([(x, w) for x, w, _ in parts if x in keep]))
+    fitted = lambda: Identifier(_count([(x, w) for x, w, _ in parts]))
     model = fitted()
     for _ in range(2):
         parts = [((model.rank_words(v) or [(0.0, x)])[0][1], w, v) for x, w, v in parts]

@@ -1,16 +1,20 @@
 """Problem 2: broken prompt and response pairs.
 
-Method: responses are clustered by verified MinHash over the word shingles of their openings and of their whole text; equal
-openings are one. A cluster that recurs across unrelated prompts of several kinds is a refusal template by any of three
-signs: a content filter often stopped it, most of it declines in words, or it answers several prompts whose material it
-should give back with something else. Recurrence alone is no sign: short answers ("the price is # zl") recur as well.
+Method: the openings of responses are clustered by verified MinHash. An opening is the first sentence, where it makes up half
+of the words or more, else the whole output; only outputs count that stand apart from their input, most of whose words they
+do not hold. Openings are linked that share five-word shingles to SIMILARITY or more (all texts of a MinHash band are
+compared, by a prefix filter), and links carry on. A cluster that recurs across PROMPTS prompts or more, in KINDS kinds of
+task or more, is a refusal template: an answer fits one prompt and one kind, only a refusal fits unrelated ones. No list of
+words is used, so the language does not matter; a refusal whose wording no other prompt got is not found.
 The remaining defects come from checks of each pair: content, copies of the input or of its parts, the end of the output
 against the material and its form, and the language against that of the material or the one asked for.
-Instructions are told from material by prefixes that recur across inputs; the language identifier learns from documents.
+Instructions are told from material by beginnings that recur across INPUTS different inputs or more; every line end and colon
+of an input is tried. The language identifier learns from documents.
 
 One defect is given, the first that holds of: empty, copy, refusal, wrong_language, truncated. Defined cases: status error,
 null response_id: no pair; null output: empty; null input: only empty, refusal and truncated are checked; repeated rows of
-a response_id count once (the latest); equal outputs share their opening; empty tables give no rows.
+a response_id count once (the latest); equal outputs share their opening; empty tables give no rows. Texts are read whole.
+The different openings of one MinHash band are held by one task: they agree in ROWS minima, so they are near copies.
 """
 
 from __future__ import annotations
@@ -20,8 +24,8 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,37 +37,26 @@ from atrament.llm import identify
 from atrament.operators.graph import components
 from atrament.session import Scratch, lookup, table
 
-SHINGLE, SIMILARITY, OPENING = 5, 0.8, 12
-BANDS, ROWS = 10, 2
+SHINGLE, SIMILARITY = 5, 0.8
+#: Texts of a similarity of SIMILARITY share a band with probability 0.998.
+BANDS, ROWS = 12, 4
 #: A template recurs over this many different prompts, in this many kinds of task.
 PROMPTS, KINDS = 3, 2
-#: Share of a template's responses that a content filter stopped.
-FILTERED = 0.1
-#: Share of a template's responses that decline in words.
-SAID = 0.5
-
-#: Words in which models decline, by language.
-DECLINES = regex.compile(
-    r"nie mogę (?:pomóc|tego|odpowiedzieć|wykonać|spełnić)|nie jestem w stanie|nie mam (?:dostępu|możliwości)|muszę odmówić|odmawiam|nie wolno mi|nie potrafię (?:tego|pomóc|odczytać)|jako model językowy"
-    r"|\bi (?:can(?:no|')?t|can’t|am not able|am unable|must decline|do not have access|don't have access|won't be able|may not|am sorry)|i'm (?:sorry|unable|not able)|unable to (?:help|assist|comply)|as an ai\b|i have to decline|must refuse"
-    r"|ich (?:kann|darf|muss)\b[^.]{0,60}\b(?:nicht|ablehnen)|darf ich nicht|kann ich nicht|es tut mir leid|liegt mir nicht vor|als (?:ki|sprachmodell)|habe ich keinen zugriff"
-    r"|nemohu|nemám (?:přístup|možnost)|nejsem schop|nesmím|musím odmítnout|jako jazykový model|omlouvám se"
-    r"|je ne (?:peux|suis pas|dispose)|je n'ai pas accès|je dois refuser|en tant que modèle|désolé"
-    r"|не могу|не могу|вынужден отказ|у меня нет доступа|как языковая модель|не маю (?:доступу|змоги)|не можу|змушен\w* відмов|як мовна модель"
-    r"|no puedo|lo siento|non possum|recusare debeo|无法|不能(?:帮|回答|处理)|抱歉|申し訳|できません|お手伝い",
-    regex.IGNORECASE,
-)
+#: An instruction opens this many different inputs.
+INPUTS = 4
+
 #: Names of languages in instructions that ask for a translation.
-ASKED = [("pl", r"polsk|polnisch|polish|polštin|polonais"), ("en", r"angielsk|englisch|english|angličtin|anglais"), ("de", r"niemieck|deutsch|german|němčin|allemand"), ("cs", r"czesk|tschechisch|czech|češtin|tchèque"), ("fr", r"francusk|französisch|french|francouzštin|français"), ("la", r"łacin|latein|latin"), ("uk", r"ukraiń|ukrainisch|ukrainian|ukrajinštin"), ("ru", r"rosyjsk|russisch|russian|ruštin")]
+ASKED = [(x, regex.compile(p, regex.IGNORECASE)) for x, p in [("pl", r"polsk|polnisch|polish|polštin|polonais"), ("en", r"angielsk|englisch|english|angličtin|anglais"), ("de", r"niemieck|deutsch|german|němčin|allemand"), ("cs", r"czesk|tschechisch|czech|češtin|tchèque"), ("fr", r"francusk|französisch|french|francouzštin|français"), ("la", r"łacin|latein|latin"), ("uk", r"ukraiń|ukrainisch|ukrainian|ukrajinštin"), ("ru", r"rosyjsk|russisch|russian|ruštin")]]
 
-_NO_LETTER, _DIGIT, _DIGITS = re.compile(r"[\W_]+"), re.compile(r"\d"), re.compile(r"\d+")
+_NO_LETTER, _DIGITS, _GAP = re.compile(r"[\W_]+"), re.compile(r"\d+"), re.compile(r"\s+")
 _TAGS = re.compile(r"<[^<>]{0,40}>|```[a-z]*|\\n")
-_CUT = re.compile(r":\s+|[.?!]?\s*\n\s*")
+_CUT = re.compile(r":\s+|\s*\n\s*")
 _KEPT = re.compile(r"(?:OCR|JSON|Polish|German|Czech|English|Seite|Blatt|Zeile|Felder|Rechnung|Text|Lesefehler|Zwróć|Tschech|Engl|Poln|Deutsch)")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
 _DRESS = regex.compile(r"^[\s\p{Z}\p{C}\"'„”“»«‚‘’`*_>#|=~–—-]+|[\s\p{Z}\p{C}\"'„”“»«‚‘’`*_>#|=~–—-]+$")
 _FENCE = regex.compile(r"^```[a-z]*\s*\n?|\n?```\s*$", regex.MULTILINE)
 _QUOTE = tuple("„“”»«\"'‚‘「『")
+_STOP = regex.compile(r"[.!?…。！？।؟]+[\"'”“»«)\]」』’*_`]*(?=\s|\Z)|[。！？]+")
 _END = regex.compile(r"(?:[.!?…。！？।؟]|[.!?…]\s*)[\"'”“»«)\]」』’*_`]*\Z")
 
 
@@ -79,85 +72,88 @@ def is_empty(output: str | None) -> bool:
     return not t or t in ("null", "none", "nil", "nan", "undefined")
 
 
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower().replace("’", "'"))
+
+
 def opening(output: str | None) -> str | None:
-    """The first words of an output in lower case, digits masked; None for one that opens with a quotation."""
+    """The words of the first sentence, of the whole output where these are less than half; None for one that opens with a quotation."""
     if output is None:
         return None
     t = output.lstrip()
     if t.startswith(_QUOTE) and len(t) > 1 and not t.rstrip().endswith(_QUOTE):
         return None
-    return _masked(t, OPENING) or None
-
-
-def _masked(text: str, most: int | None = None) -> str:
-    """The words, or the first ones, in lower case, digits masked."""
-    return _DIGIT.sub("#", " ".join(m[0].lower().replace("’", "'") for m in islice(_WORD.finditer(text), most)))
-
-
-def declines(output: str) -> bool:
-    return bool(DECLINES.search(output.strip()[:160].replace("’", "'")))
+    stop, whole = _STOP.search(t), words_of(t)
+    first = words_of(t[: stop.end()]) if stop else whole
+    return " ".join(first if 2 * len(first) >= len(whole) else whole) or None
 
 
 def is_apart(text: str | None, output: str) -> bool:
     """Less than half of the output's words stand in the input."""
-    seen = set(_WORD.findall((text or "").lower()))
-    words = _WORD.findall(output.lower())
+    seen, words = set(_WORD.findall((text or "").lower())), _WORD.findall(output.lower())
     return sum(w in seen for w in words) < 0.5 * len(words)
 
 
-def prefixes(text: str | None) -> list[tuple[str, int]]:
-    """Where an input may be cut into instruction and material: masked instruction, offset of the material."""
-    out = []
-    t = text or ""
-    for m in _CUT.finditer(t[:160]):
-        head = t[: m.end()].strip()
-        if 8 <= len(head) <= 130:
-            words = _DIGITS.sub("#", head).split()
-            key = " ".join("@" if i and w[:1].isupper() and not _KEPT.match(w) else w for i, w in enumerate(words))
-            out.append((key, m.end()))
-    return out[:6]
+def _is_name(word: str) -> bool:
+    return word[:1].isupper() and not _KEPT.match(word)
 
 
-def _count_prefixes(batches):
-    for b in batches:
-        got: dict = {}
-        for t in b["input"]:
-            for k, _ in prefixes(t):
-                got[k] = got.get(k, 0) + 1
-        yield pd.DataFrame(list(got.items()), columns=["key", "n"])
+def cuts(text: str | None) -> list[tuple[int, int]]:
+    """Where an input may be cut into instruction and material, after each colon and line: a key of the beginning, in which
+    numbers are # and capitalised words names, and the offset of the material. Keys are carried from cut to cut."""
+    t = text or ""
+    out, key, last, lead = [], 0, 0, len(t) - len(t.lstrip())
+    for m in _CUT.finditer(t):
+        for w in _GAP.split(t[last : m.end()].strip()):
+            if w:
+                w = "@" if key and _is_name(w) else _DIGITS.sub("#", w)
+                key = (key * 0x9E3779B97F4A7C15 + zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1) & 0xFFFFFFFFFFFFFFFF
+        last = m.end()
+        if m.start() + m[0].startswith(":") - lead >= 8:
+            out.append((key - (1 << 64) if key >> 63 else key, last))
+    return out
 
 
 class Judge:
-    def __init__(self, instructions: set[str], identifier: identify.Identifier):
-        self.instructions, self.identifier = instructions, identifier
-        self.asked: tuple = (None, [])
-
-    def known(self, text: str) -> list[int]:
-        """Where known instructions end."""
-        if self.asked[0] != text:
-            self.asked = (text, [at for key, at in prefixes(text) if key in self.instructions])
-        return self.asked[1]
-
-    def split(self, text: str) -> tuple[str, str]:
-        """Instruction and material; the instruction is empty where no known one opens the input."""
-        known = [at for at in self.known(text) if text[at:].strip()]
+    """Names the defect of a pair. ``at`` are the offsets where the input may be cut, ``known`` those where a known instruction ends."""
+
+    def __init__(self, identifier: identify.Identifier):
+        self.identifier = identifier
+
+    @staticmethod
+    def split(text: str, at: list[int], known: list[int]) -> tuple[str, str]:
+        """Instruction and material; the instruction is empty where none opens the input."""
+        known = [x for x in known if text[x:].strip()]
         if not known:  # a rare instruction still stands in a line of its own
-            known = [at for key, at in prefixes(text) if key.endswith((":", "?", ".")) and "\n" in text[:at] and text[at:].strip()][:1]
-        best = next((at for at in known if "\n" in text[:at]), known[-1] if known else 0)
+            line = text.find("\n")
+            for x in at if line >= 0 else ():
+                last = text[:x].split()[-1:]
+                if x > line and last and last[0].endswith((":", "?", ".")) and not _is_name(last[0]) and text[x:].strip():
+                    known = [x]
+                    break
+        best = next((x for x in known if "\n" in text[:x]), known[-1] if known else 0)
         return text[:best].strip(), text[best:].strip()
 
-    def parts(self, text: str) -> set[str]:
-        """The letters of the input, and of what each cut after a colon or line leaves and is."""
-        return {letters(x) for _, at in prefixes(text) for x in (text[:at], text[at:])} | {letters(text)}
-
-    def is_copy(self, kind: str, text: str, output: str, reference: str | None) -> bool:
-        head, body = self.split(text)
+    @staticmethod
+    def parts(text: str, whole: str, at: list[int], out: str) -> set[str]:
+        """Of the letters of the input, ``whole``, and of what each cut leaves and is: those that ``out`` holds. A beginning
+        stands in it if a longer one does, and an end if a longer one does, so that few are looked for."""
+        got = {whole} if len(whole) <= len(out) and whole in out else set()
+        ends = [0]
+        for x, y in zip([0, *at], at, strict=False):
+            ends.append(ends[-1] + len(letters(text[x:y])))
+        first = bisect_left(ends, True, key=lambda n: whole[:n] not in out)
+        last = bisect_left(ends, True, key=lambda n: whole[n:] in out)
+        return got | {whole[:n] for n in ends[:first]} | {whole[n:] for n in ends[last:]}
+
+    def is_copy(self, kind: str, text: str, output: str, reference: str | None, head: str, body: str, at: list[int]) -> bool:
         core = _DRESS.sub("", _FENCE.sub("", output.strip()))
-        out, whole, inner, top = letters(core), letters(text), letters(body), letters(head)
+        out = letters(core)
         if not out:
             return False
         if reference is not None and core.strip() == reference.strip():
             return False
+        whole, inner, top = letters(text), letters(body), letters(head)
         if len(inner) < 4:
             return False
         if kind == "preserve_clean" and inner in out and len(out) <= len(inner) + 20 and not (top and out.startswith(top)):
@@ -170,13 +166,14 @@ class Judge:
             if keep(a) not in keep(b):
                 return False
         left = out
-        for form in sorted(({whole, inner, top} | (set() if kind in ("preserve_clean",) or kind.startswith("repair") else self.parts(text))) - {""}, key=len, reverse=True):
-            if len(form) >= 6:
+        forms = {whole, inner, top} | (set() if kind == "preserve_clean" or kind.startswith("repair") else self.parts(text, whole, at, out))
+        for form in sorted(forms, key=len, reverse=True):
+            if 6 <= len(form) <= len(left):
                 left = left.replace(form, "\0")
         rest = left.replace("\0", "")
         return "\0" in left and len(rest) <= 20 and (not rest or len(_WORD.findall(core)) - sum(len(_WORD.findall(x)) for x in (body if inner in out else head,)) <= 3 or left.count("\0") > 1)
 
-    def is_truncated(self, kind: str, text: str | None, output: str, finish: str | None, status: str | None) -> bool:
+    def is_truncated(self, kind: str, output: str, finish: str | None, status: str | None, body: str) -> bool:
         t = output.rstrip()
         core = _FENCE.sub("", t).strip()
         cut = finish == "length" or status == "incomplete"
@@ -186,7 +183,6 @@ class Judge:
                 return False
             except ValueError:
                 return not core.endswith(("}", "]"))
-        head, body = self.split(text) if text else ("", "")
         if kind.startswith("repair") or kind == "preserve_clean":
             a, b = letters(body), letters(core)
             if not a:
@@ -213,13 +209,12 @@ class Judge:
             return bool(cut and len(word[1]) <= 2)
         return False
 
-    def is_wrong(self, kind: str, text: str, output: str) -> bool:
-        head, body = self.split(text)
+    def is_wrong(self, kind: str, text: str, output: str, head: str, body: str) -> bool:
         core = _FENCE.sub("", output).strip()
         if core[:1] in "{[":
             return False
         if kind == "translate":
-            goal = next((x for x, p in ASKED if regex.search(p, head or text[:60], regex.IGNORECASE)), None)
+            goal = self.asked(head or text)
             got = self.identifier(core) if goal else None
             return got is not None and got != goal
         # much of the material in the output speaks for its language, whatever the words around it
@@ -229,23 +224,24 @@ class Judge:
         got, own = self.identifier(core), self.identifier(body, 0.1)
         return got is not None and own is not None and own != got
 
-    def __call__(self, kind, text, output, reference, finish, status, template) -> str | None:
+    @staticmethod
+    def asked(instruction: str) -> str | None:
+        """The language that an instruction names first."""
+        found = [(m.start(), x) for x, p in ASKED if (m := p.search(instruction))]
+        return min(found)[1] if found else None
+
+    def __call__(self, kind, text, output, reference, finish, status, template, at=(), known=()) -> str | None:
         kind = kind or ""
         if is_empty(output):
             return "empty"
-        if text is not None and self.is_copy(kind, text, output, reference):
+        head, body = self.split(text, at, known) if text else ("", "")
+        if text is not None and self.is_copy(kind, text, output, reference, head, body, at):
             return "copy"
-        if self.is_refusal(text, output, template):
+        if template:
             return "refusal"
-        if text is not None and self.is_wrong(kind, text, output):
+        if text is not None and self.is_wrong(kind, text, output, head, body):
             return "wrong_language"
-        return "truncated" if self.is_truncated(kind, text, output, finish, status) else None
-
-    def is_refusal(self, text: str | None, output: str, template: bool) -> bool:
-        op = opening(output)
-        if op is None:
-            return False
-        return bool(template or declines(output)) and is_apart(text, output)
+        return "truncated" if self.is_truncated(kind, output, finish, status, body) else None
 
 
 def _close(a: str, b: str) -> bool:
@@ -289,9 +285,9 @@ def _alike(x: set, y: set) -> bool:
     return small >= SIMILARITY * large and len(x & y) >= SIMILARITY * len(x | y)
 
 
-def _linked(texts: list[str], openings: list[str]) -> list[tuple[str, str]]:
-    """Links of openings that join all texts of a band that are alike. Alike texts share one of their rarest shingles: of n, those
-    but SIMILARITY * n (prefix filter); so only texts that share one are compared, and only until they are in one cluster."""
+def _linked(texts: list[str]) -> list[tuple[str, str]]:
+    """Links that join all texts of a band that are alike. Alike texts share one of their rarest shingles: of n, those but
+    SIMILARITY * n (prefix filter); so only texts that share one are compared, and with one cluster only until they are in it."""
     sets = [set(shingles(t).tolist()) for t in texts]
     often = Counter(x for s in sets for x in s)
     up, met, out = list(range(len(sets))), {}, []
@@ -304,47 +300,55 @@ def _linked(texts: list[str], openings: list[str]) -> list[tuple[str, str]]:
 
     for i, s in enumerate(sets):
         first = sorted(s, key=lambda x: (often[x], x))[: len(s) - math.ceil(SIMILARITY * len(s) - 1e-9) + 1]
-        for j in {j for x in first for j in met.get(x, ())}:
-            if (a := top(i)) != (b := top(j)) and _alike(s, sets[j]):
-                up[a] = b
-                out.append((openings[i], openings[j]))
+        seen = set()
+        for x in first:
+            for root, members in met.get(x, {}).items():
+                if top(root) == top(i):
+                    continue
+                for j in members:
+                    if j not in seen and _alike(s, sets[j]):
+                        up[top(i)] = top(j)
+                        out.append((texts[i], texts[j]))
+                        break
+                    seen.add(j)
         for x in first:
-            met.setdefault(x, []).append(i)
-    return [(u, v) for u, v in out if u != v]
+            met.setdefault(x, {}).setdefault(top(i), []).append(i)
+    return out
 
 
 def _links(batches):
-    """Rows (band, text, opening) in order of bands to links of openings."""
-    band, texts, openings = None, [], []
+    """Rows (band, text) in order of bands to links of texts."""
+    band, texts = None, []
     for b in batches:
         out = []
-        for key, text, opening in zip(b["band"], b["text"], b["opening"], strict=True):
+        for key, text in zip(b["band"], b["text"], strict=True):
             if key != band:
-                out += _linked(texts, openings)
-                band, texts, openings = key, [], []
+                out += _linked(texts)
+                band, texts = key, []
             texts.append(text)
-            openings.append(opening)
         yield pd.DataFrame(out, columns=["u", "v"], dtype=object)
-    yield pd.DataFrame(_linked(texts, openings), columns=["u", "v"], dtype=object)
+    yield pd.DataFrame(_linked(texts), columns=["u", "v"], dtype=object)
 
 
 def templates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows (opening, whole, prompt, category, finish_reason, said, apart) to (opening, template): openings of recurring templates."""
-    rows = rows.where("opening is not null")
-    each = rows.groupBy("opening").agg(F.approx_count_distinct("prompt").alias("p"), F.collect_set("category").alias("kinds"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("finish_reason") == "content_filter").alias("filtered"), F.count_if("said").alias("said"), F.approx_count_distinct(F.when(F.col("apart"), F.col("prompt"))).alias("owed"))
-    each = scratch.keep(each)
-    texts = each.select(F.col("opening").alias("text"), "opening").union(rows.select(F.col("whole").alias("text"), "opening")).distinct()
-    texts = scratch.keep(texts.withColumn("id", F.xxhash64("text")))
-    bands = scratch.keep(texts.select("id", "text").mapInPandas(_bands, "id bigint, band bigint"))
+    """rows (opening, prompt, category) to (opening, template): openings of recurring templates."""
+    seen = scratch.keep(rows.where("opening is not null").select("opening", "prompt", F.coalesce("category", F.lit("")).alias("kind")).distinct())
+    texts = scratch.keep(seen.select(F.col("opening").alias("text")).distinct().withColumn("id", F.xxhash64("text")))
+    bands = scratch.keep(texts.mapInPandas(_bands, "id bigint, band bigint"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
-    members = bands.join(shared, "band").join(texts, "id").select("band", "text", "opening")
+    members = bands.join(shared, "band").join(texts, "id").select("band", "text")
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     links = members.repartition(parts, "band").sortWithinPartitions("band", "text").mapInPandas(_links, "u string, v string").distinct()
-    labels = components(links, scratch).select(F.col("v").alias("opening"), "root")
-    all_ = lookup(each, labels, "opening").withColumn("root", F.coalesce("root", "opening"))
-    sums = all_.groupBy("root").agg(F.sum("p").alias("p"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("filtered", "said", "owed")])
-    sums = sums.where((F.col("p") >= PROMPTS) & (F.size("kinds") >= KINDS) & ((F.col("filtered") >= FILTERED * F.col("n")) | (F.col("said") >= SAID * F.col("n")) | (F.col("owed") >= PROMPTS)))
-    return lookup(all_.select("opening", "root"), sums.select("root"), "root", "inner").select("opening", F.lit(True).alias("template"))
+    labels, m = scratch.count(components(links, scratch).select(F.col("v").alias("opening"), "root"))
+    placed = lookup(seen, labels, "opening", rows=m).withColumn("root", F.coalesce("root", "opening"))
+    each = placed.groupBy("root", "prompt").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"))
+    few = each.groupBy("root").agg(F.count(F.lit(1)).alias("p"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where((F.col("p") >= PROMPTS) & (F.col("lo") < F.col("hi")))
+    found = scratch.keep(few.select("root"))
+    openings = placed.select("opening", "root").distinct()
+    got = scratch.keep(lookup(openings, found, "root", "inner").select("opening", F.lit(True).alias("template")))
+    for t in (texts, bands, seen, labels, found):
+        scratch.drop(t)
+    return got
 
 
 def judged(responses: DataFrame, documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -352,29 +356,31 @@ def judged(responses: DataFrame, documents: DataFrame, scratch: Scratch) -> Data
     cols = ["category", "input", "output", "reference", "finish_reason", "status"]
     rows = responses.where("response_id is not null").groupBy("response_id").agg(F.max(F.struct("received_at", *cols)).alias("r")).select("response_id", *[F.col("r")[c].alias(c) for c in cols])
     rows = rows.where("status is null or status <> 'error'")
-    keys = rows.select("input").where("input is not null").mapInPandas(_count_prefixes, "key string, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
-    def with_opening(batches):
+    def read(batches):
         for b in batches:
-            ops = [opening(x) for x in b["output"]]
-            kinds = [x or "" for x in b["category"]]
-            apart = [o is not None and k.startswith(("repair", "preserve_clean")) and isinstance(x, str) and not is_empty(y) and is_apart(x, y) for o, k, x, y in zip(ops, kinds, b["input"], b["output"], strict=True)]
-            yield b.assign(opening=ops, whole=[None if o is None else _masked(y) for o, y in zip(ops, b["output"], strict=True)], said=[o is not None and declines(y) for o, y in zip(ops, b["output"], strict=True)], apart=apart)
+            pairs = list(zip(b["input"], b["output"], strict=True))
+            ops = [opening(y) if isinstance(y, str) and not is_empty(y) and is_apart(x, y) else None for x, y in pairs]
+            found = [cuts(x) for x, _ in pairs]
+            yield b.assign(opening=ops, keys=[[k for k, _ in f] for f in found], at=[[i for _, i in f] for f in found])
 
     ddl = "response_id bigint, " + ", ".join(f"{c} string" for c in cols)
-    rows = scratch.keep(rows.mapInPandas(with_opening, ddl + ", opening string, whole string, said boolean, apart boolean").withColumn("prompt", F.xxhash64("input")))
-    total = rows.count()
-    known = {r.key for r in keys.where(F.col("n") >= max(4, 1e-5 * total)).collect()}  # a row has 6 at most, so 6e5 at most
-    judge = scratch.spark.sparkContext.broadcast(Judge(known, identify.fit(documents)))
-    marked = lookup(rows.drop("whole", "said", "apart"), scratch.keep(templates(rows, scratch)), "opening")
+    rows = scratch.keep(rows.mapInPandas(read, ddl + ", opening string, keys array<bigint>, at array<int>").withColumn("prompt", F.xxhash64("input")))
+    beginnings = rows.where("size(keys) > 0").groupBy("prompt").agg(F.first(F.arrays_zip("keys", "at")).alias("c")).select("prompt", F.explode("c").alias("c")).select("prompt", F.col("c.keys").alias("key"), F.col("c.at").alias("at"))
+    beginnings = scratch.keep(beginnings)
+    often, n = scratch.count(beginnings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= INPUTS).select("key"))
+    known, m = scratch.count(lookup(beginnings, often, "key", "inner", rows=n).groupBy("prompt").agg(F.array_sort(F.collect_list("at")).alias("known")))
+    marked = lookup(lookup(rows.drop("keys"), known, "prompt", rows=m), templates(rows, scratch), "opening")
+    judge = scratch.spark.sparkContext.broadcast(Judge(identify.fit(documents)))
 
     def run(batches):
         for b in batches:
             b = b.astype(object).where(b.notna(), None)
-            got = [judge.value(*x) for x in zip(b["category"], b["input"], b["output"], b["reference"], b["finish_reason"], b["status"], b["template"], strict=True)]
+            given = zip(b["category"], b["input"], b["output"], b["reference"], b["finish_reason"], b["status"], b["template"], b["at"], b["known"], strict=True)
+            got = [judge.value(*x, () if at is None else list(at), () if known is None else list(known)) for *x, at, known in given]
             yield pd.DataFrame({"response_id": b["response_id"].astype("int64"), "category": b["category"], "defect": got})
 
-    return marked.select("response_id", *cols, "template").mapInPandas(run, "response_id bigint, category string, defect string")
+    return marked.select("response_id", *cols, "template", "at", "known").mapInPandas(run, "response_id bigint, category string, defect string")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import unicodedata
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 
 from atrament.llm import consensus, groups, mixing, overlap, packing, pages, pairs, registry, sentences
@@ -97,29 +98,66 @@ def test_overlap_recall(spark):
 
 
 def _templates(spark, scratch, rows):
-    """rows (output, prompt, category, finish_reason, said, apart) to the openings of templates."""
-    rows = [(pairs.opening(o), pairs._masked(o), *rest) for o, *rest in rows]
-    df = spark.createDataFrame(rows, "opening string, whole string, prompt bigint, category string, finish_reason string, said boolean, apart boolean")
+    """rows (output, prompt, category) to the openings of templates."""
+    df = spark.createDataFrame([(pairs.opening(o), *rest) for o, *rest in rows], "opening string, prompt bigint, category string")
     return {r.opening for r in pairs.templates(df, scratch).collect()}
 
 
-def test_templates_join_by_their_whole_text(spark, scratch):
+def test_templates_join_openings_that_are_alike(spark, scratch):
     """Each opening stands once, the rest of sixty words is the same; a chain whose ends are not alike is one cluster."""
     tail = " ".join(f"word{chr(97 + i // 8)}{chr(97 + i % 8)}" for i in range(50))
-    names = ["jan", "anna", "piotr", "ewa"]
-    rows = [(f"we leave the page of {x} as it is {tail}", i, ["question", "extract"][i % 2], "content_filter", False, False) for i, x in enumerate(names)]
+    kinds = ["question", "extract"]
+    rows = [(f"we leave the page of {x} as it is {tail}", i, kinds[i % 2]) for i, x in enumerate(["jan", "anna", "piotr", "ewa"])]
     assert len(_templates(spark, scratch, rows)) == 4
     words = [f"w{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(80)]
     chain = [" ".join(words[6 * i : 6 * i + 60]) for i in range(4)]
     p, q, r = (set(pairs.shingles(x).tolist()) for x in chain[:3])
     assert pairs._alike(p, q) and not pairs._alike(p, r)
-    assert len(_templates(spark, scratch, [(x, i, ["question", "extract"][i % 2], "content_filter", False, False) for i, x in enumerate(chain)])) == 4
+    assert len(_templates(spark, scratch, [(x, i, kinds[i % 2]) for i, x in enumerate(chain)])) == 4
+
+
+def test_templates_recur_over_prompts_and_kinds(spark, scratch):
+    four = lambda text, prompts, kinds: [(text, i % prompts, kinds[i % len(kinds)]) for i in range(4)]
+    rows = four("mi rifuzas tion. bonvolu sendi alian", 4, ["question", "repair_x"]) + four("mi rifuzas tion. dankon", 4, ["question", None])
+    assert _templates(spark, scratch, rows + four("one prompt only", 1, ["question", "repair_x"]) + four("one kind only", 4, ["question"])) == {"mi rifuzas tion"} | {"mi rifuzas tion bonvolu sendi alian"} & {pairs.opening("mi rifuzas tion. bonvolu sendi alian")}
+    assert _templates(spark, scratch, []) == set()
+
+
+def test_refusals_come_from_templates_alone(spark, scratch, monkeypatch):
+    """A language of no list: without the templates no refusal is left."""
+    says = ["Ni ne povas fari tion.", "Bedaŭrinde ni ne povas fari tion."]
+    rows = [(i, ["question", "repair_synthetic"][i % 2], f"Popraw błędy w wierszu:\nStary list numer {chr(97 + i)} leży.", says[i % 3 > 1], "ok") for i in range(12)]
+    rows += [(20, "question", "O czym to?\nStary list.", "„Ni ne povas fari tion.” – pisze on i czyta dalej stary list.", "ok"), (21, "question", "O czym to?\nStary list.", "Ni ne povas fari tion.", "error")]
+    df = spark.createDataFrame(rows, "response_id bigint, category string, input string, output string, status string").selectExpr("*", "cast(null as string) reference", "'stop' finish_reason", "cast(null as timestamp) received_at")
+    docs = spark.createDataFrame([(1, "Stary list leży na stole. Pisarz czyta.", "pl")], "doc_id bigint, text string, lang string")
+    refused = lambda: {r.response_id for r in pairs.judged(df, docs, scratch).where("defect = 'refusal'").collect()}
+    assert refused() == set(range(12))
+    monkeypatch.setattr(pairs, "PROMPTS", 100)
+    assert refused() == set()
+
+
+def test_clusters_of_openings_lose_few_pairs():
+    """Recall of the bands against all pairs at the similarity asked for."""
+    rng, near, met = random.Random(4), 0, 0
+    for _ in range(600):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        b = list(a)
+        b[rng.randrange(60)] = "x"
+        x, y = " ".join(a), " ".join(b)
+        if pairs._alike(set(pairs.shingles(x).tolist()), set(pairs.shingles(y).tolist())):
+            near += 1
+            (got,) = pairs._bands([pd.DataFrame({"id": [1, 2], "text": [x, y]})])
+            met += bool(set(got.band[got.id == 1]) & set(got.band[got.id == 2]))
+    assert near > 300 and met >= 0.98 * near
 
 
-def test_templates_without_a_filter(spark, scratch):
-    three = lambda text, said, apart: [(text, i, k, "stop", said, apart and k != "question") for i, k in enumerate(["question", "repair_x", "preserve_clean", "repair_x"])]
-    got = _templates(spark, scratch, three("i must decline", True, False) + three("mi rifuzas tion", False, True) + three("cena wynosi # zl", False, False))
-    assert got == {"i must decline", "mi rifuzas tion"}
+def test_instructions_and_copies_beyond_any_prefix():
+    head = "Popraw błędy w wierszu: " * 30 + "\n"
+    text = head + "Pi5arz czyta stary list w małej czytelni."
+    assert cut_at(text)[-1] == len(head) and len(head) > 700
+    assert see("question", text, "Pi5arz czyta stary list w małej czytelni.", known=[len(head)]) == "copy"
+    judge = pairs.Judge(None)
+    assert judge.asked("Przetłumacz " + "bardzo starannie " * 20 + "na czeski:") == "cs" and judge.asked("Przełóż") is None
 
 
 def test_trigrams_more_frequent_than_texts_win_no_minimum():
@@ -274,15 +312,24 @@ def test_misread_and_broken_words():
     assert pages.broken(w, "w dru-", "karni na")[0] and pages.broken(w, "w czy", "telni")[0] and not pages.broken(w, "druk polsko-", "niemiecki")[0] and not pages.broken(w, "druk", "na")[0]
 
 
+def cut_at(text):
+    return [at for _, at in pairs.cuts(text)]
+
+
+def see(kind, text, out, finish="stop", template=False, known=None):
+    judge = pairs.Judge(pairs.identify.Identifier({"pl": Counter({"a": 1}), "en": Counter({"b": 1})}))
+    heads = ("Popraw błędy w wierszu:\n", "Odczytaj pola jako JSON:\n")
+    known = [len(h) for h in heads if text.startswith(h)] if known is None else known
+    return judge(kind, text, out, None, finish, "ok", template, cut_at(text), known)
+
+
 def test_pairs_by_kind():
-    judge = pairs.Judge({"Popraw błędy w wierszu:", "Odczytaj pola jako JSON:"}, pairs.identify.Identifier({"pl": Counter({"a": 1}), "en": Counter({"b": 1})}))
-    see = lambda kind, text, out, finish="stop", template=False: judge(kind, text, out, None, finish, "ok", template)
     line = "Popraw błędy w wierszu:\nPi5arz czyta stary list w małej czytelni."
     assert see("repair_synthetic", line, None) == "empty" and see("repair_synthetic", line, "```\n```") == "empty" and see("extract", line, "null") == "empty"
     assert see("repair_synthetic", line, "„Pi5arz czyta stary list w małej czytelni.”") == "copy" and see("repair_synthetic", line, line) == "copy"
     assert see("repair_synthetic", line, "Pisarz czyta stary list w małej czytelni.", "length") is None
     assert see("repair_synthetic", line, "Pisarz czyta stary li") == "truncated" and see("extract", "Odczytaj pola jako JSON:\nFaktura 5", '{"a": "b') == "truncated"
-    assert see("question", "O czym to?\nStary list.", "Niestety nie mogę pomóc z tym tekstem.") == "refusal"
+    assert see("question", "O czym to?\nStary list.", "Niestety nie mogę pomóc z tym tekstem.", template=True) == "refusal"
     assert see("repair_synthetic", "Popraw błędy w wierszu:\n„Nie mogę pom6c” – pisze on.", "„Nie mogę pomóc” – pisze on.") is None
     assert see("preserve_clean", "Stary list leży.", "Stary list leży.") is None
 
