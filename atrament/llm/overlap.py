@@ -6,9 +6,11 @@ inverse frequency over all texts: two segments are equal with the ROWS-th power
 Segments of train texts are joined with those of val and test texts, pairs within the Hamming radius of the 64 bits are
 kept, and the edit distance of the folded texts decides. Equal texts are one class and meet without fingerprints.
 
-Texts that share no segment meet by pieces, which lose no pair: k edits leave one of k + 1 disjoint pieces of PIECE
-characters of a train text whole, and the other text holds it at most k places away. Of all choices of such pieces the one
-is taken that val and test texts hold least often. Lengths and letter counts, which k edits change by k and 2 k at most,
+Texts that share no segment meet by pieces, which lose no pair. Of k + 1 disjoint pieces of a train text, let the i-th be
+the first (from 0) up to whose end there are i edits at most: these i edits lie before it, so it stands whole in the other
+text, at most i places away, and counted from the ends of both texts at most k - i places away. So few places are tried.
+Pieces have 5 to 7 characters, as many as the text's length has room for. Of all choices of such pieces the one is taken that
+val and test texts hold least often, counted by the places to be tried. Letter counts, which k edits change by 2 k at most,
 drop most of these candidates before the edit distance.
 
 Frequencies are counted over all texts in a table of BINS hashed trigrams, whose size does not grow.
@@ -34,8 +36,8 @@ GRAM, BINS, BLOCKS, ROWS, BITS = 3, 1 << 16, 30, 4, 64
 #: Bits that may differ. Texts within PERCENT share 0.38 of their weight or more, so 0.31 of the bits differ or fewer; of unrelated ones a half.
 RADIUS = 30
 SEED = 20240229
-#: Length of a piece: a text of MIN_CHARS or more has room for one more piece than the edits allowed. Bins that count pieces; parts in which pieces are joined one after the other.
-PIECE, PIECE_BINS, ROUNDS = 5, 1 << 18, 3
+#: From which length of a text on its pieces have how many characters, so that one more piece than the edits allowed has room. Bins that count pieces; parts in which pieces are joined one after the other.
+PIECES, PIECE_BINS, ROUNDS = [(MIN_CHARS, 5), (33, 6), (156, 7)], 1 << 18, 3
 #: Texts beyond this length are cut into pieces from their beginning on, whatever the pieces' counts.
 LONG = 2000
 
@@ -45,41 +47,59 @@ def most_edits(lens: np.ndarray) -> np.ndarray:
     return lens * 100 // (100 - PERCENT) * PERCENT // 100
 
 
-def _windows(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of texts, a row each, filled up with 0; the lengths; a hash of the piece that begins at each place."""
+def piece_size(lens: np.ndarray) -> np.ndarray:
+    """Characters of the pieces of a train text of this length."""
+    return np.array([q for _, q in PIECES])[np.searchsorted([n for n, _ in PIECES], lens, side="right") - 1]
+
+
+def meets_size(lens: np.ndarray, q: int) -> np.ndarray:
+    """Whether some train text that a text of this length may be near to has pieces of q characters."""
+    least, most = lens - lens * PERCENT // 100, lens + most_edits(lens)
+    return (piece_size(np.maximum(least, MIN_CHARS)) <= q) & (piece_size(most) >= q)
+
+
+def _letters(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, a row each, filled up with 0; the lengths."""
     lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    a = np.zeros((len(texts), max(PIECE, lens.max())), np.uint32)
+    a = np.zeros((len(texts), lens.max()), np.uint32)
     a[np.arange(a.shape[1]) < lens[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    h = np.zeros((len(texts), a.shape[1] - PIECE + 1), np.uint64)
-    for i in range(PIECE):
+    return a, lens
+
+
+def _pieces(a: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the piece of q characters that begins at each place."""
+    h = np.full((len(a), a.shape[1] - q + 1), q, np.uint64)
+    for i in range(q):
         h = h * np.uint64(1_000_003) + a[:, i : i + h.shape[1]]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return a, lens, (h >> np.uint64(32)).astype(np.uint32)
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def _bin(h: np.ndarray) -> np.ndarray:
     return h >> np.uint32(32 - PIECE_BINS.bit_length() + 1)
 
 
-def rare_pieces(h: np.ndarray, lens: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Where the pieces of each text begin, most_edits + 1 of them (then -1): disjoint, the least in the sum of held by bin."""
+def rare_pieces(h: np.ndarray, lens: np.ndarray, q: int, held: np.ndarray) -> np.ndarray:
+    """Where the pieces of each text begin, most_edits + 1 of them (then -1): disjoint, the least in the sum of held by bin
+    times the places at which the piece is tried."""
     n, wide, need = len(h), h.shape[1], most_edits(lens) + 1
     if wide > LONG:  # any disjoint pieces will do
         r = np.arange(int(need.max()))
-        return np.where(r < need[:, None], r * PIECE, -1)
-    cost = np.where(np.arange(wide) <= (lens - PIECE)[:, None], held[_bin(h)], np.float32(1e30))
-    best, taken = np.zeros((n, wide + PIECE), np.float32), []  # least sum within the first places
-    for _ in range(int(need.max())):
-        new = np.full((n, wide + PIECE), np.float32(1e30))
-        new[:, PIECE:] = np.minimum(best[:, :wide] + cost, np.float32(1e30))
+        return np.where(r < need[:, None], r * q, -1)
+    cost = np.where(np.arange(wide) <= (lens - q)[:, None], held[_bin(h)], np.float32(1e30))
+    best, taken = np.zeros((n, wide + q), np.float32), []  # least sum within the first places
+    for r in range(int(need.max())):
+        places = (2 * np.maximum(np.minimum(r, need - 1 - r), 0) + 1).astype(np.float32)[:, None]
+        new = np.full((n, wide + q), np.float32(1e30))
+        new[:, q:] = np.minimum(best[:, :wide] + cost * places, np.float32(1e30))
         best = np.minimum.accumulate(new, axis=1)
-        taken.append(new[:, PIECE:] <= best[:, PIECE - 1 : -1])  # the piece that ends here is as good as any before
+        taken.append(new[:, q:] <= best[:, q - 1 : -1])  # the piece that ends here is as good as any before
     out, end, row = np.full((n, len(taken)), -1, np.int64), lens.copy(), np.arange(n)
     for r in range(len(taken) - 1, -1, -1):
         on = need > r
         last = np.maximum.accumulate(np.where(taken[r], np.arange(wide), -1), axis=1)
-        at = last[row, np.clip(end - PIECE, 0, wide - 1)]
+        at = last[row, np.clip(end - q, 0, wide - 1)]
         out[on, r] = at[on]
         end = np.where(on, at, end)
     return out
@@ -100,8 +120,12 @@ def _count_pieces(batches):
     n = np.zeros(PIECE_BINS, np.int64)
     for b in batches:
         for i in range(0, len(b), 512):
-            _, lens, h = _windows(b["text"].iloc[i : i + 512])
-            n += np.bincount(_bin(h[np.arange(h.shape[1]) <= (lens - PIECE)[:, None]]), minlength=PIECE_BINS)
+            a, lens = _letters(b["text"].iloc[i : i + 512])
+            for _, q in PIECES:
+                on = meets_size(lens, q)
+                if on.any():
+                    h = _pieces(a[on], q)
+                    n += np.bincount(_bin(h[np.arange(h.shape[1]) <= (lens[on] - q)[:, None]]), minlength=PIECE_BINS)
     at = np.nonzero(n)[0]
     yield pd.DataFrame({"bin": at.astype(np.int32), "n": n[at]})
 
@@ -198,26 +222,26 @@ def piece_candidates(coded: DataFrame, scratch: Scratch) -> list[DataFrame]:
             step = 256 if longest <= 500 else 8
             for i in range(0, len(b), step):
                 part = b.iloc[order[i : i + step]]
-                a, lens, h = _windows(part["text"])
-                letters = letter_bits(a)
-                keys = h.view(np.int32)
-                for side in ("train", "held"):
-                    on = np.nonzero(part[side].to_numpy(bool))[0]
-                    if not len(on):
-                        continue
-                    if side == "train":
-                        spots = [x[x >= 0] for x in rare_pieces(h[on], lens[on], counts.value)]
-                    else:
-                        spots = [np.arange(n - PIECE + 1) for n in lens[on]]
-                    yield pd.DataFrame({"num": part["num"].to_numpy()[on], "train": side == "train", "len": lens[on].astype(np.int32), "s1": letters[on, 0], "s2": letters[on, 1], "piece": [keys[j, x] for j, x in zip(on, spots, strict=True)], "at": [x.astype(np.int32) for x in spots]})
+                a, lens = _letters(part["text"])
+                letters, num, sizes = letter_bits(a), part["num"].to_numpy(), piece_size(lens)
+                for _, q in PIECES:
+                    for side in ("train", "held"):
+                        on = np.nonzero(part[side].to_numpy(bool) & (sizes == q if side == "train" else meets_size(lens, q)))[0]
+                        if not len(on):
+                            continue
+                        h = _pieces(a[on], q)
+                        spots = [x[x >= 0] for x in rare_pieces(h, lens[on], q, counts.value)] if side == "train" else [np.arange(n - q + 1) for n in lens[on]]
+                        keys = [row[x] for row, x in zip(h.view(np.int32), spots, strict=True)]
+                        yield pd.DataFrame({"num": num[on], "train": side == "train", "len": lens[on].astype(np.int32), "s1": letters[on, 0], "s2": letters[on, 1], "piece": keys, "at": [x.astype(np.int32) for x in spots]})
 
     pieces = scratch.keep(coded.select("num", "train", "held", "text").mapInPandas(cut, "num bigint, train boolean, len int, s1 bigint, s2 bigint, piece array<int>, at array<int>"))
     out = []
     for r in range(ROUNDS):
-        each = pieces.select("train", "num", "len", "s1", "s2", F.explode(F.expr(f"filter(arrays_zip(piece, at), x -> pmod(x.piece, {ROUNDS}) = {r})")).alias("x"))
-        side = lambda x: each.where("train" if x == "t" else "not train").select(F.col("x.piece").alias("piece"), *[F.col(c).alias(f"{c}_{x}") for c in ("num", "len", "s1", "s2")], F.col("x.at").alias(f"at_{x}"))  # noqa: B023, E731
+        each = pieces.select("train", "num", "len", "s1", "s2", F.posexplode(F.arrays_zip("piece", "at")).alias("nth", "x")).where(f"pmod(x.piece, {ROUNDS}) = {r}")
+        side = lambda x: each.where("train" if x == "t" else "not train").select(F.col("x.piece").alias("piece"), *[F.col(c).alias(f"{c}_{x}") for c in ("num", "len", "s1", "s2")], F.col("x.at").alias(f"at_{x}"), *([F.col("nth")] if x == "t" else []))  # noqa: B023, E731
         most = f"(greatest(len_t, len_h) * {PERCENT} div 100)"
-        near = side("t").join(side("h").hint("shuffle_hash"), "piece").where(f"abs(at_t - at_h) <= {most} and abs(len_t - len_h) <= {most} and bit_count(s1_t ^ s1_h) + bit_count(s2_t ^ s2_h) <= 2 * {most} and num_t <> num_h")
+        places = f"abs(at_h - at_t) <= nth and abs(at_h - at_t - len_h + len_t) <= {most} - nth"
+        near = side("t").join(side("h").hint("shuffle_hash"), "piece").where(f"{places} and bit_count(s1_t ^ s1_h) + bit_count(s2_t ^ s2_h) <= 2 * {most} and num_t <> num_h")
         out.append(scratch.keep(near.select("num_t", "num_h").distinct()))
         scratch.release()
     scratch.drop(pieces)
