@@ -10,8 +10,8 @@ Texts that share no segment meet by pieces, which lose no pair. Of k + 1 disjoin
 the first (from 0) up to whose end there are i edits at most: these i edits lie before it, so it stands whole in the other
 text, at most i places away, and counted from the ends of both texts at most k - i places away. So few places are tried.
 Pieces have 5 to 7 characters, as many as the text's length has room for. Of all choices of such pieces the one is taken that
-val and test texts hold least often, counted by the places to be tried. Letter counts, which k edits change by 2 k at most,
-drop most of these candidates before the edit distance.
+val and test texts hold least often, counted by the places to be tried. Of these candidates most are dropped by counts of
+letters, of which k edits change 2 k at most, and by counts of neighbouring letters, of which they change 4 k.
 
 Frequencies are counted over all texts in a table of BINS hashed trigrams, whose size does not grow.
 
@@ -36,8 +36,8 @@ GRAM, BINS, BLOCKS, ROWS, BITS = 3, 1 << 16, 30, 4, 64
 #: Bits that may differ. Texts within PERCENT share 0.38 of their weight or more, so 0.31 of the bits differ or fewer; of unrelated ones a half.
 RADIUS = 30
 SEED = 20240229
-#: From which length of a text on its pieces have how many characters, so that one more piece than the edits allowed has room. Bins that count pieces; parts in which pieces are joined one after the other.
-PIECES, PIECE_BINS, ROUNDS = [(MIN_CHARS, 5), (33, 6), (156, 7)], 1 << 18, 3
+#: From which length of a text on its pieces have how many characters, so that one more piece than the edits allowed has room. Bins that count pieces.
+PIECES, PIECE_BINS = [(MIN_CHARS, 5), (33, 6), (156, 7)], 1 << 18
 #: Texts beyond this length are cut into pieces from their beginning on, whatever the pieces' counts.
 LONG = 2000
 
@@ -113,7 +113,18 @@ def letter_bits(a: np.ndarray) -> np.ndarray:
     at, col = np.nonzero(a)
     np.add.at(n, (at, a[at, col] & 31), 1)
     four = ring[n % 8].reshape(len(a), 2, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-    return np.bitwise_or.reduce(four, axis=2).astype(np.int64)
+    return np.bitwise_or.reduce(four, axis=2).view(np.int64)
+
+
+def pair_bits(texts: pd.Series) -> np.ndarray:
+    """Four numbers of 64 bits per text: for each of 256 groups of neighbouring letters whether their count is odd. An edit changes four at most."""
+    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = (a[:-1] * np.uint64(0x9E3779B1) + a[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+    row = np.repeat(np.arange(len(lens)), lens)
+    inside = row[:-1] == row[1:]
+    odd = (np.bincount((row[:-1] * 256 + h.astype(np.int64))[inside], minlength=len(lens) * 256) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(len(lens), 256), axis=1).view(np.int64)
 
 
 def _count_pieces(batches):
@@ -196,9 +207,10 @@ def fingerprints(texts: DataFrame, batch: int = 128) -> DataFrame:
             for i in range(0, len(b), batch):
                 part = b.iloc[i : i + batch]
                 blocks, bits = coder.value(part["text"])
-                yield part[["cls", "train", "held", "text"]].assign(code=list(blocks.astype(np.int32)), bits=bits)
+                odd = pair_bits(part["text"])
+                yield part[["cls", "train", "held", "text"]].assign(code=list(blocks.astype(np.int32)), bits=bits, **{f"pair{k}": odd[:, k] for k in range(4)})
 
-    coded = texts.mapInPandas(code, "cls bigint, train boolean, held boolean, text string, code array<int>, bits bigint")
+    coded = texts.mapInPandas(code, "cls binary, train boolean, held boolean, text string, code array<int>, bits bigint, pair0 bigint, pair1 bigint, pair2 bigint, pair3 bigint")
     return coded.withColumn("num", F.monotonically_increasing_id())
 
 
@@ -208,43 +220,43 @@ def references(records: DataFrame) -> DataFrame:
     return rows.select("id", "source_page", split_name(F.col("split")).alias("split"), fold(F.col("reference")).alias("text")).where(f"split is not null and char_length(text) >= {MIN_CHARS}")
 
 
-def piece_candidates(coded: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """coded (num, train, held, text) to kept tables of pairs (num_t, num_h), among them all within PERCENT."""
+def piece_candidates(coded: DataFrame, scratch: Scratch) -> DataFrame:
+    """coded (num, train, held, text) to a kept table of pairs (num_t, num_h), among them all within PERCENT."""
     held = np.zeros(PIECE_BINS, np.float32)
     got = coded.where("held").select("text").mapInPandas(_count_pieces, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # PIECE_BINS rows at most
     held[got["bin"].to_numpy()] = got["n"].to_numpy()
     counts = coded.sparkSession.sparkContext.broadcast(held + np.float32(0.01))
 
-    def cut(batches):
-        for b in batches:
-            order = b["text"].str.len().to_numpy().argsort(kind="stable")  # like lengths together, as rows are filled up to the longest
-            longest = int(b["text"].str.len().max()) if len(b) else 0
-            step = 256 if longest <= 500 else 8
-            for i in range(0, len(b), step):
-                part = b.iloc[order[i : i + step]]
-                a, lens = _letters(part["text"])
-                letters, num, sizes = letter_bits(a), part["num"].to_numpy(), piece_size(lens)
-                for _, q in PIECES:
-                    for side in ("train", "held"):
-                        on = np.nonzero(part[side].to_numpy(bool) & (sizes == q if side == "train" else meets_size(lens, q)))[0]
+    def cut(side: str):
+        def run(batches):
+            for b in batches:
+                order = b["text"].str.len().to_numpy().argsort(kind="stable")  # like lengths together, as rows are filled up to the longest
+                longest = int(b["text"].str.len().max()) if len(b) else 0
+                step = 256 if longest <= 500 else 8
+                for i in range(0, len(b), step):
+                    part = b.iloc[order[i : i + step]]
+                    a, lens = _letters(part["text"])
+                    num, sizes, letters = part["num"].to_numpy(), piece_size(lens), letter_bits(a)
+                    for _, q in PIECES:
+                        on = np.nonzero(sizes == q if side == "t" else meets_size(lens, q))[0]
                         if not len(on):
                             continue
                         h = _pieces(a[on], q)
-                        spots = [x[x >= 0] for x in rare_pieces(h, lens[on], q, counts.value)] if side == "train" else [np.arange(n - q + 1) for n in lens[on]]
-                        keys = [row[x] for row, x in zip(h.view(np.int32), spots, strict=True)]
-                        yield pd.DataFrame({"num": num[on], "train": side == "train", "len": lens[on].astype(np.int32), "s1": letters[on, 0], "s2": letters[on, 1], "piece": keys, "at": [x.astype(np.int32) for x in spots]})
-
-    pieces = scratch.keep(coded.select("num", "train", "held", "text").mapInPandas(cut, "num bigint, train boolean, len int, s1 bigint, s2 bigint, piece array<int>, at array<int>"))
-    out = []
-    for r in range(ROUNDS):
-        each = pieces.select("train", "num", "len", "s1", "s2", F.posexplode(F.arrays_zip("piece", "at")).alias("nth", "x")).where(f"pmod(x.piece, {ROUNDS}) = {r}")
-        side = lambda x: each.where("train" if x == "t" else "not train").select(F.col("x.piece").alias("piece"), *[F.col(c).alias(f"{c}_{x}") for c in ("num", "len", "s1", "s2")], F.col("x.at").alias(f"at_{x}"), *([F.col("nth")] if x == "t" else []))  # noqa: B023, E731
-        most = f"(greatest(len_t, len_h) * {PERCENT} div 100)"
-        places = f"abs(at_h - at_t) <= nth and abs(at_h - at_t - len_h + len_t) <= {most} - nth"
-        near = side("t").join(side("h").hint("shuffle_hash"), "piece").where(f"{places} and bit_count(s1_t ^ s1_h) + bit_count(s2_t ^ s2_h) <= 2 * {most} and num_t <> num_h")
-        out.append(scratch.keep(near.select("num_t", "num_h").distinct()))
-        scratch.release()
-    scratch.drop(pieces)
+                        spots = rare_pieces(h, lens[on], q, counts.value) if side == "t" else np.where(np.arange(h.shape[1]) <= (lens[on] - q)[:, None], np.arange(h.shape[1]), -1)
+                        row, nth = np.nonzero(spots >= 0)
+                        at = spots[row, nth]
+                        own = on[row]
+                        yield pd.DataFrame({"piece": h.view(np.int32)[row, at], f"num_{side}": num[own], f"len_{side}": lens[own].astype(np.int32), f"at_{side}": at.astype(np.int32), "nth": nth.astype(np.int32), f"s1_{side}": letters[own, 0], f"s2_{side}": letters[own, 1]})
+
+        schema = f"piece int, num_{side} bigint, len_{side} int, at_{side} int, nth int, s1_{side} bigint, s2_{side} bigint"
+        return coded.where("train" if side == "t" else "held").select("num", "text").mapInPandas(run, schema)
+
+    most = f"(greatest(len_t, len_h) * {PERCENT} div 100)"
+    places = f"abs(at_h - at_t) <= nth and abs(at_h - at_t - len_h + len_t) <= {most} - nth"
+    letters = f"bit_count(s1_t ^ s1_h) + bit_count(s2_t ^ s2_h) <= 2 * {most}"
+    near = cut("t").join(cut("h").drop("nth").hint("shuffle_hash"), "piece").where(f"{places} and {letters} and num_t <> num_h")
+    out = scratch.keep(near.select("num_t", "num_h").distinct())
+    scratch.release()
     return out
 
 
@@ -259,27 +271,32 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     right = blocks.where("held").select("block", F.col("num").alias("num_h"), F.col("bits").alias("bits_h"))
     cand = scratch.keep(left.join(right, "block").where(f"num_t <> num_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("num_t", "num_h").distinct())
     scratch.release()
-    for more in piece_candidates(coded, scratch):
-        cand = cand.union(more)
-    cand = cand.distinct()
-    side = lambda x: coded.select(F.col("num").alias(f"num_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("text").alias(f"text_{x}"))
+    cand = cand.union(piece_candidates(coded, scratch)).distinct()
+    pair = [f"pair{i}" for i in range(4)]
+    side = lambda x: coded.select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "text", *pair)])
     pairs = cand.join(side("t"), "num_t").join(side("h"), "num_h")
     most = F.expr(f"cast(floor(greatest(char_length(text_t), char_length(text_h)) * {PERCENT} / 100) as int)")
     near = pairs.where(F.abs(F.char_length("text_t") - F.char_length("text_h")) <= most)
+    near = near.where(sum((F.bit_count(F.col(f"{c}_t").bitwiseXOR(F.col(f"{c}_h"))) for c in pair), F.lit(0)) <= 4 * most)
     near = near.withColumn("most", most).withColumn("distance", F.expr("levenshtein(text_t, text_h, most)"))
     return near.where("distance >= 0").select("cls_t", "cls_h", "distance")
 
 
-def overlaps(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (id_t, id_h, split, source_page, distance): a train record and a val or test record, with the latter's split and source."""
-    full = scratch.keep(references(records).withColumn("cls", F.xxhash64("text")))
+def class_links(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Records (id, source_page, split, cls) and links (cls_t, cls_h, distance) of classes of equal texts: one with train
+    records, the other, or the same, with val or test records."""
+    full = scratch.keep(references(records).withColumn("cls", F.unhex(F.md5(F.col("text").cast("binary")))))
     texts = scratch.keep(full.groupBy("text").agg(F.first("cls").alias("cls"), F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("held")))
     rows = scratch.keep(full.select("id", "source_page", "split", "cls"))
     scratch.drop(full)
     near = near_classes(texts, scratch)
     same = rows.groupBy("cls").agg(F.bool_or(F.col("split") == "train").alias("train"), F.bool_or(F.col("split") != "train").alias("held")).where("train and held")
-    same = same.select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_h"), F.lit(0).alias("distance"))
-    links = near.union(same)
+    return rows, near.union(same.select(F.col("cls").alias("cls_t"), F.col("cls").alias("cls_h"), F.lit(0).alias("distance")))
+
+
+def overlaps(records: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (id_t, id_h, split, source_page, distance): a train record and a val or test record, with the latter's split and source."""
+    rows, links = class_links(records, scratch)
     train = rows.where("split = 'train'").select(F.col("id").alias("id_t"), F.col("cls").alias("cls_t"))
     held = rows.where("split <> 'train'").select(F.col("id").alias("id_h"), F.col("cls").alias("cls_h"), "split", "source_page")
     return links.join(held, "cls_h").join(train, "cls_t").select("id_t", "id_h", "split", "source_page", "distance")
@@ -291,9 +308,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per split and source page: its records that overlap with train, the pairs, and how many of these are exact."""
-    got = overlaps(table(spark, sf_dir, "printed_replay_geometry"), Scratch(spark, "overlap"))
-    return got.groupBy("split", "source_page").agg(F.countDistinct("id_h").alias("records"), F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("distance") == 0).alias("exact"))
+    """Per split and source page: its records that overlap with train, the pairs, and how many of these are exact. Counted
+    from classes of equal texts: their pairs of records are not made."""
+    rows, links = class_links(table(spark, sf_dir, "printed_replay_geometry"), Scratch(spark, "overlap"))
+    train = rows.where("split = 'train'").groupBy(F.col("cls").alias("cls_t")).agg(F.count(F.lit(1)).alias("n"))
+    each = links.join(train, "cls_t").groupBy(F.col("cls_h").alias("cls")).agg(F.sum("n").alias("pairs"), F.coalesce(F.sum(F.when(F.col("distance") == 0, F.col("n"))), F.lit(0)).alias("exact"))
+    held = rows.where("split <> 'train'").groupBy("cls", "split", "source_page").agg(F.count(F.lit(1)).alias("m"))
+    got = held.join(each, "cls").groupBy("split", "source_page")
+    return got.agg(F.sum("m").alias("records"), F.sum(F.col("m") * F.col("pairs")).alias("pairs"), F.sum(F.col("m") * F.col("exact")).alias("exact"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
@@ -304,6 +326,6 @@ _APART = " + ".join(f"abs(a.n_{c} - b.n_{c})" for c in "abcdefghijklmnoprstuwyz"
 _PAIRS = f"""WITH cur AS (SELECT id, source_page, regexp_replace(translate(strip_accents(lower(reference)), 'ł', 'l'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS t, CASE WHEN lower(trim(split, ' \n\t\r')) IN ('valid', 'validation') THEN 'val' ELSE lower(trim(split, ' \n\t\r')) END AS split FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM printed_replay_geometry) WHERE rn = 1),
 r AS (SELECT * FROM cur WHERE length(t) >= 20 AND split IN ('train', 'val', 'test')), a AS MATERIALIZED (SELECT t, {_COUNTS} FROM (SELECT DISTINCT t FROM r WHERE split = 'train')), b AS MATERIALIZED (SELECT t, {_COUNTS} FROM (SELECT DISTINCT t FROM r WHERE split <> 'train')),
 c AS MATERIALIZED (SELECT a.t AS x, b.t AS y FROM a JOIN b ON length(a.t) BETWEEN length(b.t) * 0.88 - 1 AND length(b.t) / 0.88 + 1 WHERE ({_APART}) * 100 <= 24 * greatest(length(a.t), length(b.t))),
-j AS (SELECT x, y FROM c WHERE levenshtein(x, y) * 100 <= 12 * greatest(length(x), length(y))), p AS (SELECT u.id AS id_t, v.id AS id_h FROM j JOIN r u ON u.t = j.x AND u.split = 'train' JOIN r v ON v.t = j.y AND v.split <> 'train')
+j AS (SELECT x, y FROM c WHERE levenshtein(x, y) * 100 <= 12 * greatest(length(x), length(y))), p AS (SELECT u.id AS id_t, v.id AS id_h, v.split, v.source_page, x = y AS same FROM j JOIN r u ON u.t = j.x AND u.split = 'train' JOIN r v ON v.t = j.y AND v.split <> 'train')
 """
-SQL = {"p4_found": _PAIRS + "SELECT least(id_t, id_h) AS id_a, greatest(id_t, id_h) AS id_b FROM p"}
+SQL = {"p4_found": _PAIRS + "SELECT least(id_t, id_h) AS id_a, greatest(id_t, id_h) AS id_b FROM p", "p4_report": _PAIRS + "SELECT split, source_page, count(DISTINCT id_h) AS records, count(*) AS pairs, count(*) FILTER (same) AS exact FROM p GROUP BY split, source_page"}
