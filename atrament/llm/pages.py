@@ -62,7 +62,8 @@ _DECORATED = re.compile(r"(?:[\[({*•|—–-]|str\b|pag\b)", re.IGNORECASE)
 _SIGN = re.compile(r"\s*(?:\d{1,3}\s?\*|[A-Z]{1,2}\s?\d{0,2}\s?\*?|(?:[\w.]+\s+){0,4}(?:ark|arkusz|bogen|bg|sig|sheet)\.?\s*[\dIVXLCDMilo]{1,5}\*?|.{3,50}\bT(?:om)?\.?\s*[IVXLCDMl]+\.?\s+[\dlO]{1,3}\*?)\s*\Z", re.IGNORECASE)
 
 
-_BACK = (("rn", "m"), ("in", "m"), ("ni", "m"), ("ri", "n"), ("ii", "n"), ("ii", "u"), ("vv", "w"), ("lc", "k"), ("cl", "d"))
+#: Letters as the strokes they share with the pairs they are read as: rn, in and ni are m, ri and ii are n or u, lc is k, cl is d, vv is w.
+_STROKES = str.maketrans({"m": "iii", "n": "ii", "k": "ie", "d": "ei", "w": "vv"})
 
 
 def fold_shapes(text: str) -> str:
@@ -71,21 +72,9 @@ def fold_shapes(text: str) -> str:
     return "".join(c for c in t if unicodedata.category(c)[0] != "M").replace("s'", "s").translate(_MERGE)
 
 
-def shape_keys(read: str) -> set[str]:
-    """The keys of words that ``read`` may stand for: a pair of letters is itself or one letter read as two."""
-    t = read.lower()
-    few = sum(t.count(pair) for pair, _ in _BACK) <= 8  # else only pairs that no sound word has
-
-    if len(t) > 40:
-        return {fold_shapes(t)}
-    tails: list[set[str]] = [{""}]  # of the last 0, 1, 2 .. letters
-    for i in range(len(t) - 1, -1, -1):
-        out = {t[i] + x for x in tails[-1]}
-        for pair, one in _BACK:
-            if t.startswith(pair, i) and (few or pair in ("vv", "ii")):
-                out |= {one + x for x in tails[-2]}
-        tails.append(out)
-    return {fold_shapes(x) for x in tails[-1]}
+def shape_key(word: str) -> str:
+    """A key that a word of any length keeps when shapes, or letters and pairs of letters, are confused."""
+    return fold_shapes(word).translate(_STROKES)
 
 
 @lru_cache(200_000)
@@ -134,22 +123,20 @@ def pages_of(raw: DataFrame) -> DataFrame:
 
 
 def _keys(batches):
-    """Rows (work_family, key, edge, n): keys of lines at the edges of pages, and of short lines inside."""
+    """Rows (page_no, work_family, key, edge, n): keys of lines at the edges of each page, and of all lines inside, summed up (no page)."""
     for b in batches:
-        got: dict = {}
+        out, inner = [], {}
         for no, work, lines in zip(b["page_no"], b["work_family"], b["lines"], strict=True):
+            keys = {f"#{g - no}" for x in (*lines[:2], *lines[-2:]) for g in page_number(x["text"])}  # a sequence of numbers recurs as one key
             seen = set()
-            for g in {g for x in (*lines[:2], *lines[-2:]) for g in page_number(x["text"])}:  # a sequence of numbers recurs as one key
-                got[work, f"#{g - no}", True] = got.get((work, f"#{g - no}", True), 0) + 1
             for i, x in enumerate(lines):
-                edge = i < TOP or i >= len(lines) - BOTTOM
-                if not edge and len(x["text"]) > 60:
-                    continue
                 k = line_key(x["text"])
-                if len(k) >= 4 and (k, edge) not in seen:
-                    seen.add((k, edge))
-                    got[work if edge else "", k, edge] = got.get((work if edge else "", k, edge), 0) + 1
-        yield pd.DataFrame([(*k, n) for k, n in got.items()], columns=["work_family", "key", "edge", "n"])
+                if len(k) >= 4:
+                    (keys if i < TOP or i >= len(lines) - BOTTOM else seen).add(k)
+            out += [(no, work, k, True, 1) for k in keys]
+            for k in seen:
+                inner[k] = inner.get(k, 0) + 1
+        yield pd.DataFrame(out + [(None, "", k, False, n) for k, n in inner.items()], columns=["page_no", "work_family", "key", "edge", "n"]).astype({"page_no": "Int64"})
 
 
 def with_order(df: DataFrame, cols: dict[str, tuple[str, str]]) -> DataFrame:
@@ -181,23 +168,23 @@ def with_order(df: DataFrame, cols: dict[str, tuple[str, str]]) -> DataFrame:
 def find_furniture(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds furniture, the line_index values of furniture, to pages."""
     spark = scratch.spark
-    keys = scratch.keep(pages.select("page_no", "work_family", "lines").mapInPandas(_keys, "work_family string, key string, edge boolean, n bigint").groupBy("work_family", "key", "edge").agg(F.sum("n").alias("n")))
+    each = scratch.keep(pages.select("page_no", "work_family", "lines").mapInPandas(_keys, "page_no bigint, work_family string, key string, edge boolean, n bigint"))
+    keys = scratch.keep(each.groupBy("work_family", "key", "edge").agg(F.sum("n").alias("n")))
     works = pages.groupBy("work_family").agg(F.count(F.lit(1)).alias("pages"), F.mode(F.col("page_number") - F.col("page_no")).alias("shift"))
-    total = pages.count()
     corpus = keys.groupBy("key").agg(F.sum(F.when(F.col("edge"), F.col("n")).otherwise(0)).alias("at"), F.sum("n").alias("all"), F.count_if("edge").alias("works"))
     corpus = scratch.keep(corpus)
     own = keys.where("edge and n >= 2").join(corpus.where(F.col("at") >= AT_EDGE * F.col("all")).select("key"), "key").join(works, "work_family")
     # at most (TOP + BOTTOM) / OF_WORK keys of a work hold the share, and 40 / SEQUENCE offsets of numbers theirs
     share = F.when(F.col("key").startswith("#"), F.greatest(F.lit(3), SEQUENCE * F.col("pages"))).otherwise(OF_WORK * F.col("pages"))
     own = own.where(F.col("n") >= share).groupBy("work_family").agg(F.collect_set("key").alias("headers"))
-    wide = corpus.where(~F.col("key").startswith("#") & (F.col("at") >= 0.9 * F.col("all")) & (F.col("works") >= 3) & (F.col("at") >= max(4, 1e-4 * total))).select("key")  # at most 7e4 keys
-    everywhere = spark.sparkContext.broadcast({r.key for r in wide.collect()})
+    wide, n = scratch.count(corpus.where(~F.col("key").startswith("#") & (F.col("at") >= 0.9 * F.col("all")) & (F.col("works") >= 3) & (F.col("at") >= 4)).select("key"))
+    everywhere = lookup(each.where("edge").select("page_no", "key"), wide, "key", "inner", rows=n).groupBy("page_no").agg(F.collect_list("key").alias("everywhere"))  # TOP + BOTTOM keys of a page at most
     numbered = with_order(pages.withColumn("at", F.when(F.col("page_number").isNotNull(), F.col("page_number") - F.col("page_no"))), {"shift_b": ("at", "before"), "shift_n": ("at", "next")})
-    given = lookup(lookup(numbered, works, "work_family"), own, "work_family")
+    given = lookup(lookup(numbered, works, "work_family"), own, "work_family").join(scratch.keep(everywhere), "page_no", "left")
 
     def near(k: str, headers) -> bool:
         """Whether a key is a header's, or one edit in five from one."""
-        if k in headers or k in everywhere.value:
+        if k in headers:
             return True
         return any(h[:1] != "#" and abs(len(h) - len(k)) * 5 <= len(h) and _distance(k, h, len(h) // 5) for h in headers)
 
@@ -205,8 +192,8 @@ def find_furniture(pages: DataFrame, scratch: Scratch) -> DataFrame:
         for b in batches:
             out = []
             shifts = zip(b["at"], b["shift_b"], b["shift_n"], b["shift"], strict=True)
-            for work, no, given_shifts, headers, lines in zip(b["work_family"], b["page_no"], shifts, b["headers"], b["lines"], strict=True):
-                headers = set(headers) if headers is not None else set()
+            for work, no, given_shifts, headers, wide, lines in zip(b["work_family"], b["page_no"], shifts, b["headers"], b["everywhere"], b["lines"], strict=True):
+                headers, wide = (set(x) if x is not None else set() for x in (headers, wide))
                 numbers = [int(no + x) for x in given_shifts if x is not None and x == x]
                 numbers = numbers[:1] if given_shifts[0] is not None and given_shifts[0] == given_shifts[0] else numbers  # the page's own, else what its neighbours and its work say
                 names = {_rough(w) for w in re.split(r"[\W\d_]+", work)[1:] if len(w) >= 5}
@@ -214,12 +201,12 @@ def find_furniture(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
                 def furniture(i: int, text: str, bottom: bool) -> bool:
                     t = text.strip()
-                    if not t or len(t) > 80:
+                    if not t:
                         return False
                     got = page_number(t)
                     if any(_like(g, x) for g in got for x in numbers) or got and i in (0, n - 1) and (_DECORATED.match(t) or not numbers):  # noqa: B023
                         return True
-                    for part in _PARTS.split(t)[:: 1 if len(t) <= 60 else 99] if i in (0, 1, n - 1, n - 2) else ():  # noqa: B023
+                    for part in _PARTS.split(t) if i in (0, 1, n - 1, n - 2) else ():  # noqa: B023
                         if part != t and any(_like(g, x) for g in page_number(part) for x in numbers):  # noqa: B023
                             return True
                     if any(f"#{g - no}" in headers for g in got):  # noqa: B023
@@ -227,9 +214,9 @@ def find_furniture(pages: DataFrame, scratch: Scratch) -> DataFrame:
                     if bottom and _SIGN.match(t) and i >= n - 3:  # noqa: B023
                         return True
                     k = line_key(t)
-                    if len(k) >= 4 and near(k, headers) and not _goes_on(t):  # noqa: B023
+                    if len(k) >= 4 and (k in wide or near(k, headers)) and not _goes_on(t):  # noqa: B023
                         return True
-                    return len(t) <= 50 and len(t.split()) <= 8 and not re.search(r"[.?!;,][”\"]?\s*\Z", t.rstrip("0123456789 .")) and any(w in k for w in names) and t[:1].isupper() and len(k) <= 3 * max(map(len, names))  # noqa: B023
+                    return not re.search(r"[.?!;,][”\"]?\s*\Z", t.rstrip("0123456789 .")) and any(w in k for w in names) and t[:1].isupper() and len(k) <= 3 * max(map(len, names))  # noqa: B023
 
                 i = 0
                 while i < min(TOP, n) and furniture(i, lines[i]["text"], False):
@@ -242,7 +229,7 @@ def find_furniture(pages: DataFrame, scratch: Scratch) -> DataFrame:
                 out.append(found)
             yield b[["page_no", "work_family", "lines"]].assign(furniture=out)
 
-    return given.select("page_no", "work_family", "lines", "at", "shift_b", "shift_n", "shift", "headers").mapInPandas(run, _ddl(pages.select("page_no", "work_family", "lines")) + ", furniture array<int>")
+    return given.select("page_no", "work_family", "lines", "at", "shift_b", "shift_n", "shift", "headers", "everywhere").mapInPandas(run, _ddl(pages.select("page_no", "work_family", "lines")) + ", furniture array<int>")
 
 
 def _goes_on(line: str) -> bool:
@@ -302,7 +289,7 @@ class Words:
         self.heads: dict[str, int] = {}
         for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
             if not any(c.isdigit() or c in "@ſþ" for c in w):
-                self.shapes.setdefault(fold_shapes(w), []).append(w)
+                self.shapes.setdefault(shape_key(w), []).append(w)
                 if "-" in w:
                     head = w.split("-")[0]
                     self.heads[head] = self.heads.get(head, 0) + n
@@ -328,7 +315,7 @@ class Words:
             return None
         own = self.n.get(low, 0)
         odd = any(c.isdigit() or c in "@ſþ'" for c in low)
-        for v in sorted({v for k in shape_keys(low) for v in self.shapes.get(k, ())}, key=lambda v: (-self.n[v], v)):
+        for v in self.shapes.get(shape_key(low), ()):  # from frequent to rare
             if v == low or self.n[v] < RATIO * max(1, own) and not odd or len(v) < 3 and not odd:
                 continue
             if self.n[v] < 3 * max(1, own):
@@ -350,13 +337,16 @@ def _reads() -> dict[str, list[str]]:
 
 
 def spelt(known: str, read: str) -> int | None:
-    """Where ``read`` first differs from ``known``, if it comes from it by confusions of shapes; None if it does not."""
-    reads = _reads()
+    """Where ``read`` first differs from ``known``, if it comes from it by confusions of shapes, four or one in two letters at
+    most; None if it does not. Strings of 400 letters or more without a blank are no words."""
+    reads, dead = _reads(), set()
 
     def step(i: int, j: int, first: int, left: int) -> int | None:
-        if i == len(known) and j == len(read):
-            return first if first >= 0 else None
+        while i < len(known) and j < len(read) and known[i] == read[j] and known[i] not in reads:
+            i, j = i + 1, j + 1
         if i == len(known):
+            return first if j == len(read) and first >= 0 else None
+        if (i, j, first < 0, left) in dead:
             return None
         if j < len(read) and known[i] == read[j]:
             got = step(i + 1, j + 1, first, left)
@@ -368,9 +358,10 @@ def spelt(known: str, read: str) -> int | None:
                     got = step(i + 1, j + len(r), first if first >= 0 else j, left - 1)
                     if got is not None:
                         return got
+        dead.add((i, j, first < 0, left))
         return None
 
-    return step(0, 0, -1, 4)
+    return step(0, 0, -1, max(4, len(read) // 2)) if abs(len(known) - len(read)) <= max(len(known), len(read)) // 2 and len(known) < 400 else None
 
 
 def broken(words: Words, line: str, following: str | None) -> tuple[bool, str, str]:
@@ -500,7 +491,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraphs(marked_pages: DataFrame, scratch: Scratch, words=None) -> DataFrame:
     """The running text: one row per paragraph, at the page and line where it begins. A line that is indented against its
-    page's usual margin begins a paragraph; what stands above the first such line goes on from the page before."""
+    page's usual margin begins a paragraph; what stands above the first such line goes on from the page before. A page without
+    such a line is a paragraph of its own, which the head of the next page may go on, so that none grows beyond two pages."""
 
     def run(batches):
         for b in batches:
@@ -525,7 +517,9 @@ def paragraphs(marked_pages: DataFrame, scratch: Scratch, words=None) -> DataFra
     schema = "page_no bigint, work_family string, start int, k int, line_index int, text string, joins boolean"
     lines = scratch.keep(marked_pages.select("page_no", "work_family", "lines", "furniture", "flags").mapInPandas(run, schema))
     pages = lines.groupBy("work_family", "page_no").agg(F.max_by(F.struct("page_no", F.col("start").alias("line")), F.when(F.col("start").isNotNull(), F.col("k"))).alias("own"), F.min("line_index").alias("top"))
-    pages = with_order(pages, {"prior": ("own", "before")}).withColumn("prior", F.coalesce("prior", F.struct("page_no", F.col("top").alias("line")))).select("page_no", "prior")
+    top = F.struct("page_no", F.col("top").alias("line"))
+    pages = with_order(pages.withColumn("bare", F.col("own").isNull()).withColumn("own", F.coalesce("own", top)), {"prior": ("own", "before")})
+    pages = pages.withColumn("prior", F.when(F.col("bare"), top).otherwise(F.coalesce("prior", top))).select("page_no", "prior")
     at = F.when(F.col("start").isNotNull(), F.struct(F.col("page_no"), F.col("start").alias("line"))).otherwise(F.col("prior"))
     placed = lookup(lines, pages, "page_no").withColumn("at", at)
     parts = placed.groupBy("work_family", "at").agg(F.array_sort(F.collect_list(F.struct("page_no", "k", "text", "joins"))).alias("parts"))

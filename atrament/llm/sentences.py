@@ -8,7 +8,8 @@ ordinal numbers, and sentence starters. For an abbreviation the share of ordinar
 tells whether it tends to end sentences. The second pass classifies every period with these tables, and treats other
 marks, quotations with reporting clauses, list entries, headings, wrapped lines and scripts without marks by rule.
 
-Tables broadcast hold types with at least LEAST of a language's tokens, at most 1 / LEAST of each kind.
+Abbreviations, starters and ordinal collocations of any frequency count, as the ratios alone decide. Of ordinary words those
+with at least LEAST of a language's tokens are broadcast, at most 1 / LEAST.
 
 Defined cases: null, empty and blank texts have no unit; repeated rows of a doc_id give their units once; a null doc_id
 is ignored; long texts are cut whole; empty tables give no rows.
@@ -39,9 +40,9 @@ OPEN, CLOSE = "([{（【「『‹⟨", ")]}）】」』›⟩’"
 PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】", "「": "」", "『": "』", "‹": "›", "⟨": "⟩"}
 UNMARKED = r"฀-໿က-႟ក-៿"
 REPORT = {
-    "cjk": re.compile(r"[^。！？\n]{0,24}(?:问|说|道|答|喊|叫|写|問|說|寫|叫ぶ|言う|言った|聞く|聞いた)[。！？]"),
+    "cjk": re.compile(r"[^。！？\n]*(?:问|说|道|答|喊|叫|写|問|說|寫|叫ぶ|言う|言った|聞く|聞いた)[。！？]"),
     "と": re.compile(r"と"),
-    "other": re.compile(r"[\s,،–—-]*(?:هكذا|يسأل|تسأل|سأل|يقول|تقول|قال|يكتب|[^\s।.!?]+(?:\s[^\s।.!?]+){0,3}\s(?:पूछता|पूछती|पूछा|कहता|कहती|कहा|बोला|बोली|लिखता|लिखती)|(?:पूछता|पूछती|कहता|कहती))"),
+    "other": re.compile(r"[\s,،–—-]*(?:هكذا|يسأل|تسأل|سأل|يقول|تقول|قال|يكتب|[^\s।.!?]+(?:\s[^\s।.!?]+)*?\s(?:पूछता|पूछती|पूछा|कहता|कहती|कहा|बोला|बोली|लिखता|लिखती)|(?:पूछता|पूछती|कहता|कहती))"),
 }
 
 _TOKEN = regex.compile(r"\d+(?:[.,:/]\d+)*|\p{L}[\p{L}\p{M}]*(?:[.'’\-‐]\p{L}[\p{L}\p{M}]*)*")
@@ -55,6 +56,7 @@ _HAS_UNMARKED = re.compile(f"[{UNMARKED}]")
 _BEFORE = regex.compile(r"(?:\d+(?:[.,:/]\d+)*|\p{L}[\p{L}\p{M}]*(?:[.'’\-‐]\p{L}[\p{L}\p{M}]*)*)\Z")
 _ROMAN = re.compile(r"[IVXLCDM]+\Z")
 _NUMBERED = re.compile(r"[^\W\d_A-Z]\.\s*\Z")
+_AHEAD, _SOLID = re.compile(r"[\s,–—-]*"), re.compile(r"\S*")
 _BLANK_LINE = re.compile(r"\n\s*\n")
 
 
@@ -120,10 +122,10 @@ def learn(docs: DataFrame, scratch: Scratch) -> dict[str, dict]:
     floor = LEAST * F.col("all_c")
     t = t.select(
         "lang", "a", (F.col("l") / F.col("all_c")).alias("rate"),
-        ((score >= ABBREVIATION) & (F.col("p") >= F.greatest(floor, F.lit(2)))).alias("abbr"),
+        ((score >= ABBREVIATION) & (F.col("p") >= 2)).alias("abbr"),
         ((F.col("l") >= F.greatest(floor, F.lit(2))) & (F.col("l") >= 0.05 * F.col("c"))).alias("common"),
-        ((start >= STARTER) & (F.col("s") >= floor) & (F.col("u") <= 0.1 * F.col("s"))).alias("starter"),
-        ((ordinal >= COLLOCATION) & (F.col("o") >= floor) & (F.col("o") >= 0.3 * F.col("c"))).alias("ordinal"),
+        ((start >= STARTER) & (F.col("u") <= 0.1 * F.col("s"))).alias("starter"),
+        ((ordinal >= COLLOCATION) & (F.col("o") >= 0.3 * F.col("c"))).alias("ordinal"),
     )
     t = scratch.keep(t.where("abbr or common or starter or ordinal"))
     pairs = raw.where("kind = 'f'").select("lang", "a", "b", "n")
@@ -172,7 +174,9 @@ def _word_before(text: str, i: int, start: int) -> str:
         j -= 1
     word = text[j:i].lstrip(_INNER)
     if word and (text[j - 1 : j] in (",", ":", "/") or not word.isalpha()):
-        m = _BEFORE.search(text, max(start, i - 60), i)
+        while j > start and not text[j - 1].isspace():
+            j -= 1
+        m = _BEFORE.search(text, j, i)
         return m[0] if m else ""
     return word
 
@@ -270,7 +274,7 @@ class Cutter:
         if wide:
             return k
         dots = marks == "…" or len(marks) > 1 and set(marks) <= set(".…")
-        m = _TOKEN.match(text, f if f not in pair else f + 1) or _TOKEN.search(text, f, min(n, f + 40))
+        m = _TOKEN.match(text, f if f not in pair else f + 1) or _TOKEN.search(text, f)
         nxt = m[0] if m else ""
         if dots:
             return k if nc.isupper() or f in pair or closed else -1
@@ -304,11 +308,11 @@ class Cutter:
         events.sort()
         starts = [0, *(m.end() for m in _LINE_END.finditer(text))]
         lengths = sorted(len(x.rstrip()) for x in _LINE_END.split(text))
-        width = lengths[-2] if len(lengths) > 3 else lengths[-1]
+        width = lengths[-2] if len(lengths) > 3 else lengths[-1]  # of four lines or more one may run over
         held = []  # quotations with a reporting clause: no end inside
         for o, c in pair.items():
             if text[o] in "„“«»\"「『" and c - o > 2:
-                rest = _BLANK_LINE.split(text[c + 1 : c + 60], maxsplit=1)[0]
+                rest = _BLANK_LINE.split(text[c + 1 : _AHEAD.match(text, c + 1).end() + 40], maxsplit=1)[0]
                 line = _BREAK.match(rest)
                 if line and _entry(text, c + 1 + line.end()) and not rest.lstrip()[:1] == "–":
                     continue
@@ -364,7 +368,7 @@ class Cutter:
             return True
         if not line.strip():
             return False
-        nxt = text[b:].split(None, 1)[0] if b - a < 1 else re.match(r"\S*", text[b : b + 80])[0]
+        nxt = _SOLID.match(text, b)[0]
         cjk = "　" <= text[b] < "ꀀ" or "　" <= line.rstrip()[-1:] < "ꀀ"
         fits = len(line.rstrip()) + (1 if cjk else 1 + len(nxt)) <= width - (0 if cjk else 2)
         marked = _entry(text, i + len(line) - len(line.lstrip()))
@@ -396,9 +400,13 @@ def _entry(text: str, i: int) -> bool:
     number = int(m[2])
     if number == 1:
         return True
-    head = text[max(0, i - 400) : i].rstrip()
-    last = _LINE_END.split(head)[-1].lstrip()
-    before = _MARKER.match(last)
+    j = i
+    while j and text[j - 1].isspace():
+        j -= 1
+    k = j
+    while k and not _LINE_END.match(text, k - 1):
+        k -= 1
+    before = _MARKER.match(text[k:j].lstrip())
     if before and before[2] and int(before[2]) == number - 1:
         return True
     end = _LINE_END.search(text, i)

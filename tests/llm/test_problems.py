@@ -340,3 +340,27 @@ def test_paragraphs_join_broken_words(spark, scratch):
     df = spark.createDataFrame([(i, "w", 6 + i, x, None) for i, x in enumerate(lines)], f"page_no bigint, work_family string, page_number int, lines array<struct<{line.replace(' int', ':int').replace(' string', ':string').replace(' double', ':double').replace(' array', ':array')}>>, scanned_at timestamp")
     got = [r.text for r in pages.paragraphs(scratch.keep(pages.marked(df, scratch)), scratch).orderBy("page_no", "line_index").collect()]
     assert got[0].startswith("Pierwszy akapit ma słowo i koniec. ciąg dalszy.") and got[1].startswith("Drugi akapit.")
+
+
+def test_pages_read_lines_and_words_of_any_length(spark, scratch):
+    w = pages.Words({"konstantynopolitańczykowianeczka" * 2: 900, "proboszczmiastamorgenniemieckidrukarniczytelni": 900})
+    assert w.source("konstantynopolitańczykowianeczka" + "konstantynopolitańczykowianec2ka") is not None
+    assert w.source("pr0b0szczrniastam0rgenniemieckidrukarniczyte1ni")[0].startswith("proboszcz")  # five confusions in 46 letters
+    head = "ROCZNIKI GÓRNOWIDZKIE " * 6 + "TOM DRUGI"  # 141 characters
+    page = lambda i: [(0, head, 0.9, [9, 0, 9, 9]), *[(j, f"zwykły wiersz {chr(97 + i)}{chr(97 + j)} o niczym", 0.9, [9, 0, 9, 9]) for j in range(1, 12)]]
+    df = spark.createDataFrame([(i, "dzieło", None, page(i), None) for i in range(8)], "page_no bigint, work_family string, page_number int, lines array<struct<line_index:int,raw_text:string,confidence:double,bbox:array<int>>>, scanned_at timestamp")
+    assert {tuple(r.furniture) for r in pages.find_furniture(scratch.keep(pages.pages_of(df)), scratch).collect()} == {(0,)}
+
+
+def test_paragraphs_of_pages_without_indents_stay_bounded(spark, scratch):
+    page = lambda i: [(j, f"wiersz {i} {j}", 0.9, [90, 0, 9, 9]) for j in range(10)]
+    df = spark.createDataFrame([(i, "w", None, page(i), None) for i in range(40)], "page_no bigint, work_family string, page_number int, lines array<struct<line_index:int,raw_text:string,confidence:double,bbox:array<int>>>, scanned_at timestamp")
+    got = pages.paragraphs(scratch.keep(pages.marked(df, scratch)), scratch).collect()
+    assert sum(r.lines for r in got) == 400 and max(r.lines for r in got) <= 20
+
+
+def test_sentences_beyond_any_window():
+    long = "pisarz " * 90
+    assert units(f"Spis:\n1. {long}\n2. drugi list") == ["Spis:", f"1. {long}".strip(), "2. drugi list"]
+    assert units("„Czy to on?”" + " " * 80 + "– pyta pisarz. Tak.")[1:] == ["Tak."]
+    assert units("“校对员检查。”" + "编辑" * 20 + "问。谁阅读？")[1:] == ["谁阅读？"]
