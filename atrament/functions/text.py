@@ -14,7 +14,9 @@ from atrament.functions.arrow import arrow
 QUOTES = ("„“”‟«»‚‘’‛‹›", "\"\"\"\"\"\"''''''")
 #: Letters by which Polish text is told from others.
 POLISH = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻ"
-VOWELS = "aeiouyąęó"
+VOWELS = "aeiouyąęóAEIOUYĄĘÓ"
+#: Characters that clean text has not, for regular expressions.
+GARBAGE = r"[@#$%^&*_=~<>|\\{}\[\]]"
 
 
 @arrow("string")
@@ -33,22 +35,34 @@ def strip_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c)[0] != "M"), na_action="ignore")
 
 
+def composed(col: Column) -> Column:
+    """NFC; only texts that hold a character which may compose go through Python."""
+    return F.coalesce(nfc(F.when(col.rlike("[^\u0000-\u02ff\u0400-\u052f\u2010-\u2027]"), col)), col)
+
+
+@arrow("string")
+def value_text(texts: pd.Series) -> pd.Series:
+    """normalize_v1 without case, as values of fields are compared."""
+    table = str.maketrans(*QUOTES)
+    return texts.map(lambda t: " ".join(unicodedata.normalize("NFC", t).translate(table).split()).casefold(), na_action="ignore")
+
+
 def collapse(col: Column) -> Column:
     """Runs of blanks of any kind become one space; outer ones go."""
     return F.trim(F.regexp_replace(col, r"(?U)[\s\x{1c}-\x{1f}]+", " "))
 
 
 def normalize_v0(col: Column) -> Column:
-    return collapse(nfc(col))
+    return collapse(composed(col))
 
 
 def normalize_v1(col: Column) -> Column:
-    return collapse(F.translate(nfc(col), *QUOTES))
+    return collapse(F.translate(composed(col), *QUOTES))
 
 
 def normalize_lines(col: Column) -> Column:
     """Blanks inside lines collapse, line breaks stay; empty lines go."""
-    lines = F.transform(F.split(nfc(col), "\n"), collapse)
+    lines = F.transform(F.split(composed(col), "\n"), collapse)
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -59,7 +73,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    return F.filter(F.split(F.coalesce(col, F.lit("")), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(F.coalesce(col, F.lit("")), r"(?U)[\s\x{1c}-\x{1f}]+"), lambda x: x != "")
 
 
 def shingles(tokens: Column, n: int) -> Column:
@@ -80,15 +94,13 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def noise(col: Column) -> Column:
-    """0 to 1: three times the share of vowelless words of three letters or more, five times that of words mixing letters
-    and digits, five times that of unusual characters."""
-    w = words(col)
-    n = F.size(w)
-    bare = F.filter(w, lambda x: x.rlike(r"^\p{L}{3,}$") & ~F.lower(x).rlike(f"[{VOWELS}]"))
-    mixed = F.filter(w, lambda x: x.rlike(r"\p{L}") & x.rlike(r"\d"))
-    weird = F.regexp_count(col, F.lit(r"[^\p{L}\p{N}\s.,;:!?()\"'„”«»–—…/%§*&+=\[\]-]"))
-    raw = 3 * F.size(bare) / n + 5 * F.size(mixed) / n + 5 * weird / F.char_length(col)
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), raw))
+    """0 to 1: three times the share of words without a vowel among those of four characters or more, five times that of
+    garbage characters, five times that of characters beyond U+2500. A blank text is noise."""
+    w = F.filter(words(col), lambda x: F.char_length(x) >= 4)
+    bare = F.filter(w, lambda x: ~x.rlike(f"[{VOWELS}]"))
+    share = lambda p: F.regexp_count(col, F.lit(p)) / F.char_length(col)
+    raw = 3 * F.when(F.size(w) > 0, F.size(bare) / F.size(w)).otherwise(0.0) + 5 * share(GARBAGE) + 5 * share("[^\u0000-\u2500]")
+    return F.when(collapse(col) == "", 1.0).otherwise(F.least(F.lit(1.0), raw))
 
 
 def noise_gate(col: Column, confidence: Column, threshold: float) -> Column:
@@ -116,7 +128,7 @@ def sentence_ok(col: Column) -> Column:
     """20 to 160 characters, 55 % letters or more, at most two brackets and four quotes."""
     n = F.char_length(col)
     count = lambda p: F.regexp_count(col, F.lit(p))
-    return n.between(20, 160) & (count(r"\p{L}") >= 0.55 * n) & (count(r"[()]") <= 2) & (count("[\"„”“«»]") <= 4)
+    return n.between(20, 160) & (count(r"\p{L}") >= 0.55 * n) & (count(r"[()]") <= 2) & (count("\"") <= 4)
 
 
 def clean_wiki(col: Column) -> Column:
@@ -160,9 +172,9 @@ def replace_once(col: Column, before: Column, after: Column) -> Column:
 
 
 def map_glyphs(col: Column, glyphs: dict[str, str]) -> Column:
-    for a, b in glyphs.items():
-        col = F.replace(col, F.lit(a), F.lit(b))
-    return col
+    """Each character as the map has it, all at once, so that no replacement is replaced again."""
+    table = F.create_map(*[F.lit(x) for kv in glyphs.items() for x in kv])
+    return F.when(F.lit(not glyphs), col).otherwise(F.array_join(F.transform(F.split(col, ""), lambda c: F.coalesce(table[c], c)), ""))
 
 
 def strip_tags(col: Column) -> Column:
@@ -185,10 +197,23 @@ def payload_table(col: Column, k: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(col, F.lit(r"(?is)(<table\b.*?</table>)"), 1), F.lit(k))
 
 
-def payload_json(col: Column) -> Column:
-    """The first JSON object without nested ones deeper than two, null if there is none."""
-    got = F.regexp_extract(col, r"(?s)(\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})", 1)
-    return F.nullif(got, F.lit(""))
+@arrow("string")
+def payload_json(texts: pd.Series) -> pd.Series:
+    """The first JSON object of a text, nested however deep; null if there is none."""
+    import json
+
+    read = json.JSONDecoder().raw_decode
+
+    def first(t):
+        at = t.find("{")
+        while at >= 0:
+            try:
+                return t[at : read(t, at)[1]]
+            except (ValueError, RecursionError):
+                at = t.find("{", at + 1)
+        return None
+
+    return texts.map(first, na_action="ignore")
 
 
 def scale_box(box: Column, width: Column, height: Column) -> Column:
@@ -208,11 +233,11 @@ def longest_run(items: Column) -> Column:
 
 
 def repetition(col: Column, chars: int = 64, tokens: int = 32, lines: int = 4) -> dict[str, Column]:
-    """Flags of degenerate output: long runs of one character, word or line."""
+    """Flags of degenerate output: long runs of one character that is no blank, of one word, of one line."""
     return {
-        "char_run": F.coalesce(col.rlike(rf"(?s)(.)\1{{{chars - 1},}}"), F.lit(False)),
-        "word_run": F.coalesce(longest_run(words(col)) >= tokens, F.lit(False)),
-        "line_run": F.coalesce(longest_run(F.filter(F.split(col, "\n"), lambda x: F.trim(x) != "")) >= lines, F.lit(False)),
+        "char_run": F.coalesce(col.rlike(rf"(?U)(\S)\1{{{chars - 1},}}"), F.lit(False)),
+        "word_run": F.coalesce(longest_run(F.regexp_extract_all(col, F.lit(r"(?U)(\w+)"), 1)) >= tokens, F.lit(False)),
+        "line_run": F.coalesce(longest_run(F.filter(F.transform(F.split(col, r"\R"), lambda x: F.trim(x)), lambda x: x != "")) >= lines, F.lit(False)),
     }
 
 

@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 
 from atrament.functions.arrow import arrow
+from atrament.functions.text import QUOTES
 
 
 def edit_table(a, b, cost=lambda x, y: x != y) -> list[list[float]]:
@@ -65,20 +66,20 @@ def edit_ops(a: str, b: str) -> list[tuple[str, str, str]]:
 
 
 def error_class(a: str, b: str) -> str:
-    """The kind of a differing pair of characters."""
-    bare = lambda c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x)[0] != "M").replace("ł", "l").replace("Ł", "L")
-    both = a + b
-    if any(unicodedata.category(c) == "Co" for c in both):
-        return "private"
-    if "ſ" in both:
-        return "long_s"
-    if a.lower() == b.lower():
-        return "case"
-    if a and b and bare(a).lower() == bare(b).lower():
+    """The kind of a differing pair of characters, of which one may be empty; the first that holds of: a private character
+    in the reference, a long or round s, case, diacritics, punctuation, a blank, other."""
+    bare = lambda c: "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn").lower()
+    if a and unicodedata.category(a) == "Co":
+        return "private_use_reference"
+    if {a, b} & {"ſ", "s"}:
+        return "long_s_or_s"
+    if a and b and a.lower() == b.lower():
+        return "case_only"
+    if a and b and bare(a) == bare(b):
         return "diacritic"
-    if all(unicodedata.category(c)[0] == "P" for c in both):
+    if any(c and unicodedata.category(c)[0] == "P" for c in (a, b)):
         return "punctuation"
-    return "blank" if both.isspace() else "other"
+    return "whitespace" if " " in (a, b) else "other"
 
 
 @arrow("array<struct<op:string,a:string,b:string,kind:string>>")
@@ -114,34 +115,51 @@ def text_issues(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-_HEAD, _ITEM = re.compile(r"^(#{1,6})\s+(.*)"), re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+(.*)")
-
-
-def outline(text: str) -> list[tuple[str, str]]:
-    """Headings, list items and paragraphs of a Markdown text in order."""
-    out: list[tuple[str, str]] = []
-    open_ = False
-    for line in (text or "").split("\n"):
-        head, item = _HEAD.match(line), _ITEM.match(line)
-        if head:
-            out.append((f"h{len(head[1])}", " ".join(head[2].split())))
-        elif item:
-            out.append(("li", " ".join(item[1].split())))
-        elif line.strip() and open_:
-            out[-1] = ("p", out[-1][1] + " " + " ".join(line.split()))
-        elif line.strip():
-            out.append(("p", " ".join(line.split())))
-        open_ = bool(line.strip()) and not head and not item
+_HEAD, _ITEM = re.compile(r"(#{1,6})\s+(.*)\Z"), re.compile(r"\s*(?:[-*+]|\d+[.)])\s+(.*)\Z")
+_STRAIGHT = str.maketrans(*QUOTES)
+
+
+def _plain(text: str) -> str:
+    return " ".join(unicodedata.normalize("NFC", text).translate(_STRAIGHT).split())
+
+
+def outline(text: str | None) -> list[tuple[str, str]]:
+    """Headings, list items and other lines of a Markdown text in order, each with its normalized text; empty ones are left out."""
+    out = []
+    for line in (text or "").splitlines():
+        line = line.rstrip()
+        if head := _HEAD.match(line):
+            part = f"h{len(head[1])}", head[2].strip().lstrip("#")
+        elif item := _ITEM.match(line):
+            part = "li", item[1]
+        else:
+            part = "p", line.strip().strip("`")
+        if _plain(part[1]):
+            out.append((part[0], _plain(part[1])))
     return out
 
 
-def outline_similarity(a: str, b: str) -> float:
-    """1 - weighted edits / longer outline; replacing a part of the same kind costs what their texts differ."""
-    x, y = outline(a), outline(b)
+def _similarity(x: list[tuple[str, str]], y: list[tuple[str, str]]) -> float:
     if not x and not y:
         return 1.0
     cost = lambda p, q: 1.0 if p[0] != q[0] else 1 - difflib.SequenceMatcher(None, p[1], q[1]).ratio()
-    return 1 - edit_table(x, y, cost)[-1][-1] / max(len(x), len(y))
+    return max(0.0, 1 - edit_table(x, y, cost)[-1][-1] / max(len(x), len(y)))
+
+
+def outline_similarity(a: str | None, b: str | None) -> float:
+    """1 - weighted edits / longer outline; replacing a part of the same kind costs what their texts differ."""
+    return _similarity(outline(a), outline(b))
+
+
+@arrow("array<struct<kind:string,reference:int,predicted:int,similarity:double>>")
+def outline_report(reference: pd.Series, predicted: pd.Series) -> pd.Series:
+    """Per kind of part: how many both sides have, and how similar they are."""
+    out = []
+    for a, b in zip(reference, predicted, strict=True):
+        x, y = outline(a), outline(b)
+        one = lambda side, k: [p for p in side if p[0] == k]
+        out.append([{"kind": k, "reference": len(one(x, k)), "predicted": len(one(y, k)), "similarity": _similarity(one(x, k), one(y, k))} for k in sorted({k for k, _ in x + y})])
+    return pd.Series(out)
 
 
 @arrow("double")
@@ -241,10 +259,10 @@ def table_similarity(reference: str | None, predicted: str | None, structure_onl
         return float(a is None and b is None)
 
     def cost(p, q) -> float:
-        if p[:2] != q[:2]:
+        if p[0] != q[0] or p[0] in ("td", "th") and p[1] != q[1]:
             return 1.0
-        if structure_only or p[0] not in ("td", "th"):
-            return 0.0
+        if structure_only or p[0] not in ("td", "th") or p[3] or q[3]:
+            return 0.0  # cells that hold tables are told by those
         s, t = " ".join(p[2].split()), " ".join(q[2].split())
         return edit_distance(s, t) / max(len(s), len(t)) if s or t else 0.0
 
@@ -259,12 +277,21 @@ def table_scores(reference: pd.Series, predicted: pd.Series) -> pd.DataFrame:
 
 @arrow("array<string>")
 def table_rows(html: pd.Series) -> pd.Series:
-    """The texts of each row, cells joined by a tab."""
+    """The texts of each row, cells joined by a blank; empty cells and rows are left out."""
+
+    def cells(node):
+        for c in node[3]:
+            if c[0] in ("td", "th") and c[2].strip():
+                yield " ".join(c[2].split())
+            yield from cells(c)
 
     def rows(node):
         if node[0] == "tr":
-            yield "\t".join(" ".join(c[2].split()) for c in node[3])
-        for c in node[3]:
-            yield from rows(c)
+            text = " ".join(cells(node))
+            if text:
+                yield text
+        else:
+            for c in node[3]:
+                yield from rows(c)
 
     return pd.Series([list(rows(t)) if (t := table_tree(h)) else [] for h in html])

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from atrament.functions.arrow import let
-from atrament.functions.text import collapse
+from atrament.functions.fold import base_letters
+from atrament.functions.text import collapse, value_text
 
-#: Genitive names of the months in Polish.
-MONTHS = ["stycznia", "lutego", "marca", "kwietnia", "maja", "czerwca", "lipca", "sierpnia", "września", "października", "listopada", "grudnia"]
+#: Names of the months in Polish without diacritics, nominative and genitive.
+MONTHS = [("styczen", "stycznia"), ("luty", "lutego"), ("marzec", "marca"), ("kwiecien", "kwietnia"), ("maj", "maja"), ("czerwiec", "czerwca"), ("lipiec", "lipca"), ("sierpien", "sierpnia"), ("wrzesien", "wrzesnia"), ("pazdziernik", "pazdziernika"), ("listopad", "listopada"), ("grudzien", "grudnia")]
 #: Weights of the check digits of tax and personal numbers.
 NIP_WEIGHTS, PESEL_WEIGHTS = [6, 5, 7, 2, 3, 4, 5, 6, 7], [1, 3, 7, 9, 1, 3, 7, 9, 1, 3]
 
@@ -18,46 +19,62 @@ def _valid(y: Column, m: Column, d: Column) -> Column:
     return F.date_format(F.try_to_date(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), "yyyy-MM-dd")
 
 
-def date_value(col: Column) -> Column:
-    return let(F.regexp_replace(collapse(F.lower(col)), r"\s*r\.?$", ""), lambda t: _day(t, col))
+def _date(text: Column) -> Column:
+    """Year first or day first with dashes, dots or slashes, or with the month's name; null for another form or no such day."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.translate(text, *base_letters()), r"\s*r\.?$", ""), r"\.+$", ""))
+    iso, day_first, named = r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})$", r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4})$", r"^(\d{1,2})\s+([a-z]+)\s+(\d{4})$"
 
+    def day(t: Column) -> Column:
+        pick = lambda p, k: F.regexp_extract(t, p, k)
+        month = F.coalesce(*[F.when(pick(named, 2).isin(*names), F.lit(str(i))) for i, names in enumerate(MONTHS, 1)])
+        return F.when(t.rlike(iso), _valid(pick(iso, 1), pick(iso, 2), pick(iso, 3))).when(t.rlike(day_first), _valid(pick(day_first, 3), pick(day_first, 2), pick(day_first, 1))).when(t.rlike(named), _valid(pick(named, 3), month, pick(named, 1)))
 
-def _day(t: Column, col: Column) -> Column:
-    pick = lambda p, k: F.regexp_extract(t, p, k)
-    iso, day_first, named = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$", rf"^(\d{{1,2}}) ({'|'.join(MONTHS)}) (\d{{4}})$"
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), pick(named, 2)).cast("string")
-    out = F.when(t.rlike(iso), _valid(pick(iso, 1), pick(iso, 2), pick(iso, 3))).when(t.rlike(day_first), _valid(pick(day_first, 3), pick(day_first, 2), pick(day_first, 1))).when(t.rlike(named), _valid(pick(named, 3), month, pick(named, 1)))
-    return F.coalesce(out, collapse(col))
+    return let(bare, day)
 
 
-def money_value(col: Column) -> Column:
-    """The amount as plain decimal text without trailing zeros. The right-most mark followed by one or two digits, or by
-    other than three, is decimal; a mark before three digits groups them. Minus zero is zero."""
-    clean = F.regexp_replace(F.lower(col), r"(?U)[\s\x{a0}\x{202f}']|zł|pln|eur|usd|€|\$", "")
-    clean = F.regexp_replace(clean, r"^([+-]?[\d.,]*?)(?:,-)?\.?$", "$1")
+def _money(text: Column) -> Column:
+    """The amount as plain decimal text without trailing zeros; null if it is none. Of two different marks the last is
+    decimal; marks before each three digits group them. Minus zero is zero."""
+    clean = F.regexp_replace(F.regexp_replace(text, r",\s*-\s*$", ".00"), r"\s*(?:zł\.?|pln)\s*", "")
+    clean = F.regexp_replace(clean, r"[ '\x{2019}]", "")
 
     def amount(t: Column) -> Column:
         u = F.regexp_replace(t, r"^[+-]", "")
-        grouped = u.rlike(r"^\d{1,3}(?:\.\d{3})+$|^\d{1,3}(?:,\d{3})+$")
-        split = F.when(grouped | ~u.rlike("[.,]"), F.array(u, F.lit(""))).otherwise(F.array(F.regexp_extract(u, r"^(.*)[.,]\d*$", 1), F.regexp_extract(u, r"[.,](\d*)$", 1)))
-        return let(split, lambda p: let(F.array(F.regexp_replace(F.regexp_replace(p[0], "[.,]", ""), r"^0+(?=\d)", ""), F.regexp_replace(p[1], "0+$", "")), lambda q: F.concat(F.when(t.startswith("-") & (F.concat(F.translate(q[0], "0", ""), q[1]) != ""), "-").otherwise(""), F.when(q[0] == "", "0").otherwise(q[0]), F.when(q[1] == "", "").otherwise(F.concat(F.lit("."), q[1])))))
+        last = F.regexp_extract(u, r"([.,])[^.,]*$", 1)
+        both = u.contains(".") & u.contains(",")
+        plain = F.when(both & (last == ","), F.translate(u, ",.", ".")).when(both, F.translate(u, ",", "")).when(u.rlike(r"^\d{1,3}(?:,\d{3})+$|^\d{1,3}(?:\.\d{3})+$"), F.translate(u, ",.", "")).otherwise(F.translate(u, ",", "."))
+        tidy = let(plain, lambda x: F.when(x.rlike(r"^\d+(?:\.\d+)?$"), F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^0+(?=\d)", ""), r"(\.\d*?)0+$", "$1"), r"\.$", "")))
+        return let(tidy, lambda x: F.concat(F.when(t.startswith("-") & (x != "0"), "-").otherwise(""), x))
+
+    return let(clean, amount)
+
+
+def _digits(text: Column, length: int) -> Column:
+    d = F.regexp_replace(text, r"\D", "")
+    return F.when(F.char_length(d) == length, d)
 
-    return let(clean, lambda t: F.when(t.rlike(r"^[+-]?\d[\d.,]*$"), amount(t)).otherwise(collapse(col)))
+
+def date_value(col: Column) -> Column:
+    return let(value_text(col), lambda t: F.coalesce(_date(t), t))
+
+
+def money_value(col: Column) -> Column:
+    return let(value_text(col), lambda t: F.coalesce(_money(t), t))
 
 
 def digits_value(col: Column, length: int) -> Column:
-    d = F.regexp_replace(col, r"\D", "")
-    return F.when(F.char_length(d) == length, d).otherwise(collapse(col))
+    return let(value_text(col), lambda t: F.coalesce(_digits(t, length), t))
 
 
 def address_value(col: Column) -> Column:
-    return collapse(F.regexp_replace(F.lower(col), r"[.,;]", " "))
+    return collapse(F.regexp_replace(value_text(col), r"[^\p{L}\p{N}_\s-]", " "))
 
 
 def field_value(col: Column, kind: Column) -> Column:
-    return (
-        F.when(kind == "date", date_value(col)).when(kind == "money", money_value(col)).when(kind == "nip", digits_value(col, 10)).when(kind == "pesel", digits_value(col, 11)).when(kind == "address", address_value(col)).otherwise(collapse(col))
-    )
+    """The form in which values of a kind are compared: without case, with straight quotes and single blanks; what does not
+    parse as its kind stays such text."""
+    typed = lambda t: F.when(kind == "date", _date(t)).when(kind == "money", _money(t)).when(kind == "nip", _digits(t, 10)).when(kind == "pesel", _digits(t, 11)).when(kind == "address", collapse(F.regexp_replace(t, r"[^\p{L}\p{N}_\s-]", " ")))
+    return let(value_text(col), lambda t: F.coalesce(typed(t), t))
 
 
 def verdict(reference: Column, predicted: Column) -> Column:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrament.functions import values
+from atrament.functions.text import normalize_v1
 from atrament.functions.trees import errors_of, word_edits
 
 
 def scored_join(reference: DataFrame, predictions: DataFrame, key: str, text: str, payload: str) -> DataFrame:
-    """reference left-joined to predictions (key, status, payload): adds ok and hypothesis."""
-    p = predictions.select(key, (F.col("status") == "ok").alias("ok"), F.col(payload).alias("hypothesis"))
+    """reference left-joined to predictions (key, status, payload): adds ok and hypothesis. Both texts are normalized."""
+    p = predictions.select(key, (F.col("status") == "ok").alias("ok"), normalize_v1(F.col(payload)).alias("hypothesis"))
     out = reference.join(p, key, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    return out.withColumn("hypothesis", F.when(F.col("ok"), F.coalesce("hypothesis", F.lit(""))).otherwise("")).withColumn(text, F.coalesce(text, F.lit("")))
+    return out.withColumn("hypothesis", F.when(F.col("ok"), F.coalesce("hypothesis", F.lit(""))).otherwise("")).withColumn(text, F.coalesce(normalize_v1(F.col(text)), F.lit("")))
 
 
 def with_edits(pairs: DataFrame, text: str = "reference", hypothesis: str = "hypothesis", word_level: bool = True) -> DataFrame:
@@ -36,6 +41,42 @@ def error_rates(scored: DataFrame, by: list[list[str]]) -> DataFrame:
     return out.withColumn("wer", F.col("word_edits") / F.nullif("words", F.lit(0))) if "words" in scored.columns else out
 
 
+def domain_summary(scored: DataFrame, domain: str, text: str = "hypothesis") -> DataFrame:
+    """Micro rates, lines and replacement characters of each domain and of all together (``combined``)."""
+    both = scored.withColumn("_d", F.explode(F.array(F.col(domain), F.lit("combined")))).drop(domain).withColumnRenamed("_d", domain)
+    got = both.groupBy(domain).agg(F.count(F.lit(1)).alias("lines"), *[F.sum(c).alias(c) for c in ("char_edits", "chars", "word_edits", "words")], F.sum(F.regexp_count(text, F.lit("\ufffd"))).cast("bigint").alias("replacement_characters"))
+    rate = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    return got.select(domain, "lines", rate("char_edits", "chars").alias("cer"), rate("word_edits", "words").alias("wer"), "replacement_characters")
+
+
+def subset_rates(scored: DataFrame, subsets: dict[str, Column]) -> DataFrame:
+    """Micro rates of named, possibly overlapping subsets in one pass."""
+    names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in subsets.items()]))
+    return error_rates(scored.withColumn("subset", F.explode(names)), [["subset"]])
+
+
+def protected_selection(summaries: DataFrame, baseline: str, gain: str, guard: str) -> DataFrame:
+    """summaries (name, domain, cer, wer, lines, replacement_characters) to (name, reasons, chosen). A candidate must lower the
+    character rate of the domain ``gain`` and of all, raise neither rate of the domain ``guard``, and add no replacement
+    character anywhere; the eligible one of the least (combined rate, name) is chosen, else the baseline."""
+    base = summaries.where(F.col("name") == baseline).select("domain", *[F.col(c).alias(f"b_{c}") for c in ("cer", "wer", "lines", "replacement_characters")])
+    j = summaries.where(F.col("name") != baseline).join(F.broadcast(base), "domain", "full")  # a row per domain
+    why = F.when(F.col("lines").isNull() | F.col("b_lines").isNull() | (F.col("lines") != F.col("b_lines")), F.array(F.lit("other_lines"))).otherwise(
+        F.array_compact(
+            F.array(
+                F.when(F.col("replacement_characters") > F.col("b_replacement_characters"), F.lit("replacement_characters")),
+                F.when(F.col("domain").isin(gain, "combined") & (F.col("cer") >= F.col("b_cer") - 1e-12), F.lit("cer_not_improved")),
+                F.when((F.col("domain") == guard) & (F.col("cer") > F.col("b_cer") + 1e-12), F.lit("cer_regression")),
+                F.when((F.col("domain") == guard) & (F.col("wer") > F.col("b_wer") + 1e-12), F.lit("wer_regression")),
+            )
+        )
+    )
+    each = j.where("name is not null").select("name", F.when(F.col("domain") == "combined", F.col("cer")).alias("cer"), F.transform(why, lambda x: F.concat_ws(":", "domain", x)).alias("why"))
+    out = each.groupBy("name").agg(F.max("cer").alias("cer"), F.array_sort(F.flatten(F.collect_list("why"))).alias("reasons"))
+    best = out.agg(F.min_by("name", F.when(F.size("reasons") == 0, F.struct("cer", "name"))).alias("best"))
+    return out.join(F.broadcast(best)).select("name", F.array_join("reasons", ",").alias("reasons"), F.coalesce(F.col("name") == F.col("best"), F.lit(False)).alias("chosen"))  # one row
+
+
 def macro(scored: DataFrame, score: str, by: list[str]) -> DataFrame:
     return scored.groupBy(*by).agg(F.avg(score).alias(score), F.count(F.lit(1)).alias("rows"))
 
@@ -84,19 +125,38 @@ def change_counts(pairs: DataFrame, by: list[str], eps: float = 1e-12) -> DataFr
     return pairs.groupBy(*by).agg(F.count_if(d < -eps).alias("improved"), F.count_if(d > eps).alias("regressed"), F.count_if(F.abs(d) <= eps).alias("tied"), F.sum("delta").alias("net"))
 
 
-def bootstrap(pairs: DataFrame, key: str, draws: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval of the mean change. Instead of picking rows, each row gets a Poisson(1) weight per draw from a
-    hash of (key, draw): no row moves, and the weighted sums need one aggregation of draws rows."""
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("draw").cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight, p, total = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):
-        weight = F.when(u >= total, F.lit(k)).otherwise(weight)
-        p /= k
-        total += p
-    each = pairs.select(key, "delta", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("w", weight)
-    means = each.groupBy("draw").agg((F.sum(F.col("w") * F.col("delta")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+PRIME = 2147483647
+
+
+def poisson_weights(keys: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """How often each key is in each draw: Poisson(1) by the inverse of its distribution at a hash of both."""
+    x = (keys[:, None] % PRIME * 48271 + draws[None, :] * 69621 + 12345) % PRIME
+    y = (x * x + x) % PRIME
+    u = (y * 16807 + x) % PRIME / PRIME
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    return np.searchsorted(steps[:-1], u, side="right")
+
+
+def bootstrap(pairs: DataFrame, draws: int = 20_000, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """pairs (key bigint, a, b, chars) to the change of the micro rate, sum(b - a) / sum(chars), its percentile interval and
+    the share of draws in which b is better. Instead of picking rows, each row has a Poisson(1) weight per draw from a hash of
+    (key, draw): no row moves; each partition sums up its rows for all draws and sends one row per draw."""
+
+    def sums(batches):
+        change, size = np.zeros(draws), np.zeros(draws)
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.iloc[i : i + 256]
+                w = poisson_weights(part["key"].to_numpy(np.int64), np.arange(draws, dtype=np.int64))
+                change += (part["b"] - part["a"]).to_numpy(float) @ w
+                size += part["chars"].to_numpy(float) @ w
+        yield pd.DataFrame({"draw": np.arange(draws), "change": change, "size": size})
+
+    rows = pairs.select("key", "a", "b", "chars").where("key is not null")
+    means = rows.mapInPandas(sums, "draw bigint, change double, size double").groupBy("draw").agg((F.sum("change") / F.nullif(F.sum("size"), F.lit(0.0))).alias("mean"))
     got = means.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # draws values
-    return got.select(values.index_percentile(F.col("m"), low).alias("low"), values.index_percentile(F.col("m"), high).alias("high"), (F.size(F.filter("m", lambda x: x < 0)) / F.size("m")).alias("share_better"))
+    seen = rows.agg((F.sum(F.col("b") - F.col("a")) / F.nullif(F.sum("chars"), F.lit(0))).alias("change"))
+    return got.join(F.broadcast(seen)).select("change", values.index_percentile(F.col("m"), low).alias("low"), values.index_percentile(F.col("m"), high).alias("high"), (F.size(F.filter("m", lambda x: x < 0)) / F.size("m")).alias("share_better"))  # a row each
 
 
 def best_candidate(rows: DataFrame, eligible: Column, score: str, name: str, baseline: str) -> DataFrame:

@@ -9,7 +9,7 @@ from atrament.functions.fold import current_records
 from atrament.functions.trees import outline_rows, structure_similarity
 from atrament.functions.values import hash_bucket
 from atrament.operators import select
-from atrament.plans.registry import CURRENT, plain, plain_sql, query
+from atrament.plans.registry import BLANKS, CURRENT, normal_sql, query
 from atrament.session import table
 from atrament.sources.writers import unpack_cells
 
@@ -49,19 +49,18 @@ def distinct_lines_first_polish(spark, d):
 CLASS = "[A-Za-ząćęłńóśźżĄĆĘŁŃÓŚŹŻ]"
 
 
-@query("sentence_quality", f"""WITH {CURRENT}, t AS (SELECT {plain_sql("reference")} AS s FROM cur WHERE reference IS NOT NULL)
-SELECT count(*) AS rows, count(*) FILTER (length(s) BETWEEN 20 AND 160 AND length(regexp_replace(s, '[^A-Za-z]', '', 'g')) >= 0.55 * length(s) AND length(regexp_replace(s, '[^()]', '', 'g')) <= 2 AND length(regexp_replace(s, '[^"]', '', 'g')) <= 4) AS good FROM t""")
+@query("sentence_quality", f"""WITH {CURRENT}, t AS (SELECT reference AS s FROM cur WHERE reference IS NOT NULL)
+SELECT count(*) AS rows, count(*) FILTER (length(s) BETWEEN 20 AND 160 AND length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) >= 0.55 * length(s) AND length(regexp_replace(s, '[^()]', '', 'g')) <= 2 AND length(regexp_replace(s, '[^"]', '', 'g')) <= 4) AS good FROM t""")
 def sentence_quality(spark, d):
-    rows = current_records(table(spark, d, "printed_replay_geometry"), ["reference"]).where("reference is not null").select(plain(F.col("reference")).alias("s"))
+    rows = current_records(table(spark, d, "printed_replay_geometry"), ["reference"]).where("reference is not null").select(F.col("reference").alias("s"))
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(X.sentence_ok(F.col("s"))).alias("good"))
 
 
-@query("noise_gate", f"""WITH {CURRENT}, t AS (SELECT min_word_confidence AS c, {plain_sql("text")} AS s FROM cur WHERE text IS NOT NULL), w AS (SELECT c, s, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS w FROM t),
-n AS (SELECT c, CASE WHEN len(w) = 0 THEN 1.0 ELSE least(1.0, 3.0 * len(list_filter(w, lambda x: regexp_full_match(x, '[A-Za-z]{{3,}}') AND NOT regexp_matches(lower(x), '[aeiouy]'))) / len(w) + 5.0 * len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]'))) / len(w)
- + 5.0 * length(regexp_replace(s, '[A-Za-z0-9\\s.,;:!?()"''/%*&+=\\[\\]-]', '', 'g')) / length(s)) END AS noise FROM w)
+@query("noise_gate", f"""WITH {CURRENT}, t AS (SELECT min_word_confidence AS c, text AS s, list_filter(string_split_regex(text, '{BLANKS}'), lambda x: length(x) >= 4) AS w FROM cur WHERE text IS NOT NULL),
+n AS (SELECT c, CASE WHEN trim({normal_sql("s")}) = '' THEN 1.0 ELSE least(1.0, 3.0 * (CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: NOT regexp_matches(x, '[aeiouyąęóAEIOUYĄĘÓ]'))) / len(w) ELSE 0 END) + 5.0 * length(regexp_replace(s, '[^@#$%^&*_=~<>|\\\\{{}}\\[\\]]', '', 'g')) / length(s) + 5.0 * length(regexp_replace(s, '[\\x{{0}}-\\x{{2500}}]', '', 'g')) / length(s)) END AS noise FROM t)
 SELECT count(*) AS rows, count(*) FILTER (coalesce(1 - c / 100, noise) >= 0.15) AS gated, round(avg(noise), 6) AS noise FROM n""")
 def noise_gate(spark, d):
-    rows = current_records(table(spark, d, "printed_replay_geometry"), ["text", "min_word_confidence"]).where("text is not null").select(plain(F.col("text")).alias("s"), F.col("min_word_confidence").alias("c"))
+    rows = current_records(table(spark, d, "printed_replay_geometry"), ["text", "min_word_confidence"]).where("text is not null").select(F.col("text").alias("s"), F.col("min_word_confidence").alias("c"))
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(X.noise_gate(F.col("s"), F.col("c") / 100, 0.15)).alias("gated"), F.round(F.avg(X.noise(F.col("s"))), 6).alias("noise"))
 
 
@@ -94,10 +93,10 @@ def cells_round_trip(spark, d):
     return unpack_cells(t.select("pos", "id"), cells).select(F.col("id").alias("doc_id"), "text")
 
 
-@query("top_words", f"""SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex({plain_sql("lower(reference)")}, '[^a-z]+')) AS w FROM (SELECT DISTINCT id, reference FROM printed_replay_geometry WHERE reference IS NOT NULL)) WHERE w <> '' GROUP BY w ORDER BY n DESC, w LIMIT 20""")
+@query("top_words", """SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(reference), '[^\\p{L}]+')) AS w FROM (SELECT DISTINCT id, reference FROM printed_replay_geometry WHERE reference IS NOT NULL)) WHERE w <> '' GROUP BY w ORDER BY n DESC, w LIMIT 20""")
 def top_words(spark, d):
     rows = table(spark, d, "printed_replay_geometry").where("reference is not null").select("id", "reference").distinct()
-    w = rows.select(F.explode(F.split(plain(F.lower("reference")), "[^a-z]+")).alias("word")).where("word <> ''")
+    w = rows.select(F.explode(F.split(F.lower("reference"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(20)
 
 

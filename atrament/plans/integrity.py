@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from atrament.functions.fold import current_records, split_name
 from atrament.functions.geometry import sign_bits
-from atrament.functions.text import shingles, words
+from atrament.functions.text import normalize_v1, shingles, words
 from atrament.operators import contracts, graph, similarity
-from atrament.plans.registry import CURRENT, plain, plain_sql, query, split_sql
+from atrament.plans.registry import CURRENT, normal_sql, query, split_sql
 from atrament.session import Scratch, table
 
 
@@ -56,24 +56,24 @@ def values_beyond_train(spark, d):
     return similarity.disjoint_values(r, "collection", "split").select("collection", F.array_join("others", ",").alias("others"))
 
 
-NEAR = f"""WITH t AS (SELECT DISTINCT {plain_sql("lower(output)")} AS x FROM responses WHERE output IS NOT NULL), c AS (SELECT sha256(x) AS k, list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '') AS w FROM t),
+NEAR = f"""WITH t AS (SELECT DISTINCT lower({normal_sql("output")}) AS x FROM responses WHERE output IS NOT NULL), c AS (SELECT sha256(x) AS k, list_filter(string_split(x, ' '), lambda w: w <> '') AS w FROM t),
 s AS (SELECT k, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS t FROM c WHERE len(w) > 0),
 u AS (SELECT k, len(t) AS n, unnest(t) AS g FROM s), j AS (SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS common FROM u a JOIN u b ON a.g = b.g AND a.k < b.k GROUP BY ALL)"""
 
 
 @query("near_answers", NEAR + " SELECT a, b, common, round(common / (na + nb - common), 6) AS jaccard FROM j WHERE common / (na + nb - common) >= 0.5 - 1e-9")
 def near_answers(spark, d):
-    t = table(spark, d, "responses").where("output is not null").select(plain(F.lower("output")).alias("x")).distinct()
+    t = table(spark, d, "responses").where("output is not null").select(F.lower(normalize_v1(F.col("output"))).alias("x")).distinct()
     got = similarity.prefix_pairs(t.select(F.sha2("x", 256).alias("k"), shingles(words(F.col("x")), 3).alias("t")), "k", "t", 0.5)
     return got.withColumn("common", F.col("common").cast("bigint")).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("near_vectors", """WITH h AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE CAST(0 AS HUGEINT) END)) AS v FROM embeddings),
 b AS (SELECT vec_id, CAST(v % 4294967296 AS BIGINT) AS lo, CAST(v // 4294967296 AS BIGINT) AS hi FROM h)
-SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) <= 18""")
+SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) <= 10""")
 def near_vectors(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("bits"))
-    return similarity.hamming_pairs(v.withColumnRenamed("vec_id", "a"), v.withColumnRenamed("vec_id", "b"), "bits", 18).where("a < b")
+    return similarity.hamming_pairs(v.withColumnRenamed("vec_id", "a"), v.withColumnRenamed("vec_id", "b"), "bits", 10).where("a < b")
 
 
 @query("document_components", """WITH RECURSIVE p AS (SELECT DISTINCT id, document_id, edition_id FROM page_meta), e AS (SELECT DISTINCT 'd' || document_id AS u, 'e' || edition_id AS v FROM p WHERE document_id IS NOT NULL AND edition_id IS NOT NULL),

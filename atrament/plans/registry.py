@@ -18,19 +18,27 @@ def query(name: str, sql: str | None = None):
 
 #: Current line records, as a common table for the SQL twins.
 CURRENT = "cur AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM printed_replay_geometry) WHERE rn = 1)"
-#: Letters beyond ASCII that occur in the tables' Latin texts, and what stands for them where bytes are compared.
-FROM, TO = "ąćęłńóśźżĄĆĘŁŃÓŚŹŻáčďéěíňřšťúůýžäöüßſ„”“«»–—…·þçÁČĎÉĚÍŇŘŠŤÚŮÝŽÄÖÜ", "acelnoszzACELNOSZZacdeeinrstuuyzaousf''''''''.pcACDEEINRSTUUYZAOU"
-FROM, TO = FROM[: len(TO)], TO[: len(FROM)]
+#: A character for each place of an alphabet; the twins' distance counts bytes, so each pair gets an alphabet of its own characters, or words.
+ASCII = "(" + " || ".join(f"chr({i})" for i in range(1, 128)) + ")"
+BLANKS = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\p{Z}]+"
 
 
-def plain_sql(c: str) -> str:
-    return f"regexp_replace(translate({c}, '{FROM}', '{TO.replace(chr(39), chr(39) * 2)}'), '[^\\x00-\\x7F]', '?', 'g')"
+def normal_sql(c: str) -> str:
+    """Composed, straight quotes, single blanks."""
+    return f"""trim(regexp_replace(translate(nfc_normalize({c}), '„“”‟«»‚‘’‛‹›', '""\"\"\"\"\'\'\'\'\'\'\'\'\'\'\'\''), '{BLANKS}', ' ', 'g'))"""
 
 
-def plain(col):
-    from pyspark.sql import functions as F
+def distance_sql(a: str, b: str) -> str:
+    """Edit distance in code points."""
+    alphabet = f"array_to_string(list_distinct(string_split({a} || {b}, '')), '')"
+    return f"levenshtein(translate({a}, {alphabet}, {ASCII}), translate({b}, {alphabet}, {ASCII}))"
 
-    return F.regexp_replace(F.translate(col, FROM, TO), r"[^\x00-\x7f]", "?")
+
+def word_distance_sql(a: str, b: str) -> str:
+    """Edit distance in words."""
+    words = lambda c: f"list_filter(string_split({c}, ' '), lambda w: w <> '')"
+    one = lambda c: f"coalesce(array_to_string(list_transform({words(c)}, lambda w: chr(list_position(list_distinct(list_concat({words(a)}, {words(b)})), w))), ''), '')"
+    return f"levenshtein({one(a)}, {one(b)})"
 
 
 def split_sql(c: str) -> str:

@@ -2,44 +2,73 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from atrament.functions import values
-from atrament.functions.fold import current_records
+from atrament.functions.fold import current_records, split_name
+from atrament.functions.text import normalize_v1
 from atrament.operators import scoring
-from atrament.plans.registry import CURRENT, plain, plain_sql, query
+from atrament.plans.registry import CURRENT, distance_sql, normal_sql, query, split_sql, word_distance_sql
 from atrament.session import table
 
-ANSWERS = f"""WITH r AS (SELECT DISTINCT response_id, category, requested_model, status, finish_reason, elapsed_seconds, id AS case_id, {plain_sql("reference")} AS reference, {plain_sql("output")} AS output FROM responses),
-p AS (SELECT *, coalesce(status = 'ok', false) AS ok, CASE WHEN status = 'ok' THEN coalesce(output, '') ELSE '' END AS hypothesis FROM r WHERE reference IS NOT NULL AND category <> 'extract')"""
+ANSWERS = f"""WITH r AS (SELECT DISTINCT response_id, category, requested_model, status, finish_reason, elapsed_seconds, id AS case_id, {normal_sql("reference")} AS reference, {normal_sql("output")} AS output FROM responses),
+p0 AS (SELECT *, coalesce(status = 'ok', false) AS ok, CASE WHEN status = 'ok' THEN coalesce(output, '') ELSE '' END AS hypothesis FROM r WHERE reference IS NOT NULL AND category <> 'extract'),
+p AS MATERIALIZED (SELECT *, CAST({distance_sql("reference", "hypothesis")} AS BIGINT) AS e, length(reference) AS n, CAST({word_distance_sql("reference", "hypothesis")} AS BIGINT) AS we, len(list_filter(string_split(reference, ' '), lambda w: w <> '')) AS wn FROM p0)"""
+RATES = "count(*) AS rows, count(*) FILTER (NOT ok) AS failed, CAST(sum(e) AS BIGINT) AS char_edits, CAST(sum(n) AS BIGINT) AS chars, round(sum(e) / nullif(sum(n), 0), 6) AS cer"
+WORD_RATES = "CAST(sum(we) AS BIGINT) AS word_edits, CAST(sum(wn) AS BIGINT) AS words, round(sum(we) / nullif(sum(wn), 0), 6) AS wer"
+LINES = f"""WITH {CURRENT}, p0 AS (SELECT floor(min_word_confidence / 10) AS decile, {split_sql("split")} AS split, {normal_sql("reference")} AS a, coalesce({normal_sql("text")}, '') AS b, text IS NOT NULL AS ok FROM cur WHERE reference IS NOT NULL),
+p AS MATERIALIZED (SELECT *, {distance_sql("a", "b")} AS e, length(a) AS n, CAST({word_distance_sql("a", "b")} AS BIGINT) AS we, len(list_filter(string_split(a, ' '), lambda w: w <> '')) AS wn FROM p0)"""
 
 
 def answers(spark, d):
-    r = table(spark, d, "responses").select("response_id", "category", "requested_model", "status", "finish_reason", "elapsed_seconds", F.col("id").alias("case_id"), plain(F.col("reference")).alias("reference"), plain(F.col("output")).alias("output")).distinct()
+    r = table(spark, d, "responses").select("response_id", "category", "requested_model", "status", "finish_reason", "elapsed_seconds", F.col("id").alias("case_id"), "reference", "output").distinct()
     ref = r.where("reference is not null and category <> 'extract'").select("response_id", "case_id", "category", "requested_model", "reference", "elapsed_seconds")
     return scoring.scored_join(ref, r.select("response_id", "status", "output"), "response_id", "reference", "output")
 
 
-@query("answer_cer_by_category", ANSWERS + """
-SELECT category, requested_model, count(*) AS rows, count(*) FILTER (NOT ok) AS failed, CAST(sum(levenshtein(reference, hypothesis)) AS BIGINT) AS char_edits, CAST(sum(length(reference)) AS BIGINT) AS chars,
- round(sum(levenshtein(reference, hypothesis)) / nullif(sum(length(reference)), 0), 6) AS cer FROM p GROUP BY GROUPING SETS ((), (category), (requested_model))""")
+@query("answer_cer_by_category", ANSWERS + f" SELECT category, requested_model, {RATES}, {WORD_RATES} FROM p GROUP BY GROUPING SETS ((), (category), (requested_model))")
 def answer_cer_by_category(spark, d):
-    return scoring.error_rates(scoring.with_edits(answers(spark, d), word_level=False), [[], ["category"], ["requested_model"]]).withColumn("cer", F.round("cer", 6))
+    return scoring.error_rates(scoring.with_edits(answers(spark, d)), [[], ["category"], ["requested_model"]]).withColumns({c: F.round(c, 6) for c in ("cer", "wer")})
+
+
+def lines(spark, d):
+    rows = current_records(table(spark, d, "printed_replay_geometry"), ["text", "reference", "min_word_confidence", "split"]).where("reference is not null")
+    return rows.select("id", F.floor(F.col("min_word_confidence") / 10).alias("decile"), split_name(F.col("split")).alias("split"), normalize_v1(F.col("reference")).alias("reference"), F.coalesce(normalize_v1(F.col("text")), F.lit("")).alias("hypothesis"), F.col("text").isNotNull().alias("ok"))
 
 
-@query("line_cer_by_confidence", f"""WITH {CURRENT}, p AS (SELECT floor(min_word_confidence / 10) AS decile, {plain_sql("reference")} AS a, coalesce({plain_sql("text")}, '') AS b, text IS NOT NULL AS ok FROM cur WHERE reference IS NOT NULL)
-SELECT CAST(decile AS BIGINT) AS decile, count(*) AS rows, count(*) FILTER (NOT ok) AS failed, CAST(sum(levenshtein(a, b)) AS BIGINT) AS char_edits, CAST(sum(length(a)) AS BIGINT) AS chars, round(sum(levenshtein(a, b)) / nullif(sum(length(a)), 0), 6) AS cer FROM p GROUP BY GROUPING SETS ((), (decile))""")
+@query("line_cer_by_confidence", LINES + f" SELECT CAST(decile AS BIGINT) AS decile, {RATES} FROM p GROUP BY GROUPING SETS ((), (decile))")
 def line_cer_by_confidence(spark, d):
-    rows = current_records(table(spark, d, "printed_replay_geometry"), ["text", "reference", "min_word_confidence"]).where("reference is not null")
-    p = rows.select(F.floor(F.col("min_word_confidence") / 10).alias("decile"), plain(F.col("reference")).alias("reference"), F.coalesce(plain(F.col("text")), F.lit("")).alias("hypothesis"), F.col("text").isNotNull().alias("ok"))
-    return scoring.error_rates(scoring.with_edits(p, word_level=False), [[], ["decile"]]).withColumn("cer", F.round("cer", 6))
+    return scoring.error_rates(scoring.with_edits(lines(spark, d), word_level=False), [[], ["decile"]]).withColumn("cer", F.round("cer", 6))
 
 
-@query("line_wer_micro")
+@query("line_wer_micro", LINES + f" SELECT {RATES.replace('count(*) FILTER (NOT ok) AS failed, ', '')}, {WORD_RATES} FROM p")
 def line_wer_micro(spark, d):
-    rows = current_records(table(spark, d, "printed_replay_geometry"), ["text", "reference"]).where("reference is not null")
-    p = rows.select("reference", F.coalesce("text", F.lit("")).alias("hypothesis"), F.col("text").isNotNull().alias("ok"))
-    return scoring.error_rates(scoring.with_edits(p), [[]]).select("rows", "char_edits", "chars", "cer", "word_edits", "words", "wer")
+    got = scoring.error_rates(scoring.with_edits(lines(spark, d)), [[]]).select("rows", "char_edits", "chars", "cer", "word_edits", "words", "wer")
+    return got.withColumns({c: F.round(c, 6) for c in ("cer", "wer")})
+
+
+@query("domain_summary", LINES + f""", d AS (SELECT coalesce(split, 'none') AS domain, * FROM p UNION ALL SELECT 'combined', * FROM p)
+SELECT domain, count(*) AS lines, round(sum(e) / nullif(sum(n), 0), 6) AS cer, round(sum(we) / nullif(sum(wn), 0), 6) AS wer, CAST(sum(length(b) - length(replace(b, chr(65533), ''))) AS BIGINT) AS replacement_characters FROM d GROUP BY domain""")
+def domain_summary(spark, d):
+    p = lines(spark, d).withColumn("domain", F.coalesce("split", F.lit("none")))
+    got = scoring.domain_summary(scoring.with_edits(p), "domain")
+    return got.withColumns({c: F.round(c, 6) for c in ("cer", "wer")})
+
+
+@query("scored_subsets", LINES + f""", s AS (SELECT 'all' AS subset, * FROM p UNION ALL SELECT 'no_private', * FROM p WHERE NOT regexp_matches(a, '\\p{{Co}}') UNION ALL SELECT 'read', * FROM p WHERE ok UNION ALL SELECT 'changed', * FROM p WHERE a <> b)
+SELECT subset, {RATES} FROM s GROUP BY subset""")
+def scored_subsets(spark, d):
+    p = scoring.with_edits(lines(spark, d), word_level=False)
+    got = scoring.subset_rates(p, {"all": F.lit(True), "no_private": ~F.col("reference").rlike(r"\p{Co}"), "read": F.col("ok"), "changed": F.expr("reference <> hypothesis")})
+    return got.withColumn("cer", F.round("cer", 6))
+
+
+@query("lower_case_effect", LINES + f""" SELECT CAST(sum(e) AS BIGINT) AS char_edits, CAST(sum({distance_sql("lower(a)", "lower(b)")}) AS BIGINT) AS lower_edits, CAST(sum(n) AS BIGINT) AS chars FROM p""")
+def lower_case_effect(spark, d):
+    p = scoring.with_edits(lines(spark, d), word_level=False)
+    return p.agg(F.sum("char_edits").alias("char_edits"), F.sum(F.levenshtein(F.lower("reference"), F.lower("hypothesis"))).alias("lower_edits"), F.sum("chars").alias("chars"))
 
 
 @query("status_histogram", "SELECT status, finish_reason, count(*) AS n FROM (SELECT DISTINCT * FROM responses) GROUP BY ALL")
@@ -66,7 +95,7 @@ def fields(spark, d):
 
 @query("field_f1_grouping_sets", """WITH r AS (SELECT DISTINCT response_id, source, reference, CASE WHEN status = 'ok' AND json_valid(output) THEN output END AS output FROM responses WHERE category = 'extract' AND reference IS NOT NULL),
 f AS (SELECT source, u.field, u.kind, json_extract_string(reference, '$.' || u.field) AS a, json_extract_string(output, '$.' || u.field) AS b FROM r, (VALUES ('invoice_number', 'text'), ('seller_name', 'text'), ('seller_nip', 'nip'), ('issue_date', 'date'), ('total', 'money')) AS u(field, kind)),
-n AS (SELECT source, field, kind, CASE kind WHEN 'money' THEN regexp_replace(regexp_replace(a, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') ELSE a END AS a, CASE kind WHEN 'money' THEN regexp_replace(regexp_replace(b, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') ELSE b END AS b FROM f),
+n AS (SELECT source, field, kind, CASE kind WHEN 'money' THEN regexp_replace(regexp_replace(a, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') ELSE """ + f"lower({normal_sql('a')})" + """ END AS a, CASE kind WHEN 'money' THEN regexp_replace(regexp_replace(b, '(\\.\\d*?)0+$', '\\1'), '\\.$', '') ELSE """ + f"lower({normal_sql('b')})" + """ END AS b FROM f),
 v AS (SELECT kind, source, field, CASE WHEN a IS NULL AND b IS NULL THEN 'absent' WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'spurious' WHEN a = b THEN 'match' ELSE 'mismatch' END AS verdict FROM n),
 g AS (SELECT field, kind, source, count(*) FILTER (verdict = 'match') AS tp, count(*) FILTER (verdict IN ('mismatch', 'spurious')) AS fp, count(*) FILTER (verdict IN ('mismatch', 'missing')) AS fn FROM v WHERE verdict <> 'absent' GROUP BY GROUPING SETS ((), (kind), (source, field)))
 SELECT field, kind, source, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM g""")
@@ -83,7 +112,7 @@ def money_and_dates(spark, d):
     return x.select("response_id", values.money_value(F.concat("m", F.lit(" zł"))).alias("amount"), values.date_value(F.col("dt")).alias("day"))
 
 
-@query("paired_models", ANSWERS + """, s AS (SELECT case_id, category, requested_model, round(avg(levenshtein(reference, hypothesis) / greatest(length(reference), 1)), 9) AS cer FROM p WHERE requested_model IN ('korektor-mały', 'korektor-duży') GROUP BY ALL),
+@query("paired_models", ANSWERS + """, s AS (SELECT case_id, category, requested_model, round(avg(e / greatest(n, 1)), 9) AS cer FROM p WHERE requested_model IN ('korektor-mały', 'korektor-duży') GROUP BY ALL),
 j AS (SELECT a.category, b.cer - a.cer AS delta FROM s a JOIN s b ON a.case_id = b.case_id AND a.category = b.category AND a.requested_model = 'korektor-mały' AND b.requested_model = 'korektor-duży')
 SELECT category, count(*) FILTER (delta < -1e-12) AS improved, count(*) FILTER (delta > 1e-12) AS regressed, count(*) FILTER (abs(delta) <= 1e-12) AS tied, round(sum(delta), 6) AS net FROM j GROUP BY category""")
 def paired_models(spark, d):
@@ -92,7 +121,7 @@ def paired_models(spark, d):
     return scoring.change_counts(a.join(b, ["case_id", "category"]).withColumn("delta", F.col("b") - F.col("a")), ["category"]).withColumn("net", F.round("net", 6))
 
 
-@query("composite_score", ANSWERS + """, c AS (SELECT 1 - sum(levenshtein(reference, hypothesis)) / sum(length(reference)) AS a FROM p),
+@query("composite_score", ANSWERS + """, c AS (SELECT 1 - sum(e) / sum(n) AS a FROM p),
 f AS (SELECT avg(CASE WHEN status = 'ok' AND json_valid(output) AND json_extract_string(output, '$.invoice_number') = json_extract_string(reference, '$.invoice_number') THEN 1.0 ELSE 0.0 END) AS b FROM (SELECT DISTINCT response_id, status, output, reference FROM responses WHERE category = 'extract' AND reference IS NOT NULL))
 SELECT round((a + b) / 2, 6) AS composite FROM c, f""")
 def composite_score(spark, d):
@@ -101,13 +130,25 @@ def composite_score(spark, d):
     return c.join(f, "k").select(F.round((F.col("a") + F.col("b")) / 2, 6).alias("composite"))  # one row each
 
 
-@query("bootstrap_interval")
+#: The same hash and weights as in the operator.
+_DRAWS, _P = 500, scoring.PRIME
+_POISSON = " + ".join(f"CAST(u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} AS INT)" for k in range(8))
+
+
+@query("bootstrap_interval", ANSWERS + f""", s AS (SELECT case_id, category, requested_model AS m, min(response_id) AS key, sum(e) AS e, max(n) AS n, count(*) AS c FROM p WHERE requested_model IN ('korektor-mały', 'korektor-duży') GROUP BY ALL),
+j AS (SELECT least(x.key, y.key) AS key, x.e AS a, y.e AS b, x.n FROM s x JOIN s y ON x.case_id = y.case_id AND x.category = y.category AND x.m = 'korektor-mały' AND y.m = 'korektor-duży' WHERE x.c = 1 AND y.c = 1),
+h AS (SELECT draw, a, b, n, (key % {_P} * 48271 + draw * 69621 + 12345) % {_P} AS x FROM j, range({_DRAWS}) t(draw)), h2 AS (SELECT draw, a, b, n, x, (x * x + x) % {_P} AS y FROM h), h3 AS (SELECT draw, a, b, n, ((y * 16807 + x) % {_P}) / {_P} AS u FROM h2),
+w AS (SELECT draw, a, b, n, {_POISSON} AS w FROM h3), g AS (SELECT sum(w * (b - a)) / nullif(sum(w * n), 0) AS v FROM w GROUP BY draw), o AS (SELECT list(v ORDER BY v) AS l FROM g WHERE v IS NOT NULL)
+SELECT round((SELECT sum(b - a) / sum(n) FROM j), 9) AS change, round(l[least(len(l) - 1, CAST(floor(0.025 * len(l)) AS INT)) + 1], 9) AS low, round(l[least(len(l) - 1, CAST(floor(0.975 * len(l)) AS INT)) + 1], 9) AS high, len(list_filter(l, lambda v: v < 0)) / len(l) AS share_better FROM o""")
 def bootstrap_interval(spark, d):
-    s = scoring.with_edits(answers(spark, d), word_level=False).withColumn("delta", F.col("char_edits") / F.greatest("chars", F.lit(1)) - 0.1)
-    return scoring.bootstrap(s, "response_id", 200)
+    s = scoring.with_edits(answers(spark, d), word_level=False).groupBy("case_id", "category", "requested_model").agg(F.min("response_id").alias("key"), F.sum("char_edits").alias("e"), F.max("chars").alias("n"), F.count(F.lit(1)).alias("c"))
+    one = lambda m, x: s.where((F.col("requested_model") == m) & (F.col("c") == 1)).select("case_id", "category", F.col("key").alias(f"key_{x}"), F.col("e").alias(x), F.col("n").alias(f"n_{x}"))
+    j = one("korektor-mały", "a").join(one("korektor-duży", "b"), ["case_id", "category"]).select(F.least("key_a", "key_b").alias("key"), "a", "b", F.col("n_a").alias("chars"))
+    got = scoring.bootstrap(j, _DRAWS)
+    return got.withColumns({c: F.round(c, 9) for c in ("change", "low", "high")})
 
 
-@query("candidate_gate", ANSWERS + """, s AS (SELECT requested_model AS name, sum(levenshtein(reference, hypothesis)) / nullif(sum(length(reference)), 0) AS cer, avg(CASE WHEN ok THEN 0.0 ELSE 1.0 END) AS failed FROM p WHERE requested_model IS NOT NULL GROUP BY 1)
+@query("candidate_gate", ANSWERS + """, s AS (SELECT requested_model AS name, sum(e) / nullif(sum(n), 0) AS cer, avg(CASE WHEN ok THEN 0.0 ELSE 1.0 END) AS failed FROM p WHERE requested_model IS NOT NULL GROUP BY 1)
 SELECT coalesce((SELECT name FROM s WHERE failed <= 0.2 ORDER BY round(cer, 9), name LIMIT 1), 'baseline') AS chosen""")
 def candidate_gate(spark, d):
     s = scoring.with_edits(answers(spark, d), word_level=False).where("requested_model is not null").groupBy(F.col("requested_model").alias("name"))
@@ -115,10 +156,10 @@ def candidate_gate(spark, d):
     return scoring.best_candidate(s, F.col("failed") <= 0.2, "cer", "name", "baseline")
 
 
-@query("correction_effect", ANSWERS + """, i AS (SELECT DISTINCT response_id, """ + plain_sql("input") + """ AS input FROM responses)
-SELECT category, count(*) AS rows, count(*) FILTER (hypothesis = reference) AS exact, count(*) FILTER (category = 'preserve_clean' AND hypothesis <> reference) AS clean_changed, CAST(sum(levenshtein(reference, hypothesis)) - sum(levenshtein(reference, input)) AS BIGINT) AS net_edits FROM p JOIN i USING (response_id) WHERE ok AND category IN ('preserve_clean', 'repair_synthetic') GROUP BY category""")
+@query("correction_effect", ANSWERS + """, i AS (SELECT DISTINCT response_id, """ + normal_sql("input") + """ AS input FROM responses)
+SELECT category, count(*) AS rows, count(*) FILTER (hypothesis = reference) AS exact, count(*) FILTER (category = 'preserve_clean' AND hypothesis <> reference) AS clean_changed, CAST(sum(e) - sum(""" + distance_sql("reference", "input") + """) AS BIGINT) AS net_edits FROM p JOIN i USING (response_id) WHERE ok AND category IN ('preserve_clean', 'repair_synthetic') GROUP BY category""")
 def correction_effect(spark, d):
-    i = table(spark, d, "responses").select("response_id", plain(F.col("input")).alias("input")).distinct()
+    i = table(spark, d, "responses").select("response_id", normalize_v1(F.col("input")).alias("input")).distinct()
     s = scoring.with_edits(answers(spark, d), word_level=False).where("ok and category in ('preserve_clean', 'repair_synthetic')").join(i, "response_id")
     return s.groupBy("category").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.expr("hypothesis = reference")).alias("exact"), F.count_if(F.expr("category = 'preserve_clean' and hypothesis <> reference")).alias("clean_changed"), (F.sum("char_edits") - F.sum(F.levenshtein("reference", "input"))).cast("bigint").alias("net_edits"))
 

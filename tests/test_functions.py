@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +19,22 @@ def one(spark, *cols, row=None):
 
 
 def test_dates(spark):
-    given = ["13.10.2026", "13/10/2026", "13 października 2026 r.", "2026-10-13", "31.02.2026", "13/10/26", None]
-    assert one(spark, *[values.date_value(F.lit(x)) for x in given]) == ("2026-10-13",) * 4 + ("31.02.2026", "13/10/26", None)
+    given = ["13.10.2026", "13/10/2026", "13 października 2026 r.", "2026-10-13", "2026.10.13", "13 pazdziernika 2026", "13 Październik 2026", "31.02.2026", "13/10/26", None]
+    assert one(spark, *[values.date_value(F.lit(x)) for x in given]) == ("2026-10-13",) * 7 + ("31.02.2026", "13/10/26", None)
+
+
+def test_field_values(spark):
+    v = lambda kind, x: values.field_value(F.lit(x), F.lit(kind))
+    got = one(spark, v("text", "„Ala”  MA\t kota"), v("name", 'ZAKŁAD "GÓRNIK" Sp. z o.o.'), v("address", "ul. Marszałkowska 1A, 00-001 Warszawa"), v("nip", "123-456-78 90"), v("nip", "123"), v("money", "100 EUR"), v("text", ""))
+    assert got == ('"ala" ma kota', 'zakład "górnik" sp. z o.o.', "ul marszałkowska 1a 00-001 warszawa", "1234567890", "123", "100 eur", "")
+
+
+def test_noise_and_repetition(spark):
+    got = one(spark, text.noise(F.lit("ul. A7 nr B12 pokój C3")), text.noise(F.lit(" \u2003")), text.noise(F.lit("xkcd brzdęk")), text.noise(F.lit("@@@@ abcdefghijkl")))
+    assert got[:2] == (0.0, 1.0) and got[2] == 1.0 and got[3] == 1.0
+    flags = lambda t: one(spark, *text.repetition(F.lit(t)).values())
+    assert flags(" " * 70) == (False, False, False) and flags("a" * 64) == (True, False, False) and flags("la, " * 32) == (False, True, False) and flags(" x\n\nx\r\nx \nx") == (False, False, True)
+    assert one(spark, text.sentence_ok(F.lit("„Ala” „ma” „kota” i psa w domu.")), text.map_glyphs(F.lit("ab"), {"a": "b", "b": "cc"}), text.payload_json(F.lit('x {"a": {"b": {"c": {"d": [{"e": "}"}]}}}} y'))) == (True, "bcc", '{"a": {"b": {"c": {"d": [{"e": "}"}]}}}}')
 
 
 def test_money(spark):
@@ -90,8 +106,53 @@ def test_tree_distance_equals_mapping_search():
 
 def test_alignment_and_outline():
     assert [o for o, *_ in trees.edit_ops("kot", "kat")] == ["match", "replace", "match"] and trees.edit_distance("żółw", "zolw") == 3
-    assert [trees.error_class(*x) for x in (("a", "A"), ("ł", "l"), ("s", "ſ"), (",", "."), ("a", "b"))] == ["case", "diacritic", "long_s", "punctuation", "other"]
-    assert trees.outline("# A\nx\ny\n\n- b\n1. c") == [("h1", "A"), ("p", "x y"), ("li", "b"), ("li", "c")] and trees.outline_similarity("", "") == 1
+    assert [trees.error_class(*x) for x in (("a", "A"), ("ł", "l"), ("s", "ſ"), (",", "."), ("a", "b"))] == ["case_only", "other", "long_s_or_s", "punctuation", "other"]
+    assert [trees.error_class(*x) for x in (("ó", "o"), ("s", "f"), (".", "a"), (" ", ""), ("\ue000", "a"), ("a", "\ue000"))] == ["diacritic", "long_s_or_s", "punctuation", "whitespace", "private_use_reference", "other"]
+    assert trees.outline("# A ##\n#\nx\n`y`\n\n- „b”\n1. c") == [("h1", "A ##"), ("p", "#"), ("p", "x"), ("p", "y"), ("li", '"b"'), ("li", "c")] and trees.outline_similarity("", "") == 1
+
+
+def test_tables_in_cells():
+    inner = "<table><tr><td>{}</td></tr></table>"
+    outer = lambda text, cell: f"<table><tr><td>{text}{inner.format(cell)}</td><td></td></tr></table>"
+    assert trees.table_similarity(outer("x", "a"), outer("y", "a")) == 1 and trees.table_similarity(outer("x", "a"), outer("x", "b")) < 1
+    assert trees.table_rows.plain(pd.Series([outer("x", "a"), "<table><tr><td> </td></tr></table>", None])).tolist() == [["x a"], [], []]
+
+
+def test_contained_pairs_equal_all_pairs(spark):
+    rng = random.Random(5)
+    sets = [sorted({rng.randrange(25) for _ in range(rng.randrange(1, 12))}) for _ in range(90)]
+    df = spark.createDataFrame([(i, [str(x) for x in s]) for i, s in enumerate(sets)], "a int, t array<string>")
+    got = {(r.a, r.b) for r in similarity.contained_pairs(df, df.withColumnRenamed("a", "b"), "t", 0.7).collect()}
+    assert got == {(i, j) for i in range(90) for j in range(90) if i != j and len(set(sets[i]) & set(sets[j])) >= 0.7 * min(len(sets[i]), len(sets[j])) - 1e-9}
+
+
+def test_hamming_candidates_are_few(spark):
+    """Of unrelated hashes few share a chunk with at most one bit turned."""
+    rng = random.Random(1)
+    n, chunk = 2000, 16
+    bits = [rng.getrandbits(64) for _ in range(n)]
+    met = 0
+    for i in range(4):
+        seen = {}
+        for b in bits:
+            seen[b >> (chunk * i) & 0xFFFF] = seen.get(b >> (chunk * i) & 0xFFFF, 0) + 1
+        met += sum(seen.get((b >> (chunk * i) & 0xFFFF) ^ m, 0) for b in bits for m in (0, *(1 << k for k in range(chunk))))
+    assert met <= 0.05 * n * n
+
+
+def test_bootstrap_weights_and_interval(spark):
+    w = scoring.poisson_weights(np.arange(4000), np.arange(50))
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    df = spark.createDataFrame([(i, 5, 5 - (i % 3 > 0), 100) for i in range(300)], "key bigint, a bigint, b bigint, chars bigint")
+    r = scoring.bootstrap(df, 500).first()
+    assert abs(r.change + 2 / 300) < 1e-9 and r.low < r.change < r.high < 0 and r.share_better == 1
+
+
+def test_protected_selection(spark):
+    rows = [("base", d, 0.10, 0.2, 5, 1) for d in ("old", "new", "combined")] + [("x", "old", 0.08, 0.2, 5, 1), ("x", "new", 0.10, 0.2, 5, 1), ("x", "combined", 0.09, 0.2, 5, 1)] + [("y", "old", 0.01, 0.2, 5, 2), ("y", "new", 0.11, 0.2, 5, 1), ("y", "combined", 0.05, 0.2, 5, 1)]
+    df = spark.createDataFrame(rows, "name string, domain string, cer double, wer double, lines int, replacement_characters int")
+    got = {r.name: (r.reasons, r.chosen) for r in scoring.protected_selection(df, "base", "old", "new").collect()}
+    assert got == {"x": ("", True), "y": ("new:cer_regression,old:replacement_characters", False)}
 
 
 def test_geometry(spark):
