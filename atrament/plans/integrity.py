@@ -70,10 +70,12 @@ def near_answers(spark, d):
 
 @query("near_vectors", """WITH h AS (SELECT vec_id, list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE CAST(0 AS HUGEINT) END)) AS v FROM embeddings),
 b AS (SELECT vec_id, CAST(v % 4294967296 AS BIGINT) AS lo, CAST(v // 4294967296 AS BIGINT) AS hi FROM h)
-SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.lo, y.lo)) + bit_count(xor(x.hi, y.hi)) <= 10""")
+SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.lo, xor(y.lo, (1 << (y.vec_id % 12)) - 1))) + bit_count(xor(x.hi, y.hi)) AS INTEGER) AS distance FROM b x JOIN b y ON bit_count(xor(x.lo, xor(y.lo, (1 << (y.vec_id % 12)) - 1))) + bit_count(xor(x.hi, y.hi)) <= 6""")
 def near_vectors(spark, d):
+    """Vectors and their second scans, of which up to eleven bits differ, within the radius of image hashes."""
     v = table(spark, d, "embeddings").select("vec_id", sign_bits(F.col("embedding")).alias("bits"))
-    return similarity.hamming_pairs(v.withColumnRenamed("vec_id", "a"), v.withColumnRenamed("vec_id", "b"), "bits", 10).where("a < b")
+    again = v.select(F.col("vec_id").alias("b"), F.col("bits").bitwiseXOR(F.expr("shiftleft(1L, cast(vec_id % 12 as int)) - 1")).alias("bits"))
+    return similarity.hamming_pairs(v.withColumnRenamed("vec_id", "a"), again, "bits", 6)
 
 
 @query("document_components", """WITH RECURSIVE p AS (SELECT DISTINCT id, document_id, edition_id FROM page_meta), e AS (SELECT DISTINCT 'd' || document_id AS u, 'e' || edition_id AS v FROM p WHERE document_id IS NOT NULL AND edition_id IS NOT NULL),

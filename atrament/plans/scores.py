@@ -127,7 +127,7 @@ SELECT round((a + b) / 2, 6) AS composite FROM c, f""")
 def composite_score(spark, d):
     c = scoring.with_edits(answers(spark, d), word_level=False).agg((1 - F.sum("char_edits") / F.sum("chars")).alias("a")).withColumn("k", F.lit(1))
     f = fields(spark, d).where("field = 'invoice_number'").agg(F.avg((F.col("verdict") == "match").cast("double")).alias("b")).withColumn("k", F.lit(1))
-    return c.join(f, "k").select(F.round((F.col("a") + F.col("b")) / 2, 6).alias("composite"))  # one row each
+    return c.join(F.broadcast(f), "k").select(F.round((F.col("a") + F.col("b")) / 2, 6).alias("composite"))  # one row each
 
 
 #: The same hash and weights as in the operator.

@@ -65,3 +65,21 @@ def event_windows(events: DataFrame, time: str, by: str, length: str, late: str
 def sessions(events: DataFrame, time: str, by: str, gap: str) -> DataFrame:
     """Events of one key without a pause of ``gap`` or more."""
     return events.groupBy(by, F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(by, F.col("w.start").alias("start"), "n")
+
+
+def with_retries(call, attempts: int = 5, first: float = 1.0, transient: tuple[type[BaseException], ...] = (TimeoutError, ConnectionError), sleep=None):
+    """``call`` tried again after a transient error, up to ``attempts`` times, waiting twice as long each time; another error, or the last, is raised."""
+    import time
+
+    wait = sleep or time.sleep
+
+    def run(*args, **kwargs):
+        for i in range(attempts):
+            try:
+                return call(*args, **kwargs)
+            except transient:
+                if i == attempts - 1:
+                    raise
+                wait(first * 2**i)
+
+    return run

@@ -114,3 +114,19 @@ def test_events_fold_to_a_state(spark, tmp_path):
     q.awaitTermination()
     r = spark.table("folded").first()
     assert (r.text, r.events, r.breaks) == ("d", 3, 1)
+
+
+def test_retries_wait_twice_as_long():
+    from atrament.streaming.workers import with_retries
+
+    seen, waits = [], []
+
+    def call(x):
+        seen.append(x)
+        if len(seen) < 3:
+            raise TimeoutError
+        return x
+
+    assert with_retries(call, sleep=waits.append)(7) == 7 and waits == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        with_retries(lambda: int("x"), sleep=waits.append)()
