@@ -369,8 +369,9 @@ def judged(responses: DataFrame, documents: DataFrame, scratch: Scratch) -> Data
     beginnings = rows.where("size(keys) > 0").groupBy("prompt").agg(F.first(F.arrays_zip("keys", "at")).alias("c")).select("prompt", F.explode("c").alias("c")).select("prompt", F.col("c.keys").alias("key"), F.col("c.at").alias("at"))
     beginnings = scratch.keep(beginnings)
     often, n = scratch.count(beginnings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= INPUTS).select("key"))
-    known, m = scratch.count(lookup(beginnings, often, "key", "inner", rows=n).groupBy("prompt").agg(F.array_sort(F.collect_list("at")).alias("known")))
-    marked = lookup(lookup(rows.drop("keys"), known, "prompt", rows=m), templates(rows, scratch), "opening")
+    known = lookup(beginnings, often, "key", "inner", rows=n).groupBy("prompt").agg(F.array_sort(F.collect_list("at")).alias("known"))
+    # both sides grow with the data, so they are merged; a frequent prompt is split by the adaptive skew join
+    marked = lookup(rows.drop("keys").join(known.hint("merge"), "prompt", "left"), templates(rows, scratch), "opening")
     judge = scratch.spark.sparkContext.broadcast(Judge(identify.fit(documents)))
 
     def run(batches):
