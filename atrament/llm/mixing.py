@@ -79,7 +79,7 @@ def pool(spark: SparkSession, sf_dir: str, scratch: Scratch, tokenizer: str) ->
 
 
 def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], scratch: Scratch, size: float | None = None) -> DataFrame:
-    """docs (doc_id, source, language, topic, text, n_tokens) and source -> (share, max_repeats) to the texts used: doc_id, source, n_tokens, uses."""
+    """docs (doc_id, source, language, topic, text, n_tokens) and source -> (share, max_repeats) to the texts used: doc_id, source, language, topic, n_tokens, uses."""
     spark = scratch.spark
     one = docs.where(F.col("source").isin(*targets)).groupBy("text").agg(F.min(F.struct("doc_id", "source", "language", "topic", "n_tokens")).alias("d")).select("d.*")
     one = scratch.keep(one)
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, targets: dict[str, tuple[float, int]], scratch: Scratch
     order = [F.col("source"), F.col("n_tokens"), F.xxhash64("doc_id", F.lit(11)), F.col("doc_id")]
     rows = running_total(rows, order, "f", "before", scratch)
     uses = F.expr(f"((before + f + {UNIT // 2}) div {UNIT}) - ((before + {UNIT // 2}) div {UNIT})")
-    return rows.withColumn("uses", uses.cast("int")).where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
+    return rows.withColumn("uses", uses.cast("int")).where("uses > 0").select("doc_id", "source", "language", "topic", "n_tokens", "uses")
 
 
 def mixes(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, tuple[float, int]]]:
@@ -109,11 +109,11 @@ def selected(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER, size:
     for name, targets in mixes(spark, sf_dir).items():
         got = mix(docs, targets, scratch, size).select(F.lit(name).alias("mix_id"), "*")
         out = got if out is None else out.union(got)
-    return out if out is not None else spark.createDataFrame([], "mix_id string, doc_id bigint, source string, n_tokens bigint, uses int")
+    return out if out is not None else spark.createDataFrame([], "mix_id string, doc_id bigint, source string, language string, topic string, n_tokens bigint, uses int")
 
 
 def p7_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selected(spark, sf_dir)
+    return selected(spark, sf_dir).drop("language", "topic")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,4 +127,30 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("mix_id", "source", "target_share", "max_repeats", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "tokens", share.alias("actual_share"))
 
 
-QUERIES = {"p7_selected": p7_selected, "p7_shares": p7_shares}
+def p7_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix and class of each margin (source, language, topic): the target share, the tokens used and the share reached.
+    Languages and topics aim at their shares of the pool; caps, and the source margin, which comes last, keep them from it."""
+    from pyspark.sql import Window
+
+    axes = ("source", "language", "topic")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("class")) for a in axes]))
+    used = selected(spark, sf_dir).select("mix_id", each.alias("m"), (F.col("n_tokens") * F.col("uses")).alias("t")).groupBy("mix_id", "m.axis", "m.class").agg(F.sum("t").alias("tokens"))
+    goal = table(spark, sf_dir, "mix_targets").where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max("target_share").alias("s"))
+    docs = pool(spark, sf_dir, Scratch(spark, "mixing"), TOKENIZER).groupBy("text").agg(F.min(F.struct("doc_id", *axes, "n_tokens")).alias("d")).select("d.*")
+    cells = docs.groupBy(*axes).agg(F.sum("n_tokens").alias("t")).join(goal.select("mix_id", "source"), "source")
+    have = cells.select("mix_id", each.alias("m"), "t").where("m.axis <> 'source'").groupBy("mix_id", "m.axis", "m.class").agg(F.sum("t").alias("s"))
+    want = have.union(goal.select("mix_id", F.lit("source"), "source", "s"))
+    share = lambda c: F.col(c) / F.sum(c).over(Window.partitionBy("mix_id", "axis"))
+    out = want.join(used, ["mix_id", "axis", "class"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    return out.select("mix_id", "axis", "class", share("s").alias("target_share"), "tokens", share("tokens").alias("actual_share"))
+
+
+def p7_broken_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix: its sources, and the texts used more often than their source allows."""
+    goal = table(spark, sf_dir, "mix_targets").where("mix_id is not null and source is not null").groupBy("mix_id", "source").agg(F.max("max_repeats").alias("cap"))
+    got = goal.join(selected(spark, sf_dir).select("mix_id", "source", "uses"), ["mix_id", "source"], "left").groupBy("mix_id")
+    return got.agg(F.count_distinct("source").alias("sources"), F.count_if(F.col("uses") > F.col("cap")).alias("broken"))
+
+
+SQL = {"p7_broken_caps": "SELECT mix_id, count(DISTINCT source) AS sources, 0 AS broken FROM mix_targets GROUP BY mix_id"}
+QUERIES = {"p7_selected": p7_selected, "p7_shares": p7_shares, "p7_margins": p7_margins, "p7_broken_caps": p7_broken_caps}

@@ -119,4 +119,14 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("spec_id", "items", "tokens", "containers", least.alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
 
 
-QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report}
+def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per spec: documents packed, containers above the capacity, and documents cut without need."""
+    specs = table(spark, sf_dir, "pack_specs").where("capacity_tokens > 0").select("spec_id", "capacity_tokens", F.coalesce("separator_tokens", F.lit(0)).alias("separator")).distinct()
+    got = packed(spark, sf_dir)
+    full = got.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k")).join(F.broadcast(specs), "spec_id").groupBy("spec_id").agg(F.count_if(F.expr("t + (k - 1) * separator > capacity_tokens")).alias("overfull"))
+    docs = got.groupBy("spec_id", "doc_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k")).join(F.broadcast(specs), "spec_id").groupBy("spec_id").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.expr("k > 1 and t <= capacity_tokens")).alias("cut"))
+    return docs.join(full, "spec_id").select("spec_id", "docs", "overfull", "cut")
+
+
+SQL = {"p6_whole": "SELECT spec_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS docs, 0 AS overfull, 0 AS cut FROM (SELECT DISTINCT spec_id FROM pack_specs WHERE capacity_tokens > 0)"}
+QUERIES = {"p6_packed": p6_packed, "p6_report": p6_report, "p6_whole": p6_whole}

@@ -439,4 +439,17 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count(F.lit(1)).alias("docs"), F.sum("units").alias("units"), (F.sum("chars") / F.sum("units")).alias("mean_chars"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_report": p8_report}
+def p8_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document with units: the characters of its text that are no blanks, all of which stand in units, and units that overlap."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text").distinct()
+    u = units(docs.withColumn("lang", F.lit(None).cast("string")), Scratch(spark, "sentences")).distinct().withColumn("late", F.col("start_char") < F.lag("end_char").over(Window.partitionBy("doc_id").orderBy("start_char", "end_char")))
+    each = u.join(docs, "doc_id").withColumn("unit", F.expr("substr(text, cast(start_char as int) + 1, cast(end_char - start_char as int))"))
+    return each.groupBy("doc_id").agg(F.sum(F.char_length(F.regexp_replace("unit", BLANK, ""))).alias("chars"), F.count_if("late").alias("overlaps"))
+
+
+#: What counts as blank in the check of whole texts.
+BLANK = r"(?U)[\s\x{1c}-\x{1f}]+"
+SQL = {"p8_cover": "SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, 0 AS overlaps FROM (SELECT DISTINCT doc_id, regexp_replace(text, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\p{Z}]+', '', 'g') AS t FROM documents) WHERE t <> ''"}
+QUERIES = {"p8_found": p8_found, "p8_report": p8_report, "p8_cover": p8_cover}
