@@ -36,8 +36,8 @@ GRAM, BINS, BLOCKS, ROWS, BITS = 3, 1 << 16, 30, 4, 64
 #: Bits that may differ. Texts within PERCENT share 0.38 of their weight or more, so 0.31 of the bits differ or fewer; of unrelated ones a half.
 RADIUS = 30
 SEED = 20240229
-#: From which length of a text on its pieces have how many characters, so that one more piece than the edits allowed has room. Bins that count pieces.
-PIECES, PIECE_BINS = [(MIN_CHARS, 5), (33, 6), (156, 7)], 1 << 18
+#: From which length of a text on its pieces have how many characters, so that one more piece than the edits allowed has room. Bins that count pieces; parts in which pieces are joined one after the other, so that less lies on disk at once.
+PIECES, PIECE_BINS, ROUNDS = [(MIN_CHARS, 5), (33, 6), (156, 7)], 1 << 18, 3
 #: Texts beyond this length are cut into pieces from their beginning on, whatever the pieces' counts.
 LONG = 2000
 
@@ -220,14 +220,14 @@ def references(records: DataFrame) -> DataFrame:
     return rows.select("id", "source_page", split_name(F.col("split")).alias("split"), fold(F.col("reference")).alias("text")).where(f"split is not null and char_length(text) >= {MIN_CHARS}")
 
 
-def piece_candidates(coded: DataFrame, scratch: Scratch) -> DataFrame:
-    """coded (num, train, held, text) to a kept table of pairs (num_t, num_h), among them all within PERCENT."""
+def piece_candidates(coded: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """coded (num, train, held, text) to kept tables of pairs (num_t, num_h), among them all within PERCENT."""
     held = np.zeros(PIECE_BINS, np.float32)
     got = coded.where("held").select("text").mapInPandas(_count_pieces, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # PIECE_BINS rows at most
     held[got["bin"].to_numpy()] = got["n"].to_numpy()
     counts = coded.sparkSession.sparkContext.broadcast(held + np.float32(0.01))
 
-    def cut(side: str):
+    def cut(side: str, part_of: int):
         def run(batches):
             for b in batches:
                 order = b["text"].str.len().to_numpy().argsort(kind="stable")  # like lengths together, as rows are filled up to the longest
@@ -244,9 +244,11 @@ def piece_candidates(coded: DataFrame, scratch: Scratch) -> DataFrame:
                         h = _pieces(a[on], q)
                         spots = rare_pieces(h, lens[on], q, counts.value) if side == "t" else np.where(np.arange(h.shape[1]) <= (lens[on] - q)[:, None], np.arange(h.shape[1]), -1)
                         row, nth = np.nonzero(spots >= 0)
-                        at = spots[row, nth]
-                        own = on[row]
-                        yield pd.DataFrame({"piece": h.view(np.int32)[row, at], f"num_{side}": num[own], f"len_{side}": lens[own].astype(np.int32), f"at_{side}": at.astype(np.int32), "nth": nth.astype(np.int32), f"s1_{side}": letters[own, 0], f"s2_{side}": letters[own, 1]})
+                        piece = h.view(np.int32)[row, spots[row, nth]]
+                        now = piece % ROUNDS == part_of
+                        row, nth, piece = row[now], nth[now], piece[now]
+                        at, own = spots[row, nth], on[row]
+                        yield pd.DataFrame({"piece": piece, f"num_{side}": num[own], f"len_{side}": lens[own].astype(np.int32), f"at_{side}": at.astype(np.int32), "nth": nth.astype(np.int32), f"s1_{side}": letters[own, 0], f"s2_{side}": letters[own, 1]})
 
         schema = f"piece int, num_{side} bigint, len_{side} int, at_{side} int, nth int, s1_{side} bigint, s2_{side} bigint"
         return coded.where("train" if side == "t" else "held").select("num", "text").mapInPandas(run, schema)
@@ -254,9 +256,12 @@ def piece_candidates(coded: DataFrame, scratch: Scratch) -> DataFrame:
     most = f"(greatest(len_t, len_h) * {PERCENT} div 100)"
     places = f"abs(at_h - at_t) <= nth and abs(at_h - at_t - len_h + len_t) <= {most} - nth"
     letters = f"bit_count(s1_t ^ s1_h) + bit_count(s2_t ^ s2_h) <= 2 * {most}"
-    near = cut("t").join(cut("h").drop("nth").hint("shuffle_hash"), "piece").where(f"{places} and {letters} and num_t <> num_h")
-    out = scratch.keep(near.select("num_t", "num_h").distinct())
-    scratch.release()
+    out = []
+    for r in range(ROUNDS):
+        near = cut("t", r).join(cut("h", r).drop("nth").hint("shuffle_hash"), "piece").where(f"{places} and {letters} and num_t <> num_h")
+        out.append(scratch.keep(near.select("num_t", "num_h").distinct()))
+        del near
+        scratch.release()
     return out
 
 
@@ -271,7 +276,9 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     right = blocks.where("held").select("block", F.col("num").alias("num_h"), F.col("bits").alias("bits_h"))
     cand = scratch.keep(left.join(right, "block").where(f"num_t <> num_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("num_t", "num_h").distinct())
     scratch.release()
-    cand = cand.union(piece_candidates(coded, scratch)).distinct()
+    for more in piece_candidates(coded, scratch):
+        cand = cand.union(more)
+    cand = cand.distinct()
     pair = [f"pair{i}" for i in range(4)]
     side = lambda x: coded.select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "text", *pair)])
     pairs = cand.join(side("t"), "num_t").join(side("h"), "num_h")
