@@ -276,17 +276,18 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     right = blocks.where("held").select("block", F.col("num").alias("num_h"), F.col("bits").alias("bits_h"))
     cand = scratch.keep(left.join(right, "block").where(f"num_t <> num_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("num_t", "num_h").distinct())
     scratch.release()
-    for more in piece_candidates(coded, scratch):
+    slim = scratch.keep(coded.drop("code", "bits"))
+    scratch.drop(coded)
+    for more in piece_candidates(slim, scratch):
         cand = cand.union(more)
-    cand = cand.distinct()
     pair = [f"pair{i}" for i in range(4)]
-    side = lambda x: coded.select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "text", *pair)])
+    side = lambda x: slim.select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "text", *pair)])
     pairs = cand.join(side("t"), "num_t").join(side("h"), "num_h")
     most = F.expr(f"cast(floor(greatest(char_length(text_t), char_length(text_h)) * {PERCENT} / 100) as int)")
     near = pairs.where(F.abs(F.char_length("text_t") - F.char_length("text_h")) <= most)
     near = near.where(sum((F.bit_count(F.col(f"{c}_t").bitwiseXOR(F.col(f"{c}_h"))) for c in pair), F.lit(0)) <= 4 * most)
     near = near.withColumn("most", most).withColumn("distance", F.expr("levenshtein(text_t, text_h, most)"))
-    return near.where("distance >= 0").select("cls_t", "cls_h", "distance")
+    return near.where("distance >= 0").select("cls_t", "cls_h", "distance").distinct()  # a pair may be met in several ways
 
 
 def class_links(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
