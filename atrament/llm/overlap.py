@@ -1,19 +1,17 @@
 """Problem 4: same or near-same records across splits.
 
-Method: similarity-hash bit fingerprints. Each distinct folded reference gets a code of BLOCKS segments of 32 bits and 64
-single bits. A segment hashes ROWS minima of a weighted min-hash over character trigrams, which weighs a trigram by its
-inverse frequency over all texts: two segments are equal with the ROWS-th power of the weighted similarity.
-Segments of train texts are joined with those of val and test texts, pairs within the Hamming radius of the 64 bits are
-kept, and the edit distance of the folded texts decides. Equal texts are one class and meet without fingerprints.
-
-Texts that share no segment meet by pieces, which lose no pair. Of k + 1 disjoint pieces of a train text, let the i-th be
-the first (from 0) up to whose end there are i edits at most: these i edits lie before it, so it stands whole in the other
-text, at most i places away, and counted from the ends of both texts at most k - i places away. So few places are tried.
-Pieces have 5 to 7 characters, as many as the text's length has room for. Of all choices of such pieces the one is taken that
-val and test texts hold least often, counted by the places to be tried. Of these candidates most are dropped by counts of
-letters, of which k edits change 2 k at most, and by counts of neighbouring letters, of which they change 4 k.
-
-Frequencies are counted over all texts in a table of BINS hashed trigrams, whose size does not grow.
+Method: segments and bit fingerprints, both of which lose no pair. Each distinct folded reference of train is cut into k + 1
+disjoint pieces, where k edits are allowed at most. Of these let the i-th be the first (from 0) up to whose end there are i
+edits at most: these i edits lie before it, so it stands whole in the other text, at most i places away, and counted from the
+ends of both texts at most k - i places away. So few places are tried. Pieces have 5 to 7 characters, as many as the text's
+length has room for. Of all choices of such pieces the one is taken that val and test texts hold least often, counted by the
+places to be tried.
+
+Each piece carries two fingerprints of 128 bits, of the letters before and after it. The texts before the piece differ by i
+edits at most and those after it by k - i, so their fingerprints are within Hamming radius 2 i and 2 (k - i). Pieces of all
+texts are brought together by a shuffle and sorted; of each train piece only the slice of places is compared. Pairs that are
+left must be within 4 k of 256 bits that count neighbouring letters; the edit distance of the folded texts decides. Equal
+texts are one class and meet without fingerprints.
 
 Defined cases: null, short (fewer than MIN_CHARS letters and digits) and unassigned references have no pair; repeated
 deliveries count once, in their current state; empty tables give no rows; other columns are not read.
@@ -32,12 +30,10 @@ from atrament.session import Scratch, table
 MIN_CHARS = 20
 #: Largest edit distance in 100 characters of the longer text.
 PERCENT = 12
-GRAM, BINS, BLOCKS, ROWS, BITS = 3, 1 << 16, 30, 4, 64
-#: Bits that may differ. Texts within PERCENT share 0.38 of their weight or more, so 0.31 of the bits differ or fewer; of unrelated ones a half.
-RADIUS = 30
-SEED = 20240229
 #: From which length of a text on its pieces have how many characters, so that one more piece than the edits allowed has room. Bins that count pieces; parts in which pieces are joined one after the other, so that less lies on disk at once.
 PIECES, PIECE_BINS, ROUNDS = [(MIN_CHARS, 5), (33, 6), (156, 7)], 1 << 18, 3
+#: Pieces that are compared at once, at least, and pairs of them, about.
+TOGETHER, AT_ONCE = 100_000, 1 << 19
 #: Texts beyond this length are cut into pieces from their beginning on, whatever the pieces' counts.
 LONG = 2000
 
@@ -105,15 +101,19 @@ def rare_pieces(h: np.ndarray, lens: np.ndarray, q: int, held: np.ndarray) -> np
     return out
 
 
-def letter_bits(a: np.ndarray) -> np.ndarray:
-    """Two numbers of 64 bits per text that differ in twice the edits at most: 32 groups of letters, the count of each in a
-    ring of four bits where the next count differs in one."""
-    ring = np.array([0, 1, 3, 7, 15, 14, 12, 8], np.uint64)
-    n = np.zeros((len(a), 32), np.int64)
-    at, col = np.nonzero(a)
-    np.add.at(n, (at, a[at, col] & 31), 1)
-    four = ring[n % 8].reshape(len(a), 2, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
-    return np.bitwise_or.reduce(four, axis=2).view(np.int64)
+def letter_counts(a: np.ndarray) -> np.ndarray:
+    """For each place the letters before it, counted (mod 256) in 32 groups; one place more than letters."""
+    n = np.zeros((len(a), a.shape[1] + 1, 32), np.uint8)
+    row, col = np.nonzero(a)
+    n[row, col + 1, a[row, col] & 31] = 1
+    return np.cumsum(n, axis=1, dtype=np.uint8)
+
+
+def ring_bits(n: np.ndarray) -> np.ndarray:
+    """Two numbers of 64 bits for each row of 32 counts: each count stands in a ring of four bits where the next count differs
+    in one. Texts with e edits between them differ in 2 e bits at most."""
+    four = np.array([0, 1, 3, 7, 15, 14, 12, 8], np.uint8)[n & 7]
+    return (four[:, ::2] | four[:, 1::2] << 4).view(np.int64)
 
 
 def pair_bits(texts: pd.Series) -> np.ndarray:
@@ -141,126 +141,160 @@ def _count_pieces(batches):
     yield pd.DataFrame({"bin": at.astype(np.int32), "n": n[at]})
 
 
-def grams(texts) -> tuple[np.ndarray, np.ndarray]:
-    """The bins of all trigrams of the texts in one array, and where each text begins in it. No text is shorter than GRAM."""
-    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(a) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        h = h * np.uint64(1_000_003) + a[i : len(a) - GRAM + 1 + i]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    ends = np.cumsum(lens)
-    inside = np.ones(len(h), bool)
-    for i in range(1, GRAM):
-        inside[(ends - i)[:-1]] = False  # these reach into the next text
-    return (h >> np.uint64(48))[inside].astype(np.int64), np.concatenate([[0], np.cumsum(lens - GRAM + 1)[:-1]])
-
-
-def _count_bins(batches):
-    df = np.zeros(BINS, np.int64)
-    for b in batches:
-        if len(b):
-            df += np.bincount(grams(b["text"])[0], minlength=BINS)
-    at = np.nonzero(df)[0]
-    yield pd.DataFrame({"bin": at.astype(np.int32), "n": df[at]})
-
-
-class Coder:
-    """Codes of texts, by a table of exponential draws per bin and hash, divided by the bin's weight."""
-
-    def __init__(self, df: np.ndarray, n: int):
-        self.df, self.n, self.draws = df, n, None
-
-    def __getstate__(self):
-        return {"df": self.df, "n": self.n, "draws": None}
-
-    def __call__(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        if self.draws is None:
-            weight = np.maximum(np.log((self.n + 1) / (self.df + 1)), 0) + 1e-3  # a bin may occur more often than there are texts
-            rng = np.random.Generator(np.random.PCG64(SEED))
-            self.draws = rng.standard_exponential((BINS, BLOCKS * ROWS), dtype=np.float32) / weight[:, None].astype(np.float32)
-        bins, at = grams(texts)
-        least = np.minimum.reduceat(self.draws[bins], at, axis=0).view(np.uint32).astype(np.uint64)
-        mixed = least.copy()
-        mixed ^= mixed >> np.uint64(15)
-        mixed *= np.uint64(0xFF51AFD7ED558CCD)
-        blocks = np.tile(np.arange(1, BLOCKS + 1, dtype=np.uint64), (len(texts), 1))
-        for r in range(ROWS):
-            blocks = (blocks ^ least[:, r::ROWS]) * np.uint64(0xC4CEB9FE1A85EC53)
-            blocks ^= blocks >> np.uint64(31)
-        bits = (mixed[:, :BITS] >> np.uint64(40)) & np.uint64(1)
-        return (blocks >> np.uint64(32)).astype(np.int64), (bits << np.arange(BITS, dtype=np.uint64)).sum(1).astype(np.int64)
-
-
-def fingerprints(texts: DataFrame, batch: int = 128) -> DataFrame:
-    """texts (cls, train, held, text), a kept table, to (num, cls, train, held, text, code array of BLOCKS, bits). num is a dense number:
-    it takes fewer bytes than cls in the many rows of segments."""
-    spark = texts.sparkSession
-    df, n = np.zeros(BINS, np.int64), texts.count()
-    for r in texts.select("text").mapInPandas(_count_bins, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
-        df[r.bin] = r.n
-    coder = spark.sparkContext.broadcast(Coder(df, n))
-
-    def code(batches):
-        for b in batches:
-            for i in range(0, len(b), batch):
-                part = b.iloc[i : i + batch]
-                blocks, bits = coder.value(part["text"])
-                odd = pair_bits(part["text"])
-                yield part[["cls", "train", "held", "text"]].assign(code=list(blocks.astype(np.int32)), bits=bits, **{f"pair{k}": odd[:, k] for k in range(4)})
-
-    coded = texts.mapInPandas(code, "cls binary, train boolean, held boolean, text string, code array<int>, bits bigint, pair0 bigint, pair1 bigint, pair2 bigint, pair3 bigint")
-    return coded.withColumn("num", F.monotonically_increasing_id())
-
-
 def references(records: DataFrame) -> DataFrame:
     """Current records with split and folded reference, long enough to count."""
     rows = current_records(records.where("id is not null"), ["split", "source_page", "reference"])
     return rows.select("id", "source_page", split_name(F.col("split")).alias("split"), fold(F.col("reference")).alias("text")).where(f"split is not null and char_length(text) >= {MIN_CHARS}")
 
 
-def piece_candidates(coded: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """coded (num, train, held, text) to kept tables of pairs (num_t, num_h), among them all within PERCENT."""
+def cut_texts(texts: DataFrame) -> DataFrame:
+    """texts (cls, train, held, text), a kept table, to (num, cls, train, held, text, spots, pair0 to pair3): where the pieces of
+    a train text begin, and its pair_bits. num is a dense number: it takes fewer bytes than cls in the many rows of pieces."""
     held = np.zeros(PIECE_BINS, np.float32)
-    got = coded.where("held").select("text").mapInPandas(_count_pieces, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # PIECE_BINS rows at most
+    got = texts.where("held").select("text").mapInPandas(_count_pieces, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # PIECE_BINS rows at most
     held[got["bin"].to_numpy()] = got["n"].to_numpy()
-    counts = coded.sparkSession.sparkContext.broadcast(held + np.float32(0.01))
-
-    def cut(side: str, part_of: int):
-        def run(batches):
-            for b in batches:
-                order = b["text"].str.len().to_numpy().argsort(kind="stable")  # like lengths together, as rows are filled up to the longest
-                longest = int(b["text"].str.len().max()) if len(b) else 0
-                step = 256 if longest <= 500 else 8
-                for i in range(0, len(b), step):
-                    part = b.iloc[order[i : i + step]]
-                    a, lens = _letters(part["text"])
-                    num, sizes, letters = part["num"].to_numpy(), piece_size(lens), letter_bits(a)
-                    for _, q in PIECES:
-                        on = np.nonzero(sizes == q if side == "t" else meets_size(lens, q))[0]
-                        if not len(on):
-                            continue
+    counts = texts.sparkSession.sparkContext.broadcast(held + np.float32(0.01))
+
+    def run(batches):
+        for b in batches:
+            for part in _alike(b):
+                a, lens = _letters(part["text"])
+                sizes, spots = piece_size(lens), [[]] * len(part)
+                for _, q in PIECES:
+                    on = np.nonzero((sizes == q) & part["train"].to_numpy(bool))[0]
+                    if len(on):
+                        for i, at in zip(on, rare_pieces(_pieces(a[on], q), lens[on], q, counts.value)):
+                            spots[i] = at[at >= 0].astype(np.int32)
+                odd = pair_bits(part["text"])
+                yield part.assign(spots=spots, **{f"pair{k}": odd[:, k] for k in range(4)})
+
+    cut = texts.select("cls", "train", "held", "text").mapInPandas(run, "cls binary, train boolean, held boolean, text string, spots array<int>, pair0 bigint, pair1 bigint, pair2 bigint, pair3 bigint")
+    return cut.withColumn("num", F.monotonically_increasing_id())
+
+
+def _alike(b: pd.DataFrame):
+    """Parts of a batch with texts of like length, as rows are filled up to the longest; few if they are long."""
+    lens = b["text"].str.len().to_numpy()
+    order = lens.argsort(kind="stable")
+    i = 0
+    while i < len(b):
+        n = 256
+        while n > 1 and n * lens[order[min(i + n, len(b)) - 1]] > 100_000:
+            n //= 2
+        yield b.iloc[order[i : i + n]]
+        i += n
+
+
+def _rows_of_pieces(part_of: int):
+    """Of texts (num, train, held, text, spots) the pieces of one part: (piece and place, num, which of the text's pieces and
+    the text's length, fingerprints). Of a val or test text the pieces at all places, with -1 for which."""
+
+    def rows(num, lens, counts, h, q, own, at, nth):
+        piece = h.view(np.int32)[own[0], at]
+        now = piece % ROUNDS == part_of
+        piece, at, nth, own = piece[now].astype(np.int64), at[now], nth[now], own[1][now]
+        before, end = counts[own, at], counts[own, lens[own]]
+        s, e = ring_bits(before), ring_bits(end - counts[own, at + q])
+        return pd.DataFrame({"key": piece << 32 | at, "num": num[own], "info": nth << 32 | lens[own], "s0": s[:, 0], "s1": s[:, 1], "e0": e[:, 0], "e1": e[:, 1]})
+
+    def run(batches):
+        for b in batches:
+            for part in _alike(b):
+                a, lens = _letters(part["text"])
+                counts, sizes, num, cut = letter_counts(a), piece_size(lens), part["num"].to_numpy(), part["spots"].to_numpy()
+                train, held = part["train"].to_numpy(bool), part["held"].to_numpy(bool)
+                for _, q in PIECES:
+                    on = np.nonzero(train & (sizes == q))[0]
+                    if len(on):
+                        spots = cut[on]
+                        n = np.fromiter(map(len, spots), np.int64, len(on))
+                        row = np.repeat(np.arange(len(on)), n)
+                        yield rows(num, lens, counts, _pieces(a[on], q), q, (row, on[row]), np.concatenate(spots).astype(np.int64), np.arange(len(row)) - np.repeat(n.cumsum() - n, n))
+                    on = np.nonzero(held & meets_size(lens, q))[0]
+                    if len(on):
                         h = _pieces(a[on], q)
-                        spots = rare_pieces(h, lens[on], q, counts.value) if side == "t" else np.where(np.arange(h.shape[1]) <= (lens[on] - q)[:, None], np.arange(h.shape[1]), -1)
-                        row, nth = np.nonzero(spots >= 0)
-                        piece = h.view(np.int32)[row, spots[row, nth]]
-                        now = piece % ROUNDS == part_of
-                        row, nth, piece = row[now], nth[now], piece[now]
-                        at, own = spots[row, nth], on[row]
-                        yield pd.DataFrame({"piece": piece, f"num_{side}": num[own], f"len_{side}": lens[own].astype(np.int32), f"at_{side}": at.astype(np.int32), "nth": nth.astype(np.int32), f"s1_{side}": letters[own, 0], f"s2_{side}": letters[own, 1]})
-
-        schema = f"piece int, num_{side} bigint, len_{side} int, at_{side} int, nth int, s1_{side} bigint, s2_{side} bigint"
-        return coded.where("train" if side == "t" else "held").select("num", "text").mapInPandas(run, schema)
-
-    most = f"(greatest(len_t, len_h) * {PERCENT} div 100)"
-    places = f"abs(at_h - at_t) <= nth and abs(at_h - at_t - len_h + len_t) <= {most} - nth"
-    letters = f"bit_count(s1_t ^ s1_h) + bit_count(s2_t ^ s2_h) <= 2 * {most}"
+                        row, at = np.nonzero(np.arange(h.shape[1]) <= (lens[on] - q)[:, None])
+                        yield rows(num, lens, counts, h, q, (row, on[row]), at, np.full(len(row), -1))
+
+    return run
+
+
+def meeting(key: np.ndarray, num: np.ndarray, info: np.ndarray, bits: np.ndarray):
+    """Pairs (num of the train text, num of the other) whose pieces, sorted by key, are equal, not too far apart, and have
+    fingerprints (a row of bits each) within the radius."""
+    nth = info >> 32
+    t, h = np.nonzero(nth >= 0)[0], np.nonzero(nth < 0)[0]
+    at, lens = key & 0xFFFFFFFF, info & 0xFFFFFFFF
+    base, most = key - at, most_edits(lens)
+    tail = lens - at
+    ends = base[h] + tail[h]
+    back = ends.argsort(kind="stable")
+    for side, order in ((0, h), (1, h[back])):  # pieces near the beginning are looked for from there, the others from the end
+        own = t[(nth[t] * 2 > most[t]) == bool(side)]
+        places, where, away = (base[order] + tail[order], tail[own], most[own] - nth[own]) if side else (key[order], at[own], nth[own])
+        low = np.searchsorted(places, base[own] + np.maximum(where - away, 0))
+        n = np.searchsorted(places, base[own] + where + away, side="right") - low
+        own, low, n = own[n > 0], low[n > 0], n[n > 0]
+        long, short = ((0, 1), (2, 3))[:: 1 if side else -1]  # first the longer side, which tells more
+        far = [bits[order, k] for k in (*long, *short)]
+        for i, j in _chunks(n):
+            m = n[i:j]
+            x = np.repeat(np.arange(i, j), m)
+            y = np.arange(len(x)) + np.repeat(low[i:j] - m.cumsum() + m, m)
+            room = 2 * np.where(side, nth[own], most[own] - nth[own])
+            diff = np.bitwise_count(bits[own, long[0]][x] ^ far[0][y]) + np.bitwise_count(bits[own, long[1]][x] ^ far[1][y])
+            on = np.nonzero(diff <= room[x])[0]
+            y = y[on]
+            a, b = own[x[on]], order[y]
+            short_diff = np.bitwise_count(bits[a, short[0]] ^ far[2][y]) + np.bitwise_count(bits[a, short[1]] ^ far[3][y])
+            k = np.maximum(lens[a], lens[b]) * PERCENT // 100
+            left, right = (diff[on], short_diff) if side else (short_diff, diff[on])
+            good = (left <= 2 * nth[a]) & (right <= 2 * (k - nth[a])) & (np.abs(at[b] - at[a]) <= nth[a]) & (np.abs(tail[b] - tail[a]) <= k - nth[a]) & (num[a] != num[b])
+            if good.any():
+                yield num[a[good]], num[b[good]]
+
+
+def _chunks(n: np.ndarray):
+    """Ranges of n with sums of about AT_ONCE."""
+    upto, i = n.cumsum(), 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + AT_ONCE, side="right")))
+        yield i, j
+        i = j
+
+
+def _meet(batches):
+    """Pieces sorted by key to pairs of num; no piece is cut in two."""
+
+    def pairs(parts):
+        p = pd.concat(parts)
+        for x, y in meeting(p["key"].to_numpy(), p["num"].to_numpy(), p["info"].to_numpy(), np.stack([p[c].to_numpy() for c in ("s0", "s1", "e0", "e1")], axis=1).view(np.uint64)):
+            yield pd.DataFrame({"num_t": x, "num_h": y})
+
+    parts, n = [], 0
+    for b in batches:
+        if not len(b):
+            continue
+        if n >= TOGETHER:
+            last = parts[-1]["key"].to_numpy()[-1] >> 32
+            cut = int((b["key"].to_numpy() >> 32 == last).sum())
+            if cut < len(b):
+                yield from pairs([*parts, b.iloc[:cut]])
+                parts, n, b = [], 0, b.iloc[cut:]
+        parts.append(b)
+        n += len(b)
+    if parts:
+        yield from pairs(parts)
+
+
+def piece_candidates(cut: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """cut_texts, kept, to kept tables of pairs (num_t, num_h), among them all within PERCENT."""
     out = []
     for r in range(ROUNDS):
-        near = cut("t", r).join(cut("h", r).drop("nth").hint("shuffle_hash"), "piece").where(f"{places} and {letters} and num_t <> num_h")
-        out.append(scratch.keep(near.select("num_t", "num_h").distinct()))
-        del near
+        rows = cut.select("num", "train", "held", "text", "spots").mapInPandas(_rows_of_pieces(r), "key bigint, num bigint, info bigint, s0 bigint, s1 bigint, e0 bigint, e1 bigint")
+        near = rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInPandas(_meet, "num_t bigint, num_h bigint")
+        out.append(scratch.keep(near.distinct()))
+        del rows, near
         scratch.release()
     return out
 
@@ -268,26 +302,20 @@ def piece_candidates(coded: DataFrame, scratch: Scratch) -> list[DataFrame]:
 def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """classes (cls, train, held, text), one row per distinct text, to pairs (cls_t, cls_h, distance) of different texts:
     one with train records, the other with val or test records."""
-    coded = scratch.keep(fingerprints(classes))
+    cut = scratch.keep(cut_texts(classes))
     scratch.drop(classes)
-    scratch.release()
-    blocks = coded.select("num", "train", "held", "bits", F.explode("code").alias("block"))  # the number of the segment is hashed in
-    left = blocks.where("train").select("block", F.col("num").alias("num_t"), F.col("bits").alias("bits_t"))
-    right = blocks.where("held").select("block", F.col("num").alias("num_h"), F.col("bits").alias("bits_h"))
-    cand = scratch.keep(left.join(right, "block").where(f"num_t <> num_h and bit_count(bits_t ^ bits_h) <= {RADIUS}").select("num_t", "num_h").distinct())
-    scratch.release()
-    slim = scratch.keep(coded.drop("code", "bits"))
-    scratch.drop(coded)
-    for more in piece_candidates(slim, scratch):
-        cand = cand.union(more)
+    first, *others = piece_candidates(cut, scratch)
+    for more in others:
+        first = first.union(more)
     pair = [f"pair{i}" for i in range(4)]
-    side = lambda x: slim.select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "text", *pair)])
-    pairs = cand.join(side("t"), "num_t").join(side("h"), "num_h")
-    most = F.expr(f"cast(floor(greatest(char_length(text_t), char_length(text_h)) * {PERCENT} / 100) as int)")
-    near = pairs.where(F.abs(F.char_length("text_t") - F.char_length("text_h")) <= most)
-    near = near.where(sum((F.bit_count(F.col(f"{c}_t").bitwiseXOR(F.col(f"{c}_h"))) for c in pair), F.lit(0)) <= 4 * most)
-    near = near.withColumn("most", most).withColumn("distance", F.expr("levenshtein(text_t, text_h, most)"))
-    return near.where("distance >= 0").select("cls_t", "cls_h", "distance").distinct()  # a pair may be met in several ways
+    known = cut.select("num", "train", "held", "cls", "text", F.char_length("text").alias("len"), *pair)
+    side = lambda x, *cols: known.where("train" if x == "t" else "held").select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", *cols)])
+    some = first.join(side("t", "len", *pair), "num_t").join(side("h", "len", *pair), "num_h")  # the texts follow for the few that are left
+    some = some.withColumn("most", F.expr(f"cast(floor(greatest(len_t, len_h) * {PERCENT} / 100) as int)"))
+    some = some.where(sum((F.bit_count(F.col(f"{c}_t").bitwiseXOR(F.col(f"{c}_h"))) for c in pair), F.lit(0)) <= 4 * F.col("most"))
+    near = some.select("num_t", "num_h", "most").distinct().join(side("t", "cls", "text"), "num_t").join(side("h", "cls", "text"), "num_h")  # a pair may be met in several ways
+    near = near.withColumn("distance", F.expr("levenshtein(text_t, text_h, most)"))
+    return near.where("distance >= 0").select("cls_t", "cls_h", "distance")
 
 
 def class_links(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -326,6 +354,53 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.sum("m").alias("records"), F.sum(F.col("m") * F.col("pairs")).alias("pairs"), F.sum(F.col("m") * F.col("exact")).alias("exact"))
 
 
+#: Codes by weighted min-hash over character trigrams, for texts that need not all be met; no query uses them, as pieces meet all that they met.
+GRAM, BINS, BLOCKS, ROWS, BITS, SEED = 3, 1 << 16, 30, 4, 64, 20240229
+
+
+def grams(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of all trigrams of the texts in one array, and where each text begins in it. No text is shorter than GRAM."""
+    lens = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    a = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(a) - GRAM + 1, np.uint64)
+    for i in range(GRAM):
+        h = h * np.uint64(1_000_003) + a[i : len(a) - GRAM + 1 + i]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    ends = np.cumsum(lens)
+    inside = np.ones(len(h), bool)
+    for i in range(1, GRAM):
+        inside[(ends - i)[:-1]] = False  # these reach into the next text
+    return (h >> np.uint64(48))[inside].astype(np.int64), np.concatenate([[0], np.cumsum(lens - GRAM + 1)[:-1]])
+
+
+class Coder:
+    """Codes of texts, by a table of exponential draws per bin and hash, divided by the bin's weight."""
+
+    def __init__(self, df: np.ndarray, n: int):
+        self.df, self.n, self.draws = df, n, None
+
+    def __getstate__(self):
+        return {"df": self.df, "n": self.n, "draws": None}
+
+    def __call__(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        if self.draws is None:
+            weight = np.maximum(np.log((self.n + 1) / (self.df + 1)), 0) + 1e-3  # a bin may occur more often than there are texts
+            rng = np.random.Generator(np.random.PCG64(SEED))
+            self.draws = rng.standard_exponential((BINS, BLOCKS * ROWS), dtype=np.float32) / weight[:, None].astype(np.float32)
+        bins, at = grams(texts)
+        least = np.minimum.reduceat(self.draws[bins], at, axis=0).view(np.uint32).astype(np.uint64)
+        mixed = least.copy()
+        mixed ^= mixed >> np.uint64(15)
+        mixed *= np.uint64(0xFF51AFD7ED558CCD)
+        blocks = np.tile(np.arange(1, BLOCKS + 1, dtype=np.uint64), (len(texts), 1))
+        for r in range(ROWS):
+            blocks = (blocks ^ least[:, r::ROWS]) * np.uint64(0xC4CEB9FE1A85EC53)
+            blocks ^= blocks >> np.uint64(31)
+        bits = (mixed[:, :BITS] >> np.uint64(40)) & np.uint64(1)
+        return (blocks >> np.uint64(32)).astype(np.int64), (bits << np.arange(BITS, dtype=np.uint64)).sum(1).astype(np.int64)
+
+
 QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
 
 #: The twin compares all pairs of texts, which only small tables bear.

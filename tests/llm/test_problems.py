@@ -190,6 +190,58 @@ def test_overlap_finds_every_pair_at_the_border(spark):
     assert len(near) > 200 and got == near
 
 
+def test_overlap_keeps_few_candidates_of_a_common_phrase(spark):
+    """All texts hold one phrase and the same letters around it, shuffled: pairs met by the phrase are told apart before they are kept."""
+    rng, letters, rows = random.Random(23), list("aabbccddeeffgghhiijjkkllmmnnoopprrssttuuwwyyzz"), []
+    for i in range(300):
+        rng.shuffle(letters)
+        a = "".join(letters[:23]) + "ciagniesiegruntktoryzastawia" + "".join(letters[23:])
+        rows += [(f"a{i}", "p", "train", a, 1)]
+        rng.shuffle(letters)
+        b = "".join(letters[:23]) + "ciagniesiegruntktoryzastawia" + "".join(letters[23:])
+        rows += [(f"b{i}", "p", "test", a[:10] + "vxv" + a[13:60] + a[61:] if i % 10 == 0 else b, 1)]
+
+    class Counted(Scratch):
+        kept = 0
+
+        def keep(self, df):
+            out = super().keep(df)
+            self.kept += out.count()
+            return out
+
+    scratch = Counted(spark, "t")
+    df = spark.createDataFrame(rows, "id string, source_page string, split string, reference string, ingested_at int")
+    got = {(r.id_t, r.id_h) for r in overlap.overlaps(df, scratch).collect()}
+    assert got == {(f"a{i}", f"b{i}") for i in range(0, 300, 10)} and scratch.kept < 10 * len(rows)
+
+
+def test_overlap_meets_pieces_of_any_batch(spark, monkeypatch):
+    """A piece's rows may come in many batches, and its pairs in many chunks."""
+    import numpy as np
+
+    rng = random.Random(29)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(20, 40))) for _ in range(120)]
+    train, held = texts[:60], texts[60:] + [t[:-1] + "d" for t in texts[:40]]
+    frame = pd.DataFrame({"num": range(160), "text": train + held, "train": [True] * 60 + [False] * 100, "held": [False] * 60 + [True] * 100})
+    counts = np.full(overlap.PIECE_BINS, 0.01, np.float32)
+    spots = []
+    for t in frame["text"]:
+        a, lens = overlap._letters([t])
+        q = int(overlap.piece_size(lens)[0])
+        spots.append(overlap.rare_pieces(overlap._pieces(a, q), lens, q, counts)[0].astype(np.int32))
+    frame["spots"] = [x[x >= 0] for x in spots]
+    rows = pd.concat([r for part in range(overlap.ROUNDS) for r in overlap._rows_of_pieces(part)(iter([frame]))]).sort_values("key", kind="stable")
+
+    def pairs(size):
+        return {(x, y) for p in overlap._meet(rows.iloc[i : i + size] for i in range(0, len(rows), size)) for x, y in zip(p["num_t"], p["num_h"])}
+
+    whole = pairs(len(rows))
+    near = {(i, j) for i in range(60) for j in range(60, 160) if distance(train[i], held[j - 60]) * 100 <= 12 * max(len(train[i]), len(held[j - 60]))}
+    monkeypatch.setattr(overlap, "TOGETHER", 5)
+    monkeypatch.setattr(overlap, "AT_ONCE", 3)
+    assert len(near) >= 40 and near <= whole and pairs(7) == whole
+
+
 def test_consensus_labels():
     assert [consensus.clean(x) for x in (None, " ", "<empty>", "„a”", "(b)\n", "*c*", "ﻻ", "é", "​d", "'E'")] == [None, None, None, "a", "b", "c", "ﻻ", "é", "d", "E"]
 
