@@ -7,11 +7,11 @@ ends of both texts at most k - i places away. So few places are tried. Pieces ha
 length has room for. Of all choices of such pieces the one is taken that val and test texts hold least often, counted by the
 places to be tried.
 
-Each piece carries two fingerprints of 128 bits, of the letters before and after it. The texts before the piece differ by i
-edits at most and those after it by k - i, so their fingerprints are within Hamming radius 2 i and 2 (k - i). Pieces of all
-texts are brought together by a shuffle and sorted; of each train piece only the slice of places is compared. Pairs that are
-left must be within 4 k of 256 bits that count neighbouring letters; the edit distance of the folded texts decides. Equal
-texts are one class and meet without fingerprints.
+Each piece carries fingerprints of its text: 128 bits count letters, of which k edits change 2 k at most, and 256 bits count
+neighbouring letters, of which they change 4 k. Pieces of all texts are brought together by a shuffle and sorted; of each train
+piece only the slice of places is compared, from the beginning or the end of the texts, whichever slice holds less. Pairs
+within both Hamming radii are kept; the edit distance of the folded texts decides. Equal texts are one class and meet without
+fingerprints.
 
 Defined cases: null, short (fewer than MIN_CHARS letters and digits) and unassigned references have no pair; repeated
 deliveries count once, in their current state; empty tables give no rows; other columns are not read.
@@ -30,12 +30,17 @@ from atrament.session import Scratch, table
 MIN_CHARS = 20
 #: Largest edit distance in 100 characters of the longer text.
 PERCENT = 12
-#: From which length of a text on its pieces have how many characters, so that one more piece than the edits allowed has room. Bins that count pieces; parts in which pieces are joined one after the other, so that less lies on disk at once.
-PIECES, PIECE_BINS, ROUNDS = [(MIN_CHARS, 5), (33, 6), (156, 7)], 1 << 18, 3
+#: From which length of a text on its pieces have how many characters, so that one more piece than the edits allowed has room. Bins that count pieces; parts in which pieces are met one after the other, so that less lies on disk at once.
+PIECES, PIECE_BINS, ROUNDS = [(MIN_CHARS, 5), (33, 6), (156, 7)], 1 << 18, 4
 #: Pieces that are compared at once, at least, and pairs of them, about.
 TOGETHER, AT_ONCE = 100_000, 1 << 19
+#: Slices from this length on are compared one by one.
+SLICE = 1500
 #: Texts beyond this length are cut into pieces from their beginning on, whatever the pieces' counts.
 LONG = 2000
+#: The columns of fingerprints.
+BITS_OF = ("letters0", "letters1", "pair0", "pair1", "pair2", "pair3")
+_BIGINTS = ", ".join(f"{c} bigint" for c in BITS_OF)
 
 
 def most_edits(lens: np.ndarray) -> np.ndarray:
@@ -101,17 +106,11 @@ def rare_pieces(h: np.ndarray, lens: np.ndarray, q: int, held: np.ndarray) -> np
     return out
 
 
-def letter_counts(a: np.ndarray) -> np.ndarray:
-    """For each place the letters before it, counted (mod 256) in 32 groups; one place more than letters."""
-    n = np.zeros((len(a), a.shape[1] + 1, 32), np.uint8)
+def letter_bits(a: np.ndarray) -> np.ndarray:
+    """Two numbers of 64 bits per text that differ in twice the edits at most: 32 groups of letters, the count of each in a
+    ring of four bits where the next count differs in one."""
     row, col = np.nonzero(a)
-    n[row, col + 1, a[row, col] & 31] = 1
-    return np.cumsum(n, axis=1, dtype=np.uint8)
-
-
-def ring_bits(n: np.ndarray) -> np.ndarray:
-    """Two numbers of 64 bits for each row of 32 counts: each count stands in a ring of four bits where the next count differs
-    in one. Texts with e edits between them differ in 2 e bits at most."""
+    n = np.bincount(row * 32 + (a[row, col] & 31), minlength=len(a) * 32).reshape(-1, 32)
     four = np.array([0, 1, 3, 7, 15, 14, 12, 8], np.uint8)[n & 7]
     return (four[:, ::2] | four[:, 1::2] << 4).view(np.int64)
 
@@ -148,8 +147,8 @@ def references(records: DataFrame) -> DataFrame:
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
-    """texts (cls, train, held, text), a kept table, to (num, cls, train, held, text, spots, pair0 to pair3): where the pieces of
-    a train text begin, and its pair_bits. num is a dense number: it takes fewer bytes than cls in the many rows of pieces."""
+    """texts (cls, train, held, text), a kept table, to (num, cls, train, held, text, spots, letters0, letters1, pair0 to pair3): where the
+    pieces of a train text begin, and the text's fingerprints. num is a dense number: it takes fewer bytes than cls in the many rows of pieces."""
     held = np.zeros(PIECE_BINS, np.float32)
     got = texts.where("held").select("text").mapInPandas(_count_pieces, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()  # PIECE_BINS rows at most
     held[got["bin"].to_numpy()] = got["n"].to_numpy()
@@ -165,10 +164,10 @@ def cut_texts(texts: DataFrame) -> DataFrame:
                     if len(on):
                         for i, at in zip(on, rare_pieces(_pieces(a[on], q), lens[on], q, counts.value)):
                             spots[i] = at[at >= 0].astype(np.int32)
-                odd = pair_bits(part["text"])
-                yield part.assign(spots=spots, **{f"pair{k}": odd[:, k] for k in range(4)})
+                bits = np.concatenate([letter_bits(a), pair_bits(part["text"])], axis=1)
+                yield part.assign(spots=spots, **{c: bits[:, k] for k, c in enumerate(BITS_OF)})
 
-    cut = texts.select("cls", "train", "held", "text").mapInPandas(run, "cls binary, train boolean, held boolean, text string, spots array<int>, pair0 bigint, pair1 bigint, pair2 bigint, pair3 bigint")
+    cut = texts.select("cls", "train", "held", "text").mapInPandas(run, f"cls binary, train boolean, held boolean, text string, spots array<int>, {_BIGINTS}")
     return cut.withColumn("num", F.monotonically_increasing_id())
 
 
@@ -186,74 +185,90 @@ def _alike(b: pd.DataFrame):
 
 
 def _rows_of_pieces(part_of: int):
-    """Of texts (num, train, held, text, spots) the pieces of one part: (piece and place, num, which of the text's pieces and
-    the text's length, fingerprints). Of a val or test text the pieces at all places, with -1 for which."""
+    """Of texts (num, train, held, text, spots, fingerprints) the pieces of one part: (piece and place, num, which of the
+    text's pieces and the text's length, fingerprints). Of a val or test text the pieces at all places, with -1 for which."""
 
-    def rows(num, lens, counts, h, q, own, at, nth):
-        piece = h.view(np.int32)[own[0], at]
+    def rows(part, lens, piece, own, at, nth):
         now = piece % ROUNDS == part_of
-        piece, at, nth, own = piece[now].astype(np.int64), at[now], nth[now], own[1][now]
-        before, end = counts[own, at], counts[own, lens[own]]
-        s, e = ring_bits(before), ring_bits(end - counts[own, at + q])
-        return pd.DataFrame({"key": piece << 32 | at, "num": num[own], "info": nth << 32 | lens[own], "s0": s[:, 0], "s1": s[:, 1], "e0": e[:, 0], "e1": e[:, 1]})
+        piece, at, nth, own = piece[now].astype(np.int64), at[now], nth[now], own[now]
+        return pd.DataFrame({"key": piece << 32 | at, "num": part["num"].to_numpy()[own], "info": nth << 32 | lens[own]} | {c: part[c].to_numpy()[own] for c in BITS_OF})
 
     def run(batches):
         for b in batches:
             for part in _alike(b):
                 a, lens = _letters(part["text"])
-                counts, sizes, num, cut = letter_counts(a), piece_size(lens), part["num"].to_numpy(), part["spots"].to_numpy()
-                train, held = part["train"].to_numpy(bool), part["held"].to_numpy(bool)
+                sizes, spots, train, held = piece_size(lens), part["spots"].to_numpy(), part["train"].to_numpy(bool), part["held"].to_numpy(bool)
                 for _, q in PIECES:
                     on = np.nonzero(train & (sizes == q))[0]
                     if len(on):
-                        spots = cut[on]
-                        n = np.fromiter(map(len, spots), np.int64, len(on))
-                        row = np.repeat(np.arange(len(on)), n)
-                        yield rows(num, lens, counts, _pieces(a[on], q), q, (row, on[row]), np.concatenate(spots).astype(np.int64), np.arange(len(row)) - np.repeat(n.cumsum() - n, n))
+                        n = np.fromiter(map(len, spots[on]), np.int64, len(on))
+                        row, at = np.repeat(np.arange(len(on)), n), np.concatenate(spots[on]).astype(np.int64)
+                        yield rows(part, lens, _pieces(a[on], q).view(np.int32)[row, at], on[row], at, np.arange(len(row)) - np.repeat(n.cumsum() - n, n))
                     on = np.nonzero(held & meets_size(lens, q))[0]
                     if len(on):
-                        h = _pieces(a[on], q)
+                        h = _pieces(a[on], q).view(np.int32)
                         row, at = np.nonzero(np.arange(h.shape[1]) <= (lens[on] - q)[:, None])
-                        yield rows(num, lens, counts, h, q, (row, on[row]), at, np.full(len(row), -1))
+                        yield rows(part, lens, h[row, at], on[row], at, np.full(len(row), -1))
 
     return run
 
 
 def meeting(key: np.ndarray, num: np.ndarray, info: np.ndarray, bits: np.ndarray):
     """Pairs (num of the train text, num of the other) whose pieces, sorted by key, are equal, not too far apart, and have
-    fingerprints (a row of bits each) within the radius."""
+    fingerprints (a row of BITS_OF each) within the radius."""
     nth = info >> 32
     t, h = np.nonzero(nth >= 0)[0], np.nonzero(nth < 0)[0]
     at, lens = key & 0xFFFFFFFF, info & 0xFFFFFFFF
-    base, most = key - at, most_edits(lens)
-    tail = lens - at
-    ends = base[h] + tail[h]
-    back = ends.argsort(kind="stable")
-    for side, order in ((0, h), (1, h[back])):  # pieces near the beginning are looked for from there, the others from the end
-        own = t[(nth[t] * 2 > most[t]) == bool(side)]
-        places, where, away = (base[order] + tail[order], tail[own], most[own] - nth[own]) if side else (key[order], at[own], nth[own])
-        low = np.searchsorted(places, base[own] + np.maximum(where - away, 0))
-        n = np.searchsorted(places, base[own] + where + away, side="right") - low
-        own, low, n = own[n > 0], low[n > 0], n[n > 0]
-        long, short = ((0, 1), (2, 3))[:: 1 if side else -1]  # first the longer side, which tells more
-        far = [bits[order, k] for k in (*long, *short)]
-        for i, j in _chunks(n):
-            m = n[i:j]
-            x = np.repeat(np.arange(i, j), m)
-            y = np.arange(len(x)) + np.repeat(low[i:j] - m.cumsum() + m, m)
-            room = 2 * np.where(side, nth[own], most[own] - nth[own])
-            diff = np.bitwise_count(bits[own, long[0]][x] ^ far[0][y]) + np.bitwise_count(bits[own, long[1]][x] ^ far[1][y])
-            on = np.nonzero(diff <= room[x])[0]
-            y = y[on]
-            a, b = own[x[on]], order[y]
-            short_diff = np.bitwise_count(bits[a, short[0]] ^ far[2][y]) + np.bitwise_count(bits[a, short[1]] ^ far[3][y])
+    base, tail, most = key - at, lens - at, most_edits(lens)
+    back = h[(base[h] + tail[h]).argsort(kind="stable")]
+    slices = []
+    for order, places, where, away in ((h, key[h], at[t], nth[t]), (back, base[back] + tail[back], tail[t], most[t] - nth[t])):
+        low = np.searchsorted(places, base[t] + np.maximum(where - away, 0))
+        slices.append((order, low, np.searchsorted(places, base[t] + where + away, side="right") - low))
+    fewer = slices[1][2] < slices[0][2]
+    for (order, low, n), on in zip(slices, (~fewer, fewer)):
+        on &= n > 0
+        own = t[on]
+        for x, y in _within(bits[own, :2], np.ascontiguousarray(bits[order, :2].T), 2 * most[own], low[on], n[on]):
+            a, b = own[x], order[y]
             k = np.maximum(lens[a], lens[b]) * PERCENT // 100
-            left, right = (diff[on], short_diff) if side else (short_diff, diff[on])
-            good = (left <= 2 * nth[a]) & (right <= 2 * (k - nth[a])) & (np.abs(at[b] - at[a]) <= nth[a]) & (np.abs(tail[b] - tail[a]) <= k - nth[a]) & (num[a] != num[b])
+            good = (np.abs(at[b] - at[a]) <= nth[a]) & (np.abs(tail[b] - tail[a]) <= k - nth[a]) & (num[a] != num[b])
+            a, b, k = a[good], b[good], k[good]
+            good = np.bitwise_count(bits[a, 2:] ^ bits[b, 2:]).sum(axis=1, dtype=np.int64) <= 4 * k
             if good.any():
                 yield num[a[good]], num[b[good]]
 
 
+def _within(mine: np.ndarray, theirs: np.ndarray, room: np.ndarray, low: np.ndarray, n: np.ndarray):
+    """Rows of mine and columns of theirs, of the n from low on, that differ in room bits at most."""
+    x, y, held = [], [], 0
+    room = np.minimum(room, 255).astype(np.uint8)  # 128 bits are compared
+    longest = int(n.max()) if len(n) else 0
+    word, one, two = np.empty(longest, np.uint64), np.empty(longest, np.uint8), np.empty(longest, np.uint8)  # new arrays would cost more than the counts
+    for i in np.nonzero(n >= SLICE)[0]:
+        m, at = n[i], slice(low[i], low[i] + n[i])
+        np.bitwise_count(np.bitwise_xor(theirs[0, at], mine[i, 0], out=word[:m]), out=one[:m])
+        np.bitwise_count(np.bitwise_xor(theirs[1, at], mine[i, 1], out=word[:m]), out=two[:m])
+        got = np.flatnonzero(np.add(one[:m], two[:m], out=one[:m]) <= room[i])
+        x.append(np.full(len(got), i))
+        y.append(got + low[i])
+        held += len(got)
+        if held >= AT_ONCE:
+            yield np.concatenate(x), np.concatenate(y)
+            x, y, held = [], [], 0
+    if held:
+        yield np.concatenate(x), np.concatenate(y)
+    few = np.nonzero(n < SLICE)[0]
+    mine, room, low, n = np.ascontiguousarray(mine[few].T), room[few], low[few], n[few]
+    for i, j in _chunks(n):
+        m = n[i:j]
+        y = np.arange(m.sum()) + np.repeat(low[i:j] - m.cumsum() + m, m)
+        diff = np.bitwise_count(np.repeat(mine[0, i:j], m) ^ theirs[0][y]) + np.bitwise_count(np.repeat(mine[1, i:j], m) ^ theirs[1][y])
+        on = np.flatnonzero(diff <= np.repeat(room[i:j], m))
+        x = i + np.searchsorted(m.cumsum(), on, side="right")
+        yield few[x], y[on]
+
+
 def _chunks(n: np.ndarray):
     """Ranges of n with sums of about AT_ONCE."""
     upto, i = n.cumsum(), 0
@@ -268,7 +283,7 @@ def _meet(batches):
 
     def pairs(parts):
         p = pd.concat(parts)
-        for x, y in meeting(p["key"].to_numpy(), p["num"].to_numpy(), p["info"].to_numpy(), np.stack([p[c].to_numpy() for c in ("s0", "s1", "e0", "e1")], axis=1).view(np.uint64)):
+        for x, y in meeting(p["key"].to_numpy(), p["num"].to_numpy(), p["info"].to_numpy(), np.stack([p[c].to_numpy() for c in BITS_OF], axis=1).view(np.uint64)):
             yield pd.DataFrame({"num_t": x, "num_h": y})
 
     parts, n = [], 0
@@ -291,9 +306,9 @@ def piece_candidates(cut: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """cut_texts, kept, to kept tables of pairs (num_t, num_h), among them all within PERCENT."""
     out = []
     for r in range(ROUNDS):
-        rows = cut.select("num", "train", "held", "text", "spots").mapInPandas(_rows_of_pieces(r), "key bigint, num bigint, info bigint, s0 bigint, s1 bigint, e0 bigint, e1 bigint")
+        rows = cut.select("num", "train", "held", "text", "spots", *BITS_OF).mapInPandas(_rows_of_pieces(r), f"key bigint, num bigint, info bigint, {_BIGINTS}")
         near = rows.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").mapInPandas(_meet, "num_t bigint, num_h bigint")
-        out.append(scratch.keep(near.distinct()))
+        out.append(scratch.keep(near))
         del rows, near
         scratch.release()
     return out
@@ -307,14 +322,10 @@ def near_classes(classes: DataFrame, scratch: Scratch) -> DataFrame:
     first, *others = piece_candidates(cut, scratch)
     for more in others:
         first = first.union(more)
-    pair = [f"pair{i}" for i in range(4)]
-    known = cut.select("num", "train", "held", "cls", "text", F.char_length("text").alias("len"), *pair)
-    side = lambda x, *cols: known.where("train" if x == "t" else "held").select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", *cols)])
-    some = first.join(side("t", "len", *pair), "num_t").join(side("h", "len", *pair), "num_h")  # the texts follow for the few that are left
-    some = some.withColumn("most", F.expr(f"cast(floor(greatest(len_t, len_h) * {PERCENT} / 100) as int)"))
-    some = some.where(sum((F.bit_count(F.col(f"{c}_t").bitwiseXOR(F.col(f"{c}_h"))) for c in pair), F.lit(0)) <= 4 * F.col("most"))
-    near = some.select("num_t", "num_h", "most").distinct().join(side("t", "cls", "text"), "num_t").join(side("h", "cls", "text"), "num_h")  # a pair may be met in several ways
-    near = near.withColumn("distance", F.expr("levenshtein(text_t, text_h, most)"))
+    side = lambda x: cut.where("train" if x == "t" else "held").select(*[F.col(c).alias(f"{c}_{x}") for c in ("num", "cls", "text")])
+    near = first.distinct().join(side("t"), "num_t").join(side("h"), "num_h")  # a pair may be met in several ways
+    most = F.expr(f"cast(floor(greatest(char_length(text_t), char_length(text_h)) * {PERCENT} / 100) as int)")
+    near = near.withColumn("most", most).withColumn("distance", F.expr("levenshtein(text_t, text_h, most)"))
     return near.where("distance >= 0").select("cls_t", "cls_h", "distance")
 
 

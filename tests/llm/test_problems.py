@@ -230,6 +230,7 @@ def test_overlap_meets_pieces_of_any_batch(spark, monkeypatch):
         q = int(overlap.piece_size(lens)[0])
         spots.append(overlap.rare_pieces(overlap._pieces(a, q), lens, q, counts)[0].astype(np.int32))
     frame["spots"] = [x[x >= 0] for x in spots]
+    frame[list(overlap.BITS_OF)] = np.concatenate([overlap.letter_bits(overlap._letters(frame["text"])[0]), overlap.pair_bits(frame["text"])], axis=1)
     rows = pd.concat([r for part in range(overlap.ROUNDS) for r in overlap._rows_of_pieces(part)(iter([frame]))]).sort_values("key", kind="stable")
 
     def pairs(size):
@@ -239,6 +240,7 @@ def test_overlap_meets_pieces_of_any_batch(spark, monkeypatch):
     near = {(i, j) for i in range(60) for j in range(60, 160) if distance(train[i], held[j - 60]) * 100 <= 12 * max(len(train[i]), len(held[j - 60]))}
     monkeypatch.setattr(overlap, "TOGETHER", 5)
     monkeypatch.setattr(overlap, "AT_ONCE", 3)
+    monkeypatch.setattr(overlap, "SLICE", 4)
     assert len(near) >= 40 and near <= whole and pairs(7) == whole
 
 
